@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -58,6 +60,11 @@ def keep_first(array: Column) -> Column:
     return F.get(array, F.lit(0))
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, however often the body mentions it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def extension(name: Column) -> Column:
     """Lower-case extension with its dot, empty when there is none."""
     return F.lower(F.regexp_extract(name, r"[^./\\](\.[^./\\]*)$", 1))
@@ -69,5 +76,4 @@ def basename(path: Column) -> Column:
 
 def stem_of(name: Column) -> Column:
     """File name without its extension; a leading dot is not an extension."""
-    base = basename(name)
-    return F.regexp_replace(base, r"(?<=[^.])\.[^.]*$", "")
+    return F.regexp_replace(basename(name), r"(?<=[^.])\.[^.]*$", "")

@@ -25,7 +25,8 @@ def order_bucket(df: DataFrame, order: str, buckets: int = BUCKETS, source: Data
     cuts = (source if source is not None else df).select(
         F.percentile_approx(F.col(order), fractions, F.lit(ACCURACY)).alias("cuts")
     ).scalar()
-    return F.coalesce(F.size(F.filter(cuts, lambda cut: cut < F.col(order))), F.lit(0))
+    position = F.array_position(F.sort_array(F.array_append(cuts, F.col(order))), F.col(order))
+    return F.coalesce(position - 1, F.lit(0))
 
 
 def running_sums(
