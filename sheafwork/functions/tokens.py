@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -52,39 +53,45 @@ STEP_4 = ("al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "men
           "iti", "ous", "ive", "ize")
 
 
-def _consonant(word: str, i: int) -> bool:
-    if word[i] in VOWELS:
-        return False
-    return i == 0 or not _consonant(word, i - 1) if word[i] == "y" else True
+@lru_cache(maxsize=8)
+def _longest_first(suffixes: tuple[str, ...]) -> tuple[str, ...]:
+    return tuple(sorted(suffixes, key=len, reverse=True))
+
+
+def _kinds(word: str) -> str:
+    """``c`` or ``v`` per letter; a y after a consonant is a vowel."""
+    kinds = ""
+    for letter in word:
+        vowel = letter in VOWELS or (letter == "y" and kinds[-1:] == "c")
+        kinds += "v" if vowel else "c"
+    return kinds
 
 
 def _measure(stem: str) -> int:
-    kinds = "".join("c" if _consonant(stem, i) else "v" for i in range(len(stem)))
-    return len(re.findall("v+c", kinds))
+    return _kinds(stem).count("vc")
 
 
 def _has_vowel(stem: str) -> bool:
-    return any(not _consonant(stem, i) for i in range(len(stem)))
+    return "v" in _kinds(stem)
 
 
 def _double(word: str) -> bool:
-    return len(word) > 1 and word[-1] == word[-2] and _consonant(word, len(word) - 1)
+    return len(word) > 1 and word[-1] == word[-2] and _kinds(word)[-1] == "c"
 
 
 def _cvc(word: str) -> bool:
-    n = len(word)
-    return (n > 2 and _consonant(word, n - 3) and not _consonant(word, n - 2) and _consonant(word, n - 1)
-            and word[-1] not in "wxy")
+    return _kinds(word)[-3:] == "cvc" and word[-1] not in "wxy"
 
 
 def _replace(word: str, table: dict[str, str], least: int) -> str:
-    for suffix in sorted(table, key=len, reverse=True):
+    for suffix in _longest_first(tuple(table)):
         if word.endswith(suffix):
             stem = word[: -len(suffix)]
             return stem + table[suffix] if _measure(stem) > least else word
     return word
 
 
+@lru_cache(maxsize=1 << 17)
 def porter(word: str) -> str:
     """Porter's 1980 suffix stripper; words of one or two letters, and others than a–z, stay."""
     if len(word) < 3 or not (word.isascii() and word.isalpha()):
@@ -111,7 +118,7 @@ def porter(word: str) -> str:
         word = word[:-1] + "i"
     word = _replace(word, STEP_2, 0)
     word = _replace(word, STEP_3, 0)
-    for suffix in sorted(STEP_4, key=len, reverse=True):
+    for suffix in _longest_first(STEP_4):
         if word.endswith(suffix):
             stem = word[: -len(suffix)]
             if _measure(stem) > 1 and (suffix != "ion" or stem.endswith(("s", "t"))):
