@@ -10,6 +10,7 @@ from sheafwork.catalog.derived import ctes, frame
 from sheafwork.functions import fields as fx
 from sheafwork.functions.text import bind
 from sheafwork.operators import fields as ops
+from sheafwork.session import cut_lineage
 
 SQL_LINES = """, lines as (select {id} as id, line, pos - 1 as i, total from (select {id},
     unnest(str_split(text, chr(10))) as line, generate_subscripts(str_split(text, chr(10)), 1) as pos,
@@ -180,7 +181,8 @@ SQL_HISTORY = """, history as (select o_orderkey, o_custkey, value, count(value)
 def invoice_anomalies(spark: SparkSession, sf: str) -> DataFrame:
     invoices = frame(spark, sf, "invoices")
     totals = found(invoices, fx.extract_total(F.col("text")), "o_orderkey", "o_custkey")
-    return ops.amount_anomalies(totals.select("o_orderkey", "o_custkey", "value"), "o_custkey", "o_orderkey", "value",
+    stored = cut_lineage(totals.select("o_orderkey", "o_custkey", "value"))
+    return ops.amount_anomalies(stored, "o_custkey", "o_orderkey", "value",
                                 bounds_from=frame(spark, sf, "orders"))
 
 

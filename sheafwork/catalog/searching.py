@@ -42,9 +42,17 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return chunks.select("id_doc", F.col("chunk_no").cast("bigint").alias("chunk_no"), F.md5("chunk").alias("chunk_md5"))
 
 
+def searchable(spark: SparkSession, sf: str) -> DataFrame:
+    return frame(spark, sf, "texts").select(F.col("id_doc").alias("doc_id"), "text")
+
+
 def indexed(spark: SparkSession, sf: str, stemmed: bool) -> DataFrame:
-    docs = frame(spark, sf, "texts").select(F.col("id_doc").alias("doc_id"), "text")
-    return search.build_text_index(docs, ("text",), stemmed)
+    return search.build_text_index(searchable(spark, sf), ("text",), stemmed)
+
+
+def searched(spark: SparkSession, sf: str, text: str, stemmed: bool) -> DataFrame:
+    lengths = search.text_lengths(searchable(spark, sf), ("text",))
+    return search.search_fulltext(indexed(spark, sf, stemmed), text, stemmed=stemmed, lengths=lengths)
 
 
 @query("build_text_index")
@@ -68,13 +76,13 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     select doc_id, round(score, 6) as score from scored where found = 3 order by round(score, 9) desc, doc_id
     limit 50""")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    best = search.search_fulltext(indexed(spark, sf, stemmed=False), QUERY, stemmed=False)
+    best = searched(spark, sf, QUERY, stemmed=False)
     return best.withColumn("score", F.round("score", 6))
 
 
 @query("search_fulltext_stemmed")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return search.search_fulltext(indexed(spark, sf, stemmed=True), "ands THE")
+    return searched(spark, sf, "ands THE", stemmed=True)
 
 
 @query("search_substring", ctes("texts") + """
@@ -86,9 +94,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("snippet")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    best = search.search_fulltext(indexed(spark, sf, stemmed=False), QUERY, stemmed=False)
-    texts = frame(spark, sf, "texts").select(F.col("id_doc").alias("doc_id"), "text")
-    return best.join(texts, "doc_id").select("doc_id", search.snippet(F.col("text"), QUERY).alias("snippet"))
+    return searched(spark, sf, QUERY, stemmed=False).join(searchable(spark, sf), "doc_id").select("doc_id", search.snippet(F.col("text"), QUERY).alias("snippet"))
 
 
 def vectors(spark: SparkSession, sf: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sheafwork.functions.text import bind, collapse_spaces, is_upper, title_case
-from sheafwork.plans.prefix import BUCKETS, running_sums
+from sheafwork.plans.prefix import running_sums
 
 # Company suffixes removed from vendor names, in this order.
 LEGAL_SUFFIXES = (r"\bS\.?L\.?", r"\bS\.?A\.?", r"\bLtd\.?", r"\bInc\.?", r"\bCorp\.?", r"\bGmbH", r"\bLLC",
@@ -69,14 +69,15 @@ def field_anomalies(fields: Column, as_of: Column) -> Column:
 
 
 def amount_anomalies(
-    amounts: DataFrame, key: str, order: str, amount: str, *, buckets: int = BUCKETS,
+    amounts: DataFrame, key: str, order: str, amount: str, *, buckets: int | None = None,
     bounds_from: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``anomalies``: what is odd about each amount against the earlier ones of its key.
 
     ``order`` is a unique number per row that follows time. At least five earlier amounts are needed; then more than
     three sample deviations from their mean is unusual, more than ten times the mean very large, and a multiple of 100
-    from 1000 on suspiciously round. The history is a running sum, so no key is gathered in one task.
+    from 1000 on suspiciously round. The history is a running sum, so no key is gathered in one task. ``amounts`` is read
+    twice: store amounts that were extracted from text before they come here.
     """
     value = F.col(amount)
     history = running_sums(

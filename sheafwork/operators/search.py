@@ -37,10 +37,18 @@ def build_text_index(docs: DataFrame, fields: tuple[str, ...] = ("filename", "te
 
 
 def document_lengths(postings: DataFrame) -> DataFrame:
-    """Number of indexed terms per document."""
+    """Number of indexed terms per document, from the postings."""
     return postings.groupBy("doc_id").agg(F.sum("tf").alias("n_terms"))
 
 
+def text_lengths(docs: DataFrame, fields: tuple[str, ...] = ("filename", "text")) -> DataFrame:
+    """The same numbers from the texts, without grouping anything; texts without terms are left out."""
+    count = F.lit(0)
+    for f in fields:
+        count = count + F.size(terms(F.coalesce(F.col(f), F.lit(""))))
+    return docs.select("doc_id", count.cast("bigint").alias("n_terms")).filter("n_terms > 0")
+
+
 def search_fulltext(postings: DataFrame, query: str, limit: int = 50, stemmed: bool = True,
                     lengths: DataFrame | None = None) -> DataFrame:
     """(doc_id, score) of the best documents that hold every query term, by BM25 (k1 = 1.2, b = 0.75).
@@ -51,17 +59,23 @@ def search_fulltext(postings: DataFrame, query: str, limit: int = 50, stemmed: b
     wanted = query_terms(query, stemmed)
     if not wanted:
         return postings.select("doc_id", F.lit(0.0).alias("score")).limit(0)
-    hits = postings.filter(F.col("term").isin(*wanted)).groupBy("doc_id", "term").agg(F.sum("tf").alias("tf"))
-    frequency = hits.groupBy("term").agg(F.count("*").alias("_df"))
     lengths = lengths if lengths is not None else document_lengths(postings)
-    corpus = lengths.agg(F.count("*").alias("n"), F.avg("n_terms").alias("mean"))
-    total, mean = corpus.select("n").scalar(), corpus.select("mean").scalar()
-    idf = F.log(1 + (total - F.col("_df") + 0.5) / (F.col("_df") + 0.5))
-    weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n_terms") / mean))
-    scored = hits.join(frequency, "term").join(lengths, "doc_id").withColumn("_s", idf * weight)
-    whole = scored.groupBy("doc_id").agg(F.sum("_s").alias("score"), F.count("*").alias("_n"))
-    return whole.filter(F.col("_n") == len(wanted)).orderBy(F.desc(F.round("score", 9)), "doc_id").limit(limit).select(
-        "doc_id", "score")
+    corpus = lengths.agg(F.struct(F.count("*").alias("n"), F.avg("n_terms").alias("mean"))).scalar()
+    # one column per query term: a term found in most documents never becomes a group or a join key
+    names = [f"tf_{i}" for i in range(len(wanted))]
+    found = postings.filter(F.col("term").isin(*wanted)).groupBy("doc_id").agg(*[
+        F.sum(F.when(F.col("term") == term, F.col("tf")).otherwise(0)).alias(name) for name, term in zip(names, wanted)])
+    holders = found.agg(F.struct(*[F.count_if(F.col(name) > 0).alias(name) for name in names])).scalar()
+    complete = found
+    for name in names:
+        complete = complete.filter(F.col(name) > 0)
+    score = F.lit(0.0)
+    for name in names:
+        idf = F.log(1 + (corpus["n"] - holders[name] + 0.5) / (holders[name] + 0.5))
+        score = score + idf * F.col(name) * (K1 + 1) / (
+            F.col(name) + K1 * (1 - B + B * F.col("n_terms") / corpus["mean"]))
+    scored = complete.join(lengths, "doc_id").select("doc_id", score.alias("score"))
+    return scored.orderBy(F.desc(F.round("score", 9)), "doc_id").limit(limit)
 
 
 def search_substring(texts: DataFrame, query: str, limit: int = 50) -> DataFrame:

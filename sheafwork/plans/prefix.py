@@ -9,24 +9,29 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 64
-ACCURACY = 10_000
+LEAST_BUCKETS = 64
 
 
-def order_bucket(df: DataFrame, order: str, buckets: int = BUCKETS, source: DataFrame | None = None) -> Column:
-    """Bucket number of the numeric column ``order``, cut at quantiles taken from ``source`` (default ``df``).
+def order_buckets(df: DataFrame, order: str, name: str, buckets: int | None = None, source: DataFrame | None = None
+                  ) -> DataFrame:
+    """Add the bucket of the numeric column ``order``, cut at quantiles taken from ``source`` (default ``df``).
 
-    The cut points are an uncorrelated scalar subquery, so the expression stays lazy and the same for all rows.
+    One pass over that column alone finds the cut points; only they reach the driver. By default there are as many
+    buckets as shuffle partitions, and never fewer than 64.
     """
+    if buckets is None:
+        buckets = max(LEAST_BUCKETS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     fractions = [i / buckets for i in range(1, buckets)]
-    cuts = (source if source is not None else df).select(
-        F.percentile_approx(F.col(order), fractions, F.lit(ACCURACY)).alias("cuts")
-    ).scalar()
-    position = F.array_position(F.sort_array(F.array_append(cuts, F.col(order))), F.col(order))
-    return F.coalesce(position - 1, F.lit(0))
+    cuts = (source if source is not None else df).approxQuantile(order, fractions, 0.25 / buckets)
+    splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
+    if len(splits) == 2:
+        return df.withColumn(name, F.lit(0.0))
+    numbered = df.withColumn("_order", F.col(order).cast("double"))
+    return Bucketizer(splits=splits, inputCol="_order", outputCol=name).transform(numbered).drop("_order")
 
 
 def running_sums(
@@ -37,14 +42,14 @@ def running_sums(
     *,
     bucket_by: str,
     inclusive: bool = False,
-    buckets: int = BUCKETS,
+    buckets: int | None = None,
     source: DataFrame | None = None,
 ) -> DataFrame:
     """Add, per row, the sum of each expression over the rows of the same key before it (or through it).
 
     ``order`` must be a total order within the key and start with ``bucket_by``, a numeric column.
     """
-    bucketed = df.withColumn("_bucket", order_bucket(df, bucket_by, buckets, source))
+    bucketed = order_buckets(df, bucket_by, "_bucket", buckets, source)
     for name, expression in sums.items():
         bucketed = bucketed.withColumn(f"_x_{name}", expression)
 
@@ -67,7 +72,7 @@ def running_sums(
 
 def row_numbers(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], *, bucket_by: str, name: str = "row_no",
-    buckets: int = BUCKETS,
+    buckets: int | None = None,
 ) -> DataFrame:
     """1-based position of every row within its key; with no keys, over the whole table."""
     if keys:

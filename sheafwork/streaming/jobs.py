@@ -29,9 +29,8 @@ def stream_dedup(rows: DataFrame, time: str = "ts", hash_column: str = "md5_hash
 
 def new_to_store(batch: DataFrame, stored: DataFrame, hash_column: str = "md5_hash", order: str = "doc_id") -> DataFrame:
     """Rows of a micro-batch whose content neither the store nor an earlier row of the batch has."""
-    fresh = batch.join(stored.select(hash_column), hash_column, "left_anti")
-    firsts = fresh.groupBy(hash_column).agg(F.min(order).alias("_first"))
-    return fresh.join(firsts, hash_column).filter(F.col(order) == F.col("_first")).drop("_first")
+    firsts = batch.groupBy(hash_column).agg(F.min_by(F.struct(*batch.columns), order).alias("_row"))
+    return firsts.join(stored.select(hash_column), hash_column, "left_anti").select("_row.*")
 
 
 def dedup_into(stream: DataFrame, store: str, checkpoint: str, hash_column: str = "md5_hash") -> StreamingQuery:
