@@ -61,8 +61,10 @@ def similarities(queries: np.ndarray, corpus: np.ndarray, metric: str) -> np.nda
     products = queries @ corpus.T
     if metric == "ip":
         return np.round(products, 9)
-    squares = (queries**2).sum(1)[:, None] + (corpus**2).sum(1)[None, :] - 2 * products
-    return np.round(np.sqrt(np.maximum(squares, 0.0)), 9)
+    norms = (queries**2).sum(1)[:, None] + (corpus**2).sum(1)[None, :]
+    squares = norms - 2 * products
+    # what is left of equal vectors is rounding noise, which differs from place to place
+    return np.round(np.sqrt(np.where(squares > 1e-12 * norms, squares, 0.0)), 9)
 
 
 def top_k(ids: np.ndarray, scores: np.ndarray, k: int, largest: bool) -> tuple[np.ndarray, np.ndarray]:
