@@ -28,8 +28,7 @@ def main() -> None:
     sf = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = build_session("bench", master=f"local[{cpus}]", spark__sql__shuffle__partitions=cpus,
-                          spark__driver__memory="8g", spark__sql__files__maxPartitionBytes="4m",
-                          spark__sql__files__openCostInBytes="1m")
+                          spark__driver__memory="8g")
     spark.sparkContext.setLogLevel("OFF")
     seconds: dict[str, float] = {}
     for name in sys.argv[1:] or HEADLINE:

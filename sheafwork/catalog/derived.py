@@ -11,6 +11,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sheafwork.plans.sizing import spread
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
     "conversations"
@@ -144,12 +146,22 @@ PAIRS = {  # name: (Spark SQL, DuckDB SQL)
 }
 
 
+# tables whose rows are texts, or become texts, and the key they are distributed by when a file is too small to split
+TEXT_KEYS = {"documents": ("doc_id",), "pages": ("page_id",), "conversations": ("conv_id", "turn")}
+TEXT_SOURCES = {"invoices": {"orders": ("o_orderkey",)}}
+
+
 def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A benchmark table or one of the derived frames."""
+    def table(source: str, keys: tuple[str, ...] | None) -> DataFrame:
+        stored = spark.read.parquet(f"{sf_dir}/{source}.parquet")
+        return spread(stored, *keys) if keys else stored
+
     if name in TABLES:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        return table(name, TEXT_KEYS.get(name))
     sql = SHARED.get(name) or PAIRS[name][0]
-    return spark.sql(re.sub(r"@(\w+)@", lambda m: f"parquet.`{sf_dir}/{m.group(1)}.parquet`", sql))
+    sources = {s: table(s, {**TEXT_KEYS, **TEXT_SOURCES.get(name, {})}.get(s)) for s in re.findall(r"@(\w+)@", sql)}
+    return spark.sql(re.sub(r"@(\w+)@", r"{\1}", sql), **sources)
 
 
 def ctes(*names: str) -> str:

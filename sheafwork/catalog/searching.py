@@ -12,6 +12,7 @@ from sheafwork.functions.tokens import MARKED, PLAIN
 from sheafwork.functions.vectors import l2_normalise
 from sheafwork.operators import neighbours, search
 from sheafwork.plans.sizing import rows_if_small
+from sheafwork.session import cut_lineage
 
 QUERY = "The tion of"
 SQL_POSTINGS = f""", tokens as (select id_doc as doc_id, unnest(regexp_extract_all(translate(lower(text), '{MARKED}',
@@ -51,8 +52,10 @@ def indexed(spark: SparkSession, sf: str, stemmed: bool) -> DataFrame:
 
 
 def searched(spark: SparkSession, sf: str, text: str, stemmed: bool) -> DataFrame:
+    """A search of an index that is built and stored first, as it would be for many searches."""
     lengths = search.text_lengths(searchable(spark, sf), ("text",))
-    return search.search_fulltext(indexed(spark, sf, stemmed), text, stemmed=stemmed, lengths=lengths)
+    postings = cut_lineage(indexed(spark, sf, stemmed))
+    return search.search_fulltext(postings, text, stemmed=stemmed, lengths=cut_lineage(lengths))
 
 
 @query("build_text_index")

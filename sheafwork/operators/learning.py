@@ -19,11 +19,13 @@ MIN_TEXT = 20
 MIN_ROWS = 5
 VOCABULARY = 5000
 REGULARISATION = 1e-3
-ITERATIONS = 20
+ITERATIONS = 10
+TYPES_AT_ONCE = 4
 PALETTE = 5
 SEED = 42
 CELL_BITS = 6
 STARTS = 10
+TOLERANCE = 1e-4
 
 
 def training_rows(docs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -46,7 +48,7 @@ def train_text_classifier(rows: DataFrame) -> PipelineModel:
         IDF(inputCol="counts", outputCol="weights"),
         Normalizer(inputCol="weights", outputCol="features"),
         OneVsRest(classifier=LinearSVC(regParam=REGULARISATION, maxIter=ITERATIONS), featuresCol="features",
-                  labelCol="label", predictionCol="prediction"),
+                  labelCol="label", predictionCol="prediction", parallelism=TYPES_AT_ONCE),
     ]
     trained = Pipeline(stages=steps).fit(rows)
     names = IndexToString(inputCol="prediction", outputCol="predicted", labels=indexer.labels)
@@ -83,14 +85,17 @@ def _lloyd(points: np.ndarray, weights: np.ndarray, k: int, rng: np.random.Rando
         if gap.sum() == 0:
             break
         centres = np.vstack([centres, points[rng.choice(len(points), p=gap / gap.sum())]])
+    settled = TOLERANCE * np.average((points - np.average(points, axis=0, weights=weights)) ** 2, axis=0,
+                                     weights=weights).mean()
     for _ in range(300):
         nearest = _distances(points, centres).argmin(1)
         mass = np.bincount(nearest, weights, len(centres))
         sums = np.stack([np.bincount(nearest, weights * points[:, c], len(centres)) for c in range(3)], axis=1)
         moved = np.where(mass[:, None] > 0, sums / np.maximum(mass, 1e-12)[:, None], centres)
-        if np.abs(moved - centres).max() < 1e-6:
-            break
+        shift = ((moved - centres) ** 2).sum()
         centres = moved
+        if shift <= settled:
+            break
     return (_distances(points, centres).min(1) * weights).sum(), centres
 
 

@@ -55,11 +55,15 @@ def page_count(
 
 
 def keyword_documents(docs: DataFrame, texts: DataFrame, keyword: str | None = None, limit: int = 100) -> DataFrame:
-    """Documents whose name or text holds the keyword; without one, the newest."""
+    """Documents whose name or text holds the keyword; without one, the newest.
+
+    Texts are searched where they are read; only the ids of those that match are shuffled.
+    """
     if keyword:
-        found = docs.join(texts.select(F.col("id_doc").alias("doc_id"), "text"), "doc_id", "left")
         pattern = f"%{keyword}%"
-        docs = found.filter(F.col("filename").ilike(pattern) | F.col("text").ilike(pattern)).drop("text")
+        matching = texts.filter(F.col("text").ilike(pattern)).select(F.col("id_doc").alias("doc_id")).distinct()
+        found = docs.join(matching.withColumn("_in_text", F.lit(True)), "doc_id", "left")
+        docs = found.filter(F.col("filename").ilike(pattern) | F.col("_in_text")).drop("_in_text")
     return docs.orderBy(F.desc("datetime"), F.desc("doc_id")).limit(limit)
 
 

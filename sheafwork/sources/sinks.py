@@ -72,3 +72,9 @@ def write_postings(postings: DataFrame, path: str, partitions: int | None = None
     ranged = postings.repartitionByRange(partitions, "term", "doc_id") if partitions else postings.repartitionByRange(
         "term", "doc_id")
     ranged.sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(path)
+
+
+def store_bucketed(df: DataFrame, table: str, key: str, buckets: int, path: str | None = None) -> None:
+    """Save a table bucketed and sorted by ``key``; two tables with equal buckets join on it without a shuffle."""
+    writer = df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).format("parquet")
+    (writer.option("path", path) if path else writer).saveAsTable(table)

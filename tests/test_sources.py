@@ -90,3 +90,28 @@ def test_postings_are_sorted_for_lookup(spark, tmp_path):
     stored = spark.read.parquet(str(tmp_path / "p"))
     plan = stored.filter("term in ('a')")._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(term), EqualTo(term,a)]" in plan and stored.count() == 15
+
+
+def test_bucketed_tables_join_without_a_shuffle(spark, tmp_path):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name, column in (("b_docs", "filename"), ("b_texts", "text")):
+            df = spark.range(100).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias(column))
+            sinks.store_bucketed(df, name, "doc_id", 4, str(tmp_path / name))
+        joined = spark.table("b_docs").join(spark.table("b_texts"), "doc_id")
+        assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+        assert joined.count() == 100
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        for name in ("b_docs", "b_texts"):
+            spark.sql(f"drop table if exists {name}")
+
+
+def test_lineage_cut_reads_back_what_was_computed(spark, tmp_path):
+    from sheafwork.session import cut_lineage
+
+    kept = cut_lineage(spark.range(10).withColumn("v", F.array(F.col("id"))))
+    assert sorted(r["id"] for r in kept.filter("id > 4").collect()) == [5, 6, 7, 8, 9]
+    assert "FileScan parquet" in kept._jdf.queryExecution().executedPlan().toString()
+    assert cut_lineage(kept.limit(0)).count() == 0
