@@ -47,10 +47,24 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return decoded.select("doc_id", F.md5("text").alias("text_md5"), "confidence")
 
 
-@query("html_corpus_to_text")
+HTML_TOKENS = "(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->|<[^>]*>|[^<]+"
+SQL_ENTITIES = "t"
+for _entity, _char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
+    SQL_ENTITIES = f"replace({SQL_ENTITIES}, '{_entity}', '{_char}')"
+
+
+@query("html_corpus_to_text", f"""
+    with tokens as (select page_id, unnest(regexp_extract_all(html, '{HTML_TOKENS}')) as t,
+        generate_subscripts(regexp_extract_all(html, '{HTML_TOKENS}'), 1) as i from pages),
+    data as (select page_id, i, trim(case when regexp_matches(t, '(?is)^<(script|style)') then regexp_extract(t,
+          '(?is)^<[^>]*>(.*)</', 1) when starts_with(t, '<') then '' else {SQL_ENTITIES} end,
+        chr(9) || chr(10) || chr(13) || ' ') as d from tokens),
+    texts as (select page_id, coalesce(string_agg(d, ' ' order by i) filter (d <> ''), '') as text from data
+      group by page_id)
+    select page_id, length(text) as n_chars, md5(text) as text_md5 from texts""")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     pages = mail.html_corpus_to_text(frame(spark, sf, "pages"))
-    return pages.select("page_id", F.length("text").alias("n_chars"), F.md5("text").alias("text_md5"))
+    return pages.select("page_id", F.length("text").cast("bigint").alias("n_chars"), F.md5("text").alias("text_md5"))
 
 
 def mails(spark: SparkSession, sf: str) -> DataFrame:

@@ -69,15 +69,18 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return indexed(spark, sf, stemmed=False)
 
 
-@query("search_fulltext", ctes("texts") + SQL_POSTINGS + """
+SQL_BEST = ctes("texts") + SQL_POSTINGS + """
     , lengths as (select doc_id, sum(tf) as n_terms from postings group by doc_id),
     hits as (select * from postings where term in ('the', 'tion', 'of')),
     scored as (select doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n_terms /
         mean))) as score, count(*) as found
       from hits join (select term, count(*) as df from hits group by term) using (term) join lengths using (doc_id),
-        (select count(*) as n, avg(n_terms) as mean from lengths) group by doc_id)
-    select doc_id, round(score, 6) as score from scored where found = 3 order by round(score, 9) desc, doc_id
-    limit 50""")
+        (select count(*) as n, avg(n_terms) as mean from lengths) group by doc_id),
+    best as (select doc_id, round(score, 6) as score from scored where found = 3 order by round(score, 9) desc, doc_id
+      limit 50)"""
+
+
+@query("search_fulltext", SQL_BEST + "select doc_id, score from best")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     best = searched(spark, sf, QUERY, stemmed=False)
     return best.withColumn("score", F.round("score", 6))
@@ -95,7 +98,20 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("id_doc", F.md5("text").alias("text_md5"))
 
 
-@query("snippet")
+@query("snippet", SQL_BEST + f"""
+    , split as (select doc_id, string_split_regex(trim(text, chr(9) || chr(10) || chr(13) || ' '), '\\s+') as w
+      from best join texts on doc_id = id_doc),
+    words as (select doc_id, len(w) as n, unnest(w) as word, generate_subscripts(w, 1) - 1 as i from split),
+    marked as (select *, regexp_replace(translate(lower(word), '{MARKED}', '{PLAIN}'),
+      '^[^\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+$', '', 'g') in ('the', 'tion', 'of') as hit from words),
+    starts as (select distinct doc_id, greatest(0, least(i, n - 20)) as s from marked where hit),
+    counted as (select starts.doc_id, s, count(*) as c from starts join marked on marked.doc_id = starts.doc_id and hit
+      and i between s and s + 19 group by all),
+    chosen as (select split.doc_id, coalesce(s, 0) as s from split left join (select * from counted
+      qualify row_number() over (partition by doc_id order by c desc, s) = 1) using (doc_id))
+    select doc_id, concat(case when s > 0 then '...' else '' end, string_agg(case when hit then concat('<b>', word, '</b>')
+      else word end, ' ' order by i), case when s + 20 < n then '...' else '' end) as snippet
+    from marked join chosen using (doc_id) where i between s and s + 19 group by doc_id, s, n""")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return searched(spark, sf, QUERY, stemmed=False).join(searchable(spark, sf), "doc_id").select("doc_id", search.snippet(F.col("text"), QUERY).alias("snippet"))
 
@@ -171,7 +187,17 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return neighbours.near_duplicate_pairs(vectors(spark, sf))
 
 
-@query("near_duplicate_groups")
+@query("near_duplicate_groups", ctes("vectors").replace("with ", "with recursive ", 1) + """
+    , near as (select b.id, list(a.id) as earlier from vectors a join vectors b on a.id < b.id and
+        list_cosine_similarity(cast(a.e as double[]), cast(b.e as double[])) >= 0.985 group by b.id),
+    ordered as (select vectors.id, coalesce(earlier, []) as earlier, row_number() over (order by vectors.id) as i
+      from vectors left join near using (id)),
+    scan as (select cast(0 as bigint) as i, cast([] as bigint[]) as primaries
+      union all select ordered.i, case when list_has_any(primaries, earlier) then primaries
+        else list_append(primaries, id) end from scan join ordered on ordered.i = scan.i + 1),
+    final as (select primaries from scan order by i desc limit 1)
+    select list_min(list_intersect(primaries, earlier)) as primary_id, id as duplicate_id from ordered, final
+    where list_has_any(primaries, earlier)""")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return neighbours.near_duplicate_groups(vectors(spark, sf))
 
@@ -182,17 +208,30 @@ def letter_counts(texts: list[str]) -> np.ndarray:
     return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-9)
 
 
-@query("incremental_embeddings")
+SQL_LETTERS = """list_transform(range(97, 123), lambda c: length({t}) - length(replace({t}, chr(c::int), '')))"""
+
+
+@query("incremental_embeddings", ctes("texts") + f"""
+    , counted as (select id_doc, {SQL_LETTERS.format(t='lower(text)')} as v from texts)
+    select concat('/inbox/', id_doc) as path, id_doc % 7 as mtime,
+      round(v[5] / greatest(sqrt(list_sum(list_transform(v, lambda x: x * x))), 1e-9), 3) as e from counted""")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     path = F.concat(F.lit("/inbox/"), "id_doc")
     items = frame(spark, sf, "texts").select(path.alias("path"), (F.col("id_doc") % 7).alias("mtime"), "text")
     cached = neighbours.embed(items.filter("mtime <> 3"), letter_counts).select(
         "path", F.least("mtime", F.lit(5)).alias("mtime"), "embedding")
     done = neighbours.incremental_embeddings(items, cached, letter_counts)
-    return done.select("path", "mtime", F.size("embedding").alias("n"))
+    return done.select("path", "mtime", F.round(F.get("embedding", F.lit(4)).cast("double"), 3).alias("e"))
 
 
-@query("rebuild_index")
+@query("rebuild_index", ctes("docs", "texts") + f"""
+    , cut as (select doc_id, (s - 1) // 1500 as chunk_no, substr(t, s, 1500) as chunk from (select doc_id, t,
+        unnest(generate_series(1, length(t), 1500)) as s from (select doc_id, trim(text, chr(9) || chr(10) || chr(13) ||
+          ' ') as t from docs join texts on doc_id = id_doc where length(text) > 0))),
+    counted as (select *, {SQL_LETTERS.format(t='lower(chunk)')} as v from cut)
+    select doc_id, chunk_no, length(chunk) as n_chars,
+      round(v[5] / greatest(sqrt(list_sum(list_transform(v, lambda x: x * x))), 1e-9), 3) as e from counted""")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     index = neighbours.rebuild_index(frame(spark, sf, "docs"), frame(spark, sf, "texts"), letter_counts)
-    return index.select("doc_id", "chunk_no", F.length("chunk").alias("n_chars"))
+    return index.select("doc_id", F.col("chunk_no").cast("bigint").alias("chunk_no"), F.length("chunk").cast("bigint")
+                        .alias("n_chars"), F.round(F.get("embedding", F.lit(4)).cast("double"), 3).alias("e"))
