@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sheafwork.functions.text import bind, collapse_spaces, is_upper, title_case
-from sheafwork.plans.prefix import running_sums
+from sheafwork.plans.prefix import running_moments
 
 # Company suffixes removed from vendor names, in this order.
 LEGAL_SUFFIXES = (r"\bS\.?L\.?", r"\bS\.?A\.?", r"\bLtd\.?", r"\bInc\.?", r"\bCorp\.?", r"\bGmbH", r"\bLLC",
@@ -76,18 +76,12 @@ def amount_anomalies(
 
     ``order`` is a unique number per row that follows time. At least five earlier amounts are needed; then more than
     three sample deviations from their mean is unusual, more than ten times the mean very large, and a multiple of 100
-    from 1000 on suspiciously round. The history is a running sum, so no key is gathered in one task. ``amounts`` is read
+    from 1000 on suspiciously round. The history is kept in running moments, so no key is gathered in one task. ``amounts`` is read
     twice: store amounts that were extracted from text before they come here.
     """
     value = F.col(amount)
-    history = running_sums(
-        amounts, [key], [order], {
-            "_n": F.lit(1).cast("bigint"), "_s": value, "_q": value * value,
-        }, bucket_by=order, buckets=buckets, source=bounds_from,
-    )
-    mean = F.col("_s") / F.col("_n")
-    variance = (F.col("_q") - F.col("_s") * mean) / (F.col("_n") - 1)
-    deviation = F.sqrt(F.greatest(variance, F.lit(0.0)))
+    history = running_moments(amounts, key, order, amount, buckets=buckets, source=bounds_from)
+    mean, deviation = F.col("_mean"), F.col("_deviation")
     codes = F.array_compact(F.array(
         F.when((deviation > 0) & (F.abs(value - mean) > SIGMAS * deviation), "unusual_amount"),
         F.when(value > mean * LARGE_FACTOR, "very_large_amount"),
@@ -95,4 +89,4 @@ def amount_anomalies(
     ))
     return history.withColumn(
         "anomalies", F.when(F.col("_n") >= MIN_HISTORY, codes).otherwise(F.array().cast("array<string>"))
-    ).drop("_n", "_s", "_q")
+    ).drop("_n", "_mean", "_deviation")

@@ -82,3 +82,44 @@ def row_numbers(
         df.withColumn("_all", F.lit(0)), ["_all"], order, {name: F.lit(1).cast("bigint")},
         bucket_by=bucket_by, inclusive=True, buckets=buckets,
     ).drop("_all")
+
+
+def running_moments(
+    df: DataFrame, key: str, order: str, value: str, *, buckets: int | None = None, source: DataFrame | None = None,
+) -> DataFrame:
+    """Add ``_n``, ``_mean`` and ``_deviation`` (sample) of the earlier values of the key, in ``order``.
+
+    Moments of the earlier buckets and of the earlier rows in the bucket are merged about nearby means, so large amounts
+    that differ by cents keep their deviation, and equal amounts have exactly none.
+    """
+    bucketed = order_buckets(df, order, "_bucket", buckets, source)
+    v = F.col(value)
+    totals = bucketed.groupBy(key, "_bucket").agg(
+        F.count(v).alias("n"), F.avg(v).alias("m"), F.var_pop(v).alias("s"), F.min(v).alias("lo"), F.max(v).alias("hi"))
+    by_bucket = Window.partitionBy(key).orderBy("_bucket")
+    earlier = by_bucket.rowsBetween(Window.unboundedPreceding, -1)
+    shifted = totals.withColumn("g", F.first("m").over(by_bucket)).withColumn("d", F.col("m") - F.col("g"))
+    before = shifted.select(
+        key, "_bucket", "g", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("n0"),
+        F.sum(F.col("n") * F.col("d")).over(earlier).alias("d0"),
+        F.sum(F.col("n") * (F.col("d") * F.col("d") + F.col("s"))).over(earlier).alias("q0"),
+        F.min("lo").over(earlier).alias("lo0"), F.max("hi").over(earlier).alias("hi0"))
+
+    inside = Window.partitionBy(key, "_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    local = bucketed.withColumns({
+        "n1": F.count(v).over(inside), "m1": F.avg(v).over(inside), "s1": F.var_pop(v).over(inside),
+        "lo1": F.min(v).over(inside), "hi1": F.max(v).over(inside)})
+    both = local.join(before, [key, "_bucket"])
+    n0, n1 = F.col("n0"), F.col("n1")
+    n = n0 + n1
+    mean0 = F.when(n0 > 0, F.col("g") + F.col("d0") / F.nullif(n0, F.lit(0))).otherwise(F.col("m1"))
+    mean1 = F.coalesce("m1", mean0)
+    spread0 = F.when(n0 > 0, F.col("q0") - F.col("d0") * F.col("d0") / F.nullif(n0, F.lit(0))).otherwise(0.0)
+    spread1 = F.when(n1 > 0, n1 * F.col("s1")).otherwise(0.0)
+    between = (mean1 - mean0) * (mean1 - mean0) * n0 * n1
+    some = F.nullif(n, F.lit(0))
+    squares = F.greatest(spread0 + spread1 + between / some, F.lit(0.0))
+    equal = F.least("lo0", "lo1") == F.greatest("hi0", "hi1")
+    return both.select(
+        *[both[c] for c in df.columns], n.alias("_n"), ((mean0 * n0 + mean1 * n1) / some).alias("_mean"),
+        F.when(equal, 0.0).otherwise(F.sqrt(squares / F.nullif(n - 1, F.lit(0)))).alias("_deviation"))

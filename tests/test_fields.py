@@ -152,6 +152,16 @@ def test_amounts_of_one_customer_with_most_rows(spark):
         past.append(a)
 
 
+def test_equal_and_nearly_equal_amounts(spark):
+    """Equal amounts have no deviation, so nothing is unusual; cents on millions still have one."""
+    flat = [(i, 1, 9.99) for i in range(300)] + [(300, 1, 10.0)]
+    cents = [(1000 + i, 2, 5_000_000.0 + 0.01 * (i % 3)) for i in range(300)] + [(1300, 2, 5_000_000.06)]
+    frame = spark.createDataFrame(flat + cents, "n bigint, k bigint, a double")
+    got = {r["n"]: r["anomalies"] for r in ops.amount_anomalies(frame, "k", "n", "a", buckets=8).collect()}
+    assert got[300] == [] and got[1300] == ["unusual_amount"]
+    assert not any(got[i] for i in range(300))
+
+
 def test_table_function_follows_the_same_rules(spark):
     from sheafwork.functions.tables import register_functions
 
