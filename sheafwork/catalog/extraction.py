@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from sheafwork.catalog.core import query
 from sheafwork.catalog.derived import ctes, frame
 from sheafwork.functions import fields as fx
+from sheafwork.functions.tables import register_functions
 from sheafwork.functions.text import bind
 from sheafwork.operators import fields as ops
+from sheafwork.operators import listing
 from sheafwork.session import cut_lineage
 
 SQL_LINES = """, lines as (select {id} as id, line, pos - 1 as i, total from (select {id},
@@ -201,3 +203,30 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 def _(spark: SparkSession, sf: str) -> DataFrame:
     codes = invoice_anomalies(spark, sf).select(F.explode("anomalies").alias("code"))
     return codes.groupBy("code").agg(F.count("*").alias("n"))
+
+
+@query("review_fields", INVOICE_LINES + SQL_DATES + SQL_TOTALS + SQL_VENDORS + """
+    select o_orderkey as doc_id, dates.confidence as date_conf, totals.confidence as total_conf,
+      vendors.confidence as vendor_conf, case when o_orderkey % 4 = 0 then '2000-01-01' else dates.value end as date,
+      case when o_orderkey % 5 = 0 then '7.5' else cast(totals.value as string) end as total,
+      replace(vendors.value, 'CUSTOMER', 'Customer') as vendor
+    from orders left join dates on dates.id = o_orderkey left join totals on totals.id = o_orderkey
+    left join vendors on vendors.id = o_orderkey""")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    key = F.col("o_orderkey")
+    edited = structured_invoices(spark, sf).select(
+        key.alias("doc_id"), "fields", F.when(key % 4 == 0, "2000-01-01").otherwise("").alias("date"),
+        F.when(key % 5 == 0, "7.5").alias("total"), F.lit(None).cast("string").alias("supplier"))
+    return listing.review_fields(edited)
+
+
+@query("extract_fields", INVOICE_LINES + SQL_DATES + SQL_TOTALS + SQL_VENDORS + """
+    select id as doc_id, 'date' as field, value, confidence, raw from dates
+    union all select id, 'total', cast(value as string), confidence, raw from totals
+    union all select id, 'vendor', value, confidence, raw from vendors""")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """The SQL table function on every invoice."""
+    register_functions(spark)
+    invoices = frame(spark, sf, "invoices")
+    return spark.sql("select o_orderkey as doc_id, f.* from {invoices}, lateral extract_fields(text) f",
+                     invoices=invoices)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,23 +14,38 @@ from sheafwork.catalog.searching import SQL_POSTINGS
 from sheafwork.functions.tokens import MARKED, PLAIN
 from sheafwork.operators import learning
 from sheafwork.sources import files, mail, sinks
+from sheafwork.session import cut_lineage, shared_folder
 from sheafwork.streaming import jobs
 
 
-def file_rows(spark: SparkSession, sf: str) -> DataFrame:
+def file_rows(documents: DataFrame) -> DataFrame:
     """Documents as (path, content) rows: even ones UTF-8 text files, odd ones Latin-1, every fifth of unknown kind."""
     even = F.col("doc_id") % 2 == 0
     content = F.when(even, F.encode("text", "UTF-8")).otherwise(
         F.encode(F.regexp_replace("text", r"[^\x00-\xff]", "?"), "ISO-8859-1"))
     name = F.concat(F.lit("/in/"), F.when(F.col("doc_id") % 11 == 0, ".hidden/").otherwise(""), "doc_id",
                     F.when(F.col("doc_id") % 5 == 0, ".dat").otherwise(".TXT"))
-    return frame(spark, sf, "documents").select("doc_id", name.alias("path"), content.alias("content"))
+    return documents.select("doc_id", name.alias("path"), content.alias("content"))
 
 
 @query("scan_corpus", """
     select doc_id from documents where doc_id % 11 <> 0 and doc_id % 5 <> 0""")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return file_rows(spark, sf).filter(files.allowed(F.col("path"))).select("doc_id")
+    return file_rows(frame(spark, sf, "documents")).filter(files.allowed(F.col("path"))).select("doc_id")
+
+
+@query("stream_hot_folder", """
+    select doc_id, md5(case when doc_id % 2 = 0 then text else regexp_replace(text, '[^\\x00-\\xff]', '?', 'g') end)
+      as text_md5 from documents where doc_id % 11 <> 0 and doc_id % 5 <> 0""")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """Runs the stream twice over the documents file: the second run finds nothing new."""
+    schema = frame(spark, sf, "documents").schema
+    folder = f"{shared_folder(spark)}/sheafwork-{uuid.uuid4().hex}"
+    for _ in range(2):
+        arriving = file_rows(spark.readStream.schema(schema).parquet(f"{sf}/documents*.parquet"))
+        jobs.take_into(arriving, f"{folder}/store", f"{folder}/checkpoint").awaitTermination()
+    taken = spark.read.schema("doc_id bigint, path string, content binary").parquet(f"{folder}/store")
+    return files.decode_text_files(taken).select("doc_id", F.md5("text").alias("text_md5"))
 
 
 @query("hash_files", """
@@ -43,7 +60,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     select doc_id, md5(case when doc_id % 2 = 0 then text else regexp_replace(text, '[^\\x00-\\xff]', '?', 'g') end)
       as text_md5, case when doc_id % 5 = 0 then 0.2 else 1.0 end::double as confidence from documents""")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    decoded = files.decode_text_files(file_rows(spark, sf))
+    decoded = files.decode_text_files(file_rows(frame(spark, sf, "documents")))
     return decoded.select("doc_id", F.md5("text").alias("text_md5"), "confidence")
 
 
@@ -117,11 +134,32 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return stamped(sinks.export_frame(docs))
 
 
+@query("export_side_outputs", """
+    select concat('doc_', doc_id) as stem, lang as language, md5(case when doc_id % 3 > 0 then concat('# ', text) end)
+      as markdown_md5 from documents""")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    summaries = frame(spark, sf, "documents").select(
+        F.concat(F.lit("/out/doc_"), "doc_id", F.lit(".pdf")).alias("path"), F.col("lang").alias("language"),
+        F.when(F.col("doc_id") % 3 > 0, F.concat(F.lit("# "), "text")).otherwise("").alias("markdown"))
+    summary, markdown = sinks.side_outputs(summaries)
+    return summary.join(markdown, "stem", "left").select("stem", "language", F.md5("markdown").alias("markdown_md5"))
+
+
 @query("batch_summary_report", ctes("records") + "select filename, status, duration, type from records")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return sinks.report_frame(frame(spark, sf, "records"))
 
 
+@query("train_text_classifier")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """How the trained classifier sees its own training texts: rows per true and predicted type."""
+    docs = frame(spark, sf, "documents").select("doc_id", F.col("lang").alias("type"))
+    rows = cut_lineage(learning.training_rows(docs, frame(spark, sf, "texts").select("id_doc", "text")))
+    model = learning.train_text_classifier(rows)
+    seen = learning.predict_type(rows.withColumnRenamed("type", "truth"), model)
+    return seen.groupBy("truth", F.col("type").alias("predicted")).agg(F.count("*").alias("n"))
+
+
 @query("predict_type")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     docs = frame(spark, sf, "documents").select("doc_id", F.col("lang").alias("type"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from sheafwork.catalog.core import query
 from sheafwork.catalog.derived import ctes, frame
+from sheafwork.functions.tables import register_functions
 from sheafwork.functions.tokens import MARKED, PLAIN
 from sheafwork.functions.vectors import l2_normalise
 from sheafwork.operators import neighbours, search
@@ -235,3 +236,31 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     index = neighbours.rebuild_index(frame(spark, sf, "docs"), frame(spark, sf, "texts"), letter_counts)
     return index.select("doc_id", F.col("chunk_no").cast("bigint").alias("chunk_no"), F.length("chunk").cast("bigint")
                         .alias("n_chars"), F.round(F.get("embedding", F.lit(4)).cast("double"), 3).alias("e"))
+
+
+@query("encode", ctes("texts") + f"""
+    , counted as (select id_doc, {SQL_LETTERS.format(t='lower(text)')} as v from texts)
+    select id_doc, round(v[1] / greatest(sqrt(list_sum(list_transform(v, lambda x: x * x))), 1e-9), 3) as a,
+      round(v[20] / greatest(sqrt(list_sum(list_transform(v, lambda x: x * x))), 1e-9), 3) as t from counted""")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """The SQL function ``embed_text`` with a model that counts letters."""
+    register_functions(spark, lambda: letter_counts)
+    coded = spark.sql("select id_doc, embed_text(text) as e from {texts}", texts=frame(spark, sf, "texts"))
+    return coded.select("id_doc", *[F.round(F.get("e", F.lit(i)).cast("double"), 3).alias(c) for i, c in
+                                    ((0, "a"), (19, "t"))])
+
+
+@query("stem")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """The vocabulary of all texts and its stems, through the SQL function."""
+    register_functions(spark)
+    words = indexed(spark, sf, stemmed=False).select("term").distinct()
+    return spark.sql("select term, stem(term) as stem from {words}", words=words)
+
+
+@query("similarity_ratio")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """Every part's name against its type, through the SQL function."""
+    register_functions(spark)
+    return spark.sql("select p_partkey, similarity_ratio(p_name, lower(p_type)) as ratio from {part}",
+                     part=frame(spark, sf, "part"))

@@ -102,10 +102,13 @@ def encoder(load: Callable[[], Callable[[list[str]], np.ndarray]]) -> Callable:
 
 
 def register_functions(spark: SparkSession, load_encoder: Callable | None = None) -> None:
-    """Make ``similarity_ratio``, ``stem``, ``extract_fields`` and, with a model, ``encode`` callable from SQL."""
+    """Make ``similarity_ratio``, ``stem``, ``extract_fields`` and, with a model, ``embed_text`` callable from SQL.
+
+    The encoder is not called ``encode``: Spark has a function of that name.
+    """
     spark.udf.register("similarity_ratio", similarity_ratio)
     spark.udf.register("stem", stem)
     table = F.udtf(ExtractFields, returnType="field string, value string, confidence double, raw string")
     spark.udtf.register("extract_fields", table)
     if load_encoder is not None:
-        spark.udf.register("encode", encoder(load_encoder))
+        spark.udf.register("embed_text", encoder(load_encoder))

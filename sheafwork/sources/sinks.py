@@ -57,14 +57,20 @@ def batch_summary_report(records: DataFrame, path: str) -> None:
     report_frame(records).write.mode("overwrite").option("header", True).csv(path)
 
 
-def export_side_outputs(summaries: DataFrame, folder: str) -> None:
-    """A JSON summary and a Markdown text per document, as one record each, partitioned by a hash of the document.
+def side_outputs(summaries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(JSON summaries, Markdown texts), each with the document's name in ``stem``; empty Markdown is left out.
 
-    ``summaries``: path, the summary columns, and ``markdown``. Readers find a document by its name in ``stem``.
+    ``summaries``: path, the summary columns, and ``markdown``.
     """
     named = summaries.withColumn("stem", stem_of(F.col("path")))
-    named.drop("markdown").write.mode("overwrite").json(f"{folder}/json")
-    named.filter(F.length("markdown") > 0).select("stem", "markdown").write.mode("overwrite").json(f"{folder}/markdown")
+    return named.drop("markdown"), named.filter(F.length("markdown") > 0).select("stem", "markdown")
+
+
+def export_side_outputs(summaries: DataFrame, folder: str) -> None:
+    """Write a JSON summary and a Markdown text per document, one record each, below ``folder``."""
+    summary, markdown = side_outputs(summaries)
+    summary.write.mode("overwrite").json(f"{folder}/json")
+    markdown.write.mode("overwrite").json(f"{folder}/markdown")
 
 
 def write_postings(postings: DataFrame, path: str, partitions: int | None = None) -> None:

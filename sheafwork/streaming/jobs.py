@@ -22,6 +22,13 @@ def stream_hot_folder(spark: SparkSession, folder: str, extensions: Iterable[str
     return files.filter(allowed(F.col("path"), extensions))
 
 
+def take_into(stream: DataFrame, store: str, checkpoint: str, extensions: Iterable[str] = FILE_TYPES) -> StreamingQuery:
+    """Append what arrives to a Parquet store, exactly once: rows with a ``path`` of an allowed kind."""
+    taken = stream.filter(allowed(F.col("path"), extensions))
+    return taken.writeStream.format("parquet").option("path", store).option("checkpointLocation", checkpoint).trigger(
+        availableNow=True).start()
+
+
 def stream_dedup(rows: DataFrame, time: str = "ts", hash_column: str = "md5_hash", delay: str = "1 day") -> DataFrame:
     """First row of every content within the watermark; state older than that is forgotten."""
     return rows.withWatermark(time, delay).dropDuplicatesWithinWatermark([hash_column])

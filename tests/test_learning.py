@@ -56,4 +56,4 @@ def test_sql_functions(spark):
     rows = spark.sql("select field, value, raw from extract_fields('ACME\\nFecha: 2024-01-15\\nTotal: 12,50 €')").collect()
     assert {r["field"]: r["value"] for r in rows} == {"date": "2024-01-15", "total": "12.5", "vendor": "ACME"}
     register_functions(spark, lambda: lambda texts: np.array([[len(t), 1.0] for t in texts]))
-    assert spark.sql("select encode('abc') as e").first()["e"] == [3.0, 1.0]
+    assert spark.sql("select embed_text('abc') as e").first()["e"] == [3.0, 1.0]
