@@ -108,7 +108,8 @@ def register_functions(spark: SparkSession, load_encoder: Callable | None = None
     """
     spark.udf.register("similarity_ratio", similarity_ratio)
     spark.udf.register("stem", stem)
-    table = F.udtf(ExtractFields, returnType="field string, value string, confidence double, raw string")
+    table = F.udtf(ExtractFields, returnType="field string, value string, confidence double, raw string",
+                   useArrow=True)
     spark.udtf.register("extract_fields", table)
     if load_encoder is not None:
         spark.udf.register("embed_text", encoder(load_encoder))
