@@ -42,11 +42,11 @@ def document_lengths(postings: DataFrame) -> DataFrame:
 
 
 def text_lengths(docs: DataFrame, fields: tuple[str, ...] = ("filename", "text")) -> DataFrame:
-    """The same numbers from the texts, without grouping anything; texts without terms are left out."""
+    """The same numbers from the texts, without grouping anything; a text without terms has 0."""
     count = F.lit(0)
     for f in fields:
         count = count + F.size(terms(F.coalesce(F.col(f), F.lit(""))))
-    return docs.select("doc_id", count.cast("bigint").alias("n_terms")).filter("n_terms > 0")
+    return docs.select("doc_id", count.cast("bigint").alias("n_terms"))
 
 
 def search_fulltext(postings: DataFrame, query: str, limit: int = 50, stemmed: bool = True,
@@ -60,7 +60,8 @@ def search_fulltext(postings: DataFrame, query: str, limit: int = 50, stemmed: b
     if not wanted:
         return postings.select("doc_id", F.lit(0.0).alias("score")).limit(0)
     lengths = lengths if lengths is not None else document_lengths(postings)
-    corpus = lengths.agg(F.struct(F.count("*").alias("n"), F.avg("n_terms").alias("mean"))).scalar()
+    indexed = F.when(F.col("n_terms") > 0, F.col("n_terms"))
+    corpus = lengths.agg(F.struct(F.count(indexed).alias("n"), F.avg(indexed).alias("mean"))).scalar()
     # one column per query term: a term found in most documents never becomes a group or a join key
     names = [f"tf_{i}" for i in range(len(wanted))]
     found = postings.filter(F.col("term").isin(*wanted)).groupBy("doc_id").agg(*[
