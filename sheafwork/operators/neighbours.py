@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from sheafwork.functions.vectors import l2_normalise  # noqa: F401
 from sheafwork.plans.blockwise import blocks_for, first_near, matrix, meet, similarities, top_k, unit
 from sheafwork.plans.sizing import block_count, rows_if_small
 from sheafwork.session import cut_lineage
