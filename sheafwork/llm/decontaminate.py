@@ -2,7 +2,7 @@
 
 Items and documents are normalised alike (lower case, runs of white space as one space). An item is cut into windows of
 ``WINDOW`` characters every ``STRIDE`` (shorter items are one window), so a document that holds a long part of an item
-is found as well. A window of n characters may differ from the text by k = n // 10 edits. By the q-gram lemma a region
+is found as well. A window of n characters may differ from the text by k = n // 12 edits. By the q-gram lemma a region
 within k edits shares at least n - q + 1 - k q of the window's q-grams with it, and all of these lie on diagonals
 (position in the text less position in the window) that differ by at most k. Shared q-grams are counted in overlapping
 bands of 2(k + 1) diagonals that start every k + 1; bands that reach the bound are verified by banded alignment.
@@ -28,13 +28,13 @@ from pyspark.sql import functions as F
 from sheafwork.llm.common import fresh
 
 WINDOW, STRIDE, LEAST = 96, 48, 24
-ERRORS_PER = 10
+ERRORS_PER = 12
 BLOCK_CHARS = 4_000_000
 #: Windows of at least so many characters use q-grams of 8, shorter ones of 4; either way the lemma's bound is positive.
 LONG = 60
 FIELDS = ("item_id", "first", "last", "edits")
 FOUND = "array<struct<item_id:bigint,first:bigint,last:bigint,edits:bigint>>"
-TABLE_BITS = 22
+TABLE_BITS = 20
 _BASE = 0x9E3779B97F4A7C15
 #: A text is searched in stretches of so many characters that overlap by more than a region, so memory is bounded.
 STRETCH = 1 << 20
@@ -108,6 +108,15 @@ def align(window: list[int], text: list[int], budget: int, low: int, high: int)
     return row[j], start[j], len(window) + low + j
 
 
+def nearest(window: np.ndarray, text: np.ndarray, budget: int, low: int, high: int) -> tuple[int, int, int] | None:
+    """``align``, after a look for the window as it stands."""
+    body, wanted, at = text.tobytes(), window.tobytes(), -1
+    while (at := body.find(wanted, at + 1)) >= 0:
+        if at % 4 == 0:
+            return 0, at // 4, at // 4 + len(window)
+    return align(window.tolist(), text.tolist(), budget, low, high)
+
+
 class Windows:
     """The windows of one block of items, with a table of their q-grams for each q."""
 
@@ -119,6 +128,10 @@ class Windows:
                 for start, length in windows_of(len(points)):
                     self.item.append(item_id)
                     self.points.append(points[start:start + length])
+        lengths = np.array([len(p) for p in self.points], dtype=np.int64)
+        self.step = lengths // ERRORS_PER + 1
+        q_of = np.where(lengths >= LONG, 8, 4)
+        self.bound = lengths - q_of + 1 - q_of * (lengths // ERRORS_PER)
         self.tables = {}
         for q in (8, 4):
             chosen = [w for w, p in enumerate(self.points) if (len(p) >= LONG) == (q == 8)]
@@ -132,13 +145,10 @@ class Windows:
             code, window, place = code[order], window[order], place[order]
             seen = np.zeros(1 << TABLE_BITS, dtype=bool)
             seen[_slot(code)] = True
-            least = min(self._bound(w, q) for w in chosen)
+            least = int(self.bound[chosen].min())
             longest = max(len(self.points[w]) for w in chosen)
-            self.tables[q] = (seen, code, window, place, least, longest + longest // ERRORS_PER)
-
-    def _bound(self, w: int, q: int) -> int:
-        n = len(self.points[w])
-        return n - q + 1 - q * (n // ERRORS_PER)
+            code, first, times = np.unique(code, return_index=True, return_counts=True)
+            self.tables[q] = (seen, code, first, times, window, place, least, longest + longest // ERRORS_PER)
 
     def search(self, text: str | None) -> list[tuple[int, int, int, int]]:
         """(item_id, first, last, edits) per item found: the span of ``text`` its nearest windows cover."""
@@ -157,7 +167,7 @@ class Windows:
 
     def _stretch(self, points: np.ndarray, origin: np.ndarray, q: int,
                  found: dict[int, list[tuple[int, int, int]]]) -> None:
-        seen, code, window, place, least, reach = self.tables[q]
+        seen, code, first, repeats, window, place, least, reach = self.tables[q]
         codes = grams(points, q)
         at = np.flatnonzero(seen[_slot(codes)])
         if len(at) < least:
@@ -170,8 +180,11 @@ class Windows:
         edge[dense] += 1
         edge[dense + least] -= 1
         at = at[np.cumsum(edge[:-1]) > 0]
-        left = np.searchsorted(code, codes[at], "left")
-        times = np.searchsorted(code, codes[at], "right") - left
+        wanted = codes[at]
+        which = np.minimum(np.searchsorted(code, wanted), len(code) - 1)
+        known = code[which] == wanted
+        at, which = at[known], which[known]
+        left, times = first[which], repeats[which]
         hit = np.repeat(left - np.concatenate(([0], np.cumsum(times)[:-1])), times) + np.arange(times.sum())
         self._bands(points, origin, q, window[hit], np.repeat(at, times) - place[hit], place[hit], found)
 
@@ -179,29 +192,29 @@ class Windows:
                place: np.ndarray, found: dict[int, list[tuple[int, int, int]]]) -> None:
         if not len(w):
             return
-        lengths = np.array([len(p) for p in self.points])
-        budget = lengths[w] // ERRORS_PER
-        step = budget + 1
-        band = np.floor_divide(diagonal, step)  # bands b and b - 1 hold this diagonal
-        key_w, key_b = np.concatenate((w, w)), np.concatenate((band, band - 1))
-        # a q-gram of the window counts once in a band, however often the text repeats it there
-        rows = np.stack((key_w, key_b, np.concatenate((place, place))), axis=1)
-        rows = rows[np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))]
-        once = np.concatenate(([True], (rows[1:] != rows[:-1]).any(axis=1)))
-        rows = rows[once][:, :2]
-        new = np.flatnonzero(np.concatenate(([True], (rows[1:] != rows[:-1]).any(axis=1))))
-        counts = np.diff(np.append(new, len(rows)))
-        bound = lengths[rows[new, 0]] - q + 1 - q * (lengths[rows[new, 0]] // ERRORS_PER)
-        for i in np.flatnonzero(counts >= bound):
-            index, b = int(rows[new[i], 0]), int(rows[new[i], 1])
+        band = np.floor_divide(diagonal, self.step[w])  # bands b and b - 1 hold this diagonal
+        least = int(band.min()) - 1
+        bands = int(band.max()) - least + 1
+        # (window, band, place) in one number: a q-gram of the window counts once in a band, however often it recurs
+        key = (w * bands + (band - least)) * WINDOW + place
+        key = np.sort(np.concatenate((key, key - WINDOW)))
+        cell = key[np.concatenate(([True], key[1:] != key[:-1]))] // WINDOW
+        new = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
+        counts = np.diff(np.append(new, len(cell)))
+        cell = cell[new]
+        done = -1
+        for c in cell[counts >= self.bound[cell // bands]].tolist():
+            if c == done:  # the band before it shares half its diagonals and has settled the window there
+                continue
+            index, b = c // bands, c % bands + least
             n = len(self.points[index])
             k = n // ERRORS_PER
             low, high = b * (k + 1) - k, (b + 2) * (k + 1) - 1 + k  # an alignment leaves the band by at most k
             begin, end = max(0, low), min(len(points), high + n)
-            region = points[begin:end].tolist()
-            best = align(self.points[index].tolist(), region, k, low - begin, high - begin)
+            best = nearest(self.points[index], points[begin:end].astype("<u4"), k, low - begin, high - begin)
             if best is not None:
                 edits, first, last = best
+                done = c + 1
                 first, last = max(first, 0) + begin, last + begin
                 if last > first:
                     found.setdefault(self.item[index], []).append(
