@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheafwork.llm import decontaminate, quality, sharding
+from sheafwork.llm import decontaminate, jaccard, quality, sharding
 from sheafwork.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                          f"{name}.n_dup_lines", f"{name}.n_repeat_words", f"{name}.base_failed", f"{name}.kept")
 
 
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_components(table(spark, sf_dir, "documents"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.interleave(table(spark, sf_dir, "documents"), shards=24)
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
@@ -30,6 +34,6 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_quality_rules, op8_sharding, op9_benchmark_decontamination)}
+    op1_quality_rules, op4_ngram_jaccard_join, op8_sharding, op9_benchmark_decontamination)}
 
 ORACLES: dict[str, str] = {}
