@@ -29,12 +29,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheafwork.llm.common import fresh
 from sheafwork.llm.components import components
+from sheafwork.llm.words import mix, words_of
 from sheafwork.session import cut_lineage
 
 #: Two sets link when PERCENT * union <= 100 * intersection.
@@ -44,40 +44,30 @@ WORDS = 4
 RATIO = 0.7
 #: Shingles that one block of a verification holds; two blocks meet in a task.
 BLOCK_SHINGLES = 1_500_000
-#: Words whose hashes a task remembers, and sets it remembers to have indexed; beyond it starts anew.
+#: Sets a task remembers to have indexed; beyond it starts anew.
 REMEMBERED = 400_000
 _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit numbers that scatters them."""
-    x = (x ^ (x >> np.uint64(30))) * _M1
-    x = (x ^ (x >> np.uint64(27))) * _M2
-    return x ^ (x >> np.uint64(31))
+def _times(factor: int, constant: np.uint64) -> np.uint64:
+    return np.uint64(factor * int(constant) % (1 << 64))
 
 
-class Shingler:
-    """Texts to sorted distinct shingle hashes."""
-
-    def __init__(self, words: int = WORDS):
-        self.words = words
-        self.known: dict[bytes, int] = {}
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        parts = text.encode().lower().split() if text else []
-        if not parts:
-            return np.empty(0, dtype=np.uint64)
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        for word in set(parts) - known.keys():
-            known[word] = xxhash.xxh3_64_intdigest(word)
-        hashes = np.fromiter(map(known.__getitem__, parts), dtype=np.uint64, count=len(parts))
-        width = min(self.words, len(parts))
-        folded = hashes[:len(hashes) - width + 1].copy()
-        for i in range(1, width):
-            folded = folded * _M3 + hashes[i:len(hashes) - width + 1 + i]
-        return np.unique(mix(folded + np.uint64(width)))
+def shingles_of(texts: pa.Array, width: int = WORDS) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of every text; A-Z are lower-cased."""
+    out = []
+    found = words_of(texts, lower=True)
+    for hashes in found.per_text(found.hashes):
+        if not len(hashes):
+            out.append(hashes)
+            continue
+        w = min(width, len(hashes))
+        folded = hashes[:len(hashes) - w + 1].copy()
+        for i in range(1, w):
+            folded = folded * _M3 + hashes[i:len(hashes) - w + 1 + i]
+        folded = np.sort(mix(folded + np.uint64(w)))
+        out.append(folded[np.concatenate(([True], folded[1:] != folded[:-1]))])
+    return out
 
 
 class Scheme:
@@ -131,7 +121,7 @@ class Scheme:
         return np.concatenate(out) if out else np.empty(0, dtype=np.uint64)
 
     def _in_band(self, elements: np.ndarray, band: int, segments: int) -> np.ndarray:
-        salted = mix(elements + np.uint64(band + 1) * _M3)
+        salted = mix(elements + _times(band + 1, _M3))
         segment = (salted % np.uint64(segments)).astype(np.int64)
         order = np.argsort(segment, kind="stable")
         sizes = np.bincount(segment, minlength=segments)
@@ -139,7 +129,7 @@ class Scheme:
         running = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(values, dtype=np.uint64)))
         ends = np.cumsum(sizes)
         sums = running[ends] - running[ends - sizes]
-        salt = mix(np.arange(segments, dtype=np.uint64) + np.uint64(band) * _M1)
+        salt = mix(np.arange(segments, dtype=np.uint64) + _times(band, _M1))
         filled = sizes > 0
         empties = segments - int(filled.sum())
         if not empties or not self.skips_empty(band, segments):
@@ -159,19 +149,22 @@ def _digest(elements: np.ndarray) -> tuple[int, int]:
     return int(a.sum(dtype=np.uint64).view(np.int64)), int(b.sum(dtype=np.uint64).view(np.int64))
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 200) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def shingle_sets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
     """(doc_id, n_shingles, d1, d2): size and digest of every row's set."""
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingler(words)
-        for batch in batches:
-            sizes, digests = [], []
-            for value in batch.column(1):
-                elements = shingles(value.as_py())
-                sizes.append(len(elements))
-                digests.append(_digest(elements))
+        for batch in _slices(batches):
+            sets = shingles_of(batch.column(1), words)
+            digests = [_digest(s) for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array([d[0] for d in digests], pa.int64()),
-                 pa.array([d[1] for d in digests], pa.int64())], names=["doc_id", "n_shingles", "d1", "d2"])
+                [batch.column(0), pa.array(list(map(len, sets)), pa.int64()),
+                 pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64())],
+                names=["doc_id", "n_shingles", "d1", "d2"])
 
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     return rows.mapInArrow(body, "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint")
@@ -180,11 +173,10 @@ def shingle_sets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wo
 def _signatures(docs: DataFrame, doc_id: str, text: str, words: int, percent: int, in_band: dict[int, int]) -> DataFrame:
     """(sig, node) per signature. A task indexes equal sets once, under the first row it met them in."""
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, scheme, indexed = Shingler(words), Scheme(percent, in_band), set()
-        for batch in batches:
-            found, nodes, held = [], [], 0
-            for node, value in zip(batch.column(0).to_pylist(), batch.column(1)):
-                elements = shingles(value.as_py())
+        scheme, indexed = Scheme(percent, in_band), set()
+        for batch in _slices(batches):
+            found, nodes = [], []
+            for node, elements in zip(batch.column(0).to_pylist(), shingles_of(batch.column(1), words)):
                 if not len(elements) or (digest := _digest(elements)) in indexed:
                     continue
                 if len(indexed) > REMEMBERED:
@@ -192,10 +184,6 @@ def _signatures(docs: DataFrame, doc_id: str, text: str, words: int, percent: in
                 indexed.add(digest)
                 found.append(scheme.signatures(elements))
                 nodes.append(node)
-                held += len(found[-1])
-                if held > 1_000_000:
-                    yield _rows(found, nodes)
-                    found, nodes, held = [], [], 0
             yield _rows(found, nodes)
 
     def _rows(found: list[np.ndarray], nodes: list[int]) -> pa.RecordBatch:
@@ -268,8 +256,7 @@ def _verify(docs: DataFrame, meetings: DataFrame, doc_id: str, text: str, words:
     """(u, v): links found where blocks meet. ``meetings`` has (node, task, side)."""
     def body(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("doc_id", ignore_index=True)
-        shingles = Shingler(words)
-        sets = [shingles(t) for t in group["text"]]
+        sets = shingles_of(pa.array(group["text"], pa.large_string()), words)
         links = verified_links(group["doc_id"].to_numpy(), group["side"].to_numpy(), sets, Scheme(percent, in_band))
         return pd.DataFrame(links, columns=["u", "v"], dtype="int64")
 
