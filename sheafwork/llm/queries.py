@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheafwork.llm import decontaminate, jaccard, quality, repair, sharding
+from sheafwork.llm import decontaminate, jaccard, lm, quality, repair, sharding
 from sheafwork.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,10 @@ def op5_token_ids_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.through_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.backoff_scores(table(spark, sf_dir, "documents"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.interleave(table(spark, sf_dir, "documents"), shards=24)
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
@@ -39,6 +43,6 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_quality_rules, op4_ngram_jaccard_join, op5_token_ids_repair, op8_sharding, op9_benchmark_decontamination)}
+    op1_quality_rules, op4_ngram_jaccard_join, op5_token_ids_repair, op6_lm_scoring, op8_sharding, op9_benchmark_decontamination)}
 
 ORACLES: dict[str, str] = {}
