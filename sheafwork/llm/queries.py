@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheafwork.llm import decontaminate, jaccard, lm, quality, repair, sharding
+from sheafwork.llm import decontaminate, jaccard, lm, pieces, quality, repair, sharding, tokencount
 from sheafwork.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                          f"{name}.n_dup_lines", f"{name}.n_repeat_words", f"{name}.base_failed", f"{name}.kept")
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_components(table(spark, sf_dir, "documents"))
 
@@ -32,6 +36,16 @@ def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.backoff_scores(table(spark, sf_dir, "documents"))
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text, and whether the text decoded from them is the text."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    encoded, ids = pieces.with_ids(table(spark, sf_dir, "documents"), path)
+    decoded = encoded.select("doc_id", "text", ids, pieces.piece_text(F.col(ids), path).alias("back"))
+    return decoded.select("doc_id", F.size(ids).cast("bigint").alias("n_ids"), F.xxhash64(ids).alias("ids_hash"),
+                          F.octet_length("back").cast("bigint").alias("decoded_bytes"),
+                          F.col("back").eqNullSafe(F.col("text")).alias("exact"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.interleave(table(spark, sf_dir, "documents"), shards=24)
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
@@ -43,6 +57,7 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_quality_rules, op4_ngram_jaccard_join, op5_token_ids_repair, op6_lm_scoring, op8_sharding, op9_benchmark_decontamination)}
+    op1_quality_rules, op3_token_counts, op4_ngram_jaccard_join, op5_token_ids_repair, op6_lm_scoring, op7_sentencepiece,
+    op8_sharding, op9_benchmark_decontamination)}
 
 ORACLES: dict[str, str] = {}

@@ -11,6 +11,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from sheafwork.llm.common import SPACE
 
@@ -81,6 +82,35 @@ def words_of(texts: pa.Array, lower: bool = False) -> Words:
     after = np.concatenate((~filled[1:], [True])) if len(data) else filled
     starts = np.flatnonzero(filled & (before | edge[:-1]))
     ends = np.flatnonzero(filled & (after | edge[1:])) + 1
+    first = np.searchsorted(starts, offsets)
+    return Words(data, starts, ends - starts, hashes_of(data, starts, ends), np.diff(first))
+
+
+def after_space(texts: pa.Array) -> pa.Array:
+    """Every text behind one space; an empty text stays empty and a null one null."""
+    texts = texts.cast(pa.large_string())
+    empty, space = pa.scalar("", pa.large_string()), pa.scalar(" ", pa.large_string())
+    return pc.if_else(pc.equal(texts, empty), empty, pc.binary_join_element_wise(space, texts, empty))
+
+
+def pieces_of(texts: pa.Array) -> Words:
+    """Every byte of a string array, cut before runs of spaces and around the other white space characters."""
+    data, offsets = bytes_of(texts)
+    if not len(data):
+        return Words(data, *[np.empty(0, dtype=np.int64)] * 2, np.empty(0, dtype=np.uint64), np.diff(offsets))
+    blank = data == 32
+    other = _IS_SPACE[data] & ~blank
+    begins = blank & np.concatenate(([True], ~blank[:-1]))
+    begins |= other | np.concatenate(([True], other[:-1]))
+    begins[offsets[:-1][offsets[:-1] < len(data)]] = True
+    starts = np.flatnonzero(begins)
+    ends = np.append(starts[1:], len(data))
+    first = np.searchsorted(starts, offsets)
+    return Words(data, starts, ends - starts, hashes_of(data, starts, ends), np.diff(first))
+
+
+def hashes_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each ascending, disjoint range of bytes: differences of a running polynomial sum."""
     hashes = np.empty(len(starts), dtype=np.uint64)
     at = 0
     while at < len(starts):
@@ -93,8 +123,7 @@ def words_of(texts: pa.Array, lower: bool = False) -> Words:
         a, b = starts[at:to] - begin, ends[at:to] - begin
         hashes[at:to] = (running[b] - running[a]) * inverse[a]
         at = to
-    first = np.searchsorted(starts, offsets)
-    return Words(data, starts, ends - starts, mix(hashes + (ends - starts).astype(np.uint64)), np.diff(first))
+    return mix(hashes + (ends - starts).astype(np.uint64))
 
 
 class WordIndex:
