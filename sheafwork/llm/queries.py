@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheafwork.llm import chat, decontaminate, jaccard, lm, pieces, quality, repair, sharding, tokencount
+from sheafwork.llm import chat, decontaminate, jaccard, licenses, lm, pieces, quality, repair, sharding, tokencount
 from sheafwork.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,8 +67,12 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_quality_rules, op2_chat_formatting, op3_token_counts, op4_ngram_jaccard_join, op5_token_ids_repair, op6_lm_scoring,
-    op7_sentencepiece, op8_sharding, op9_benchmark_decontamination)}
+    op7_sentencepiece, op8_sharding, op9_benchmark_decontamination, op10_license_scans)}
 
 ORACLES: dict[str, str] = {}

@@ -21,6 +21,8 @@ _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[list(SPACE.encode())] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+_LETTERS = _LOWER.copy()
+_LETTERS[[c for c in range(128) if not chr(c).isalnum()]] = 32
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _LETTER = np.random.Generator(np.random.PCG64(7)).integers(1, 1 << 63, size=256, dtype=np.uint64)
@@ -69,11 +71,12 @@ def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[at[0]:at[-1]], at - at[0]
 
 
-def words_of(texts: pa.Array, lower: bool = False) -> Words:
-    """All words of a string array; ``lower`` maps A-Z to a-z first."""
+def words_of(texts: pa.Array, lower: bool = False, letters_only: bool = False) -> Words:
+    """All words of a string array; ``lower`` maps A-Z to a-z first, ``letters_only`` also ASCII other than letters and
+    digits to spaces."""
     data, offsets = bytes_of(texts)
-    if lower:
-        data = _LOWER[data]
+    if lower or letters_only:
+        data = (_LETTERS if letters_only else _LOWER)[data]
     filled = ~_IS_SPACE[data]
     # a text's first byte starts a word even when the text before it does not end in white space
     edge = np.zeros(len(data) + 1, dtype=bool)
