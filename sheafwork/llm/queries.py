@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheafwork.llm import chat, decontaminate, jaccard, licenses, lm, pieces, quality, repair, sharding, tokencount
+from sheafwork.llm import chat, decontaminate, jaccard, licenses, lm, oracles, pieces, quality, repair, sharding, tokencount
 from sheafwork.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,4 +75,8 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_quality_rules, op2_chat_formatting, op3_token_counts, op4_ngram_jaccard_join, op5_token_ids_repair, op6_lm_scoring,
     op7_sentencepiece, op8_sharding, op9_benchmark_decontamination, op10_license_scans)}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_quality_rules": oracles.QUALITY,
+    "op2_chat_formatting": oracles.CHAT,
+    "op4_ngram_jaccard_join": oracles.JACCARD,
+}
