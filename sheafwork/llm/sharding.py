@@ -1,8 +1,9 @@
 """Shards that all have the mixture of the whole: proportional stratified interleaving.
 
 The rows of each source are shuffled by a seeded hash and ranked; a row's place is its fractional rank
-(rank - 1/2) / (rows of the source); rows are sorted by it and cut into shards of equal counts. A stretch of the order
-then holds each source in proportion, within one row.
+(rank - phase) / (rows of the source); rows are sorted by it and cut into shards of equal counts. The phase is between 0
+and 1 and drawn by hash for each source, so sources of one size do not all step at the same places. With k sources, a
+shard of s of N rows holds of a source of n rows n s / N, give or take less than 2 + k n / N.
 
 No source and no table is ranked in one task. The hash is uniform, so its leading bits cut every source into equal
 buckets; rows are counted per bucket, bucket counts are accumulated, and a row needs only its rank in its own bucket.
@@ -21,7 +22,7 @@ from sheafwork.llm.common import text_bytes
 from sheafwork.session import cut_lineage
 
 #: Rows that one bucket should hold; buckets, not sources, are what a task ranks.
-ROWS_PER_BUCKET = 2_000
+ROWS_PER_BUCKET = 500
 
 
 def _offsets(counts: DataFrame, keys: list[str], bucket: str, n: str, to: str) -> DataFrame:
@@ -45,8 +46,8 @@ def interleave(docs: DataFrame, shards: int, doc_id: str = "doc_id", text: str =
     total = rows.count()
     buckets = max(1, -(-total // rows_per_bucket))
     # the hash as a fraction of its range, sliced; a source's rows fall evenly over the slices
-    slot_of = F.least(F.floor((F.shiftrightunsigned("h", 11) / float(1 << 53)) * buckets), F.lit(buckets - 1))
-    cut = rows.withColumn("b", slot_of.cast("int"))
+    bucket = F.least(F.floor((F.shiftrightunsigned("h", 11) / float(1 << 53)) * buckets), F.lit(buckets - 1))
+    cut = rows.withColumn("b", bucket.cast("int"))
 
     counts = cut.groupBy("source", "b").agg(F.count(F.lit(1)).alias("n"))
     whole = counts.groupBy("source").agg(F.sum("n").alias("of_source"))
@@ -58,8 +59,8 @@ def interleave(docs: DataFrame, shards: int, doc_id: str = "doc_id", text: str =
     within = Window.partitionBy("source", "b").orderBy(*order)
     ranked = cut.withColumn("r", F.row_number().over(within))
     ranked = ranked.join(placed, ranked["source"].eqNullSafe(placed["s"]) & (ranked["b"] == placed["pb"]))
-    # twice the rank less one over twice the rows: an exact fraction, compared as a double and then by source and hash
-    place = (2 * (F.col("before") + F.col("r")) - 1) / (2 * F.col("of_source"))
+    phase = F.pmod(F.xxhash64(F.lit(seed), "source"), F.lit(1 << 20)) / float(1 << 20)
+    place = (F.col("before") + F.col("r") - phase) / F.col("of_source")
     ordered = ranked.select("doc_id", "source", "size", "text_crc32", "h", place.alias("place"),
                             F.least(F.floor(place * buckets), F.lit(buckets - 1)).cast("int").alias("g"))
 
