@@ -209,10 +209,9 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 
 SQL_HYBRID = ctes("docs", "texts") + """
     , visual as (select o_custkey as question_id, row_number() over (partition by o_custkey order by o_orderkey) as rank,
-        o_orderkey as doc_id, o_totalprice as score from orders qualify rank <= 3),
+        o_orderkey as doc_id, o_totalprice as score from orders),
     textual as (select l_suppkey as question_id, row_number() over (partition by l_suppkey order by l_orderkey,
-        l_linenumber, l_partkey, l_extendedprice) as rank, l_orderkey as doc_id from lineitem
-      qualify rank <= 400),
+        l_linenumber, l_partkey, l_extendedprice) as rank, l_orderkey as doc_id from lineitem),
     hybrid as (select question_id, 0 as source_order, rank, doc_id, filename, substr(coalesce(text, ''), 1, 300) as
         snippet, score, 'visual' as type from visual join docs using (doc_id) left join texts on doc_id = id_doc
       union all select question_id, 1, rank, doc_id, filename, concat('hit ', rank), 1.0, 'text' from textual
@@ -222,12 +221,11 @@ SQL_HYBRID = ctes("docs", "texts") + """
 def hybrid(spark: SparkSession, sf: str) -> DataFrame:
     docs = frame(spark, sf, "docs").select("doc_id", "filename")
     texts = frame(spark, sf, "texts").select(F.col("id_doc").alias("doc_id"), "text")
-    orders = spark.sql(f"""select question_id, rank, doc_id, score from (select o_custkey as question_id, o_orderkey as
-        doc_id, o_totalprice as score, row_number() over (partition by o_custkey order by o_orderkey) as rank
-        from parquet.`{sf}/orders.parquet`) where rank <= 3""")
+    orders = spark.sql(f"""select o_custkey as question_id, o_orderkey as doc_id, o_totalprice as score,
+        row_number() over (partition by o_custkey order by o_orderkey) as rank from parquet.`{sf}/orders.parquet`""")
     lines = spark.sql(f"""select question_id, rank, doc_id, concat('hit ', rank) as snippet from (select l_suppkey as
         question_id, l_orderkey as doc_id, row_number() over (partition by l_suppkey order by l_orderkey, l_linenumber,
-          l_partkey, l_extendedprice) as rank from parquet.`{sf}/lineitem.parquet`) where rank <= 400""")
+          l_partkey, l_extendedprice) as rank from parquet.`{sf}/lineitem.parquet`)""")
     return conversation.hybrid_results(orders.join(docs, "doc_id").join(texts, "doc_id", "left"),
                                        lines.join(docs, "doc_id"))
 

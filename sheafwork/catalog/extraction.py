@@ -173,8 +173,10 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
         F.col("o_orderkey").alias("doc_id"), F.array_join(codes, "|").alias("anomalies"))
 
 
-SQL_HISTORY = """, history as (select o_orderkey, o_custkey, value, count(value) over w as n, avg(value) over w as mean,
-      stddev_samp(value) over w as sd from totals join orders on id = o_orderkey
+SQL_HISTORY = """, dated as (select o_orderkey, case when o_orderkey % 13 > 0 then o_custkey end as o_custkey, value
+      from totals join orders on id = o_orderkey),
+  history as (select o_orderkey, o_custkey, value, count(value) over w as n, avg(value) over w as mean,
+      stddev_samp(value) over w as sd from dated
     window w as (partition by o_custkey order by o_orderkey rows between unbounded preceding and 1 preceding)),
   flagged as (select *, n >= 5 and sd > 0 and abs(value - mean) > 3 * sd as unusual, n >= 5 and value > mean * 10 as
       large, n >= 5 and value % 100 = 0 and value >= 1000 as round_number from history)"""
@@ -183,7 +185,8 @@ SQL_HISTORY = """, history as (select o_orderkey, o_custkey, value, count(value)
 def invoice_anomalies(spark: SparkSession, sf: str) -> DataFrame:
     invoices = frame(spark, sf, "invoices")
     totals = found(invoices, fx.extract_total(F.col("text")), "o_orderkey", "o_custkey")
-    stored = cut_lineage(totals.select("o_orderkey", "o_custkey", "value"))
+    customer = F.when(F.col("o_orderkey") % 13 > 0, F.col("o_custkey"))  # some invoices name nobody
+    stored = cut_lineage(totals.select("o_orderkey", customer.alias("o_custkey"), "value"))
     return ops.amount_anomalies(stored, "o_custkey", "o_orderkey", "value",
                                 bounds_from=frame(spark, sf, "orders"))
 

@@ -118,11 +118,22 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("path", "name", F.trim(F.decode("content", "UTF-8")).alias("content"))
 
 
-@query("append_documents", ctes("docs") + f"""
-    select 500 + row_number() over (order by doc_id) as doc_id, filename, {SQL_STAMP} from docs where doc_id % 2 = 1""")
+@query("append_documents", ctes("docs", "texts") + f"""
+    select row_number() over (order by doc_id % 2, doc_id) as doc_id, filename, {SQL_STAMP}, length(text) as n_chars
+    from docs left join texts on doc_id = id_doc and text <> ''""")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    rows = frame(spark, sf, "docs").filter("doc_id % 2 = 1").withColumnRenamed("doc_id", "source_id")
-    return stamped(sinks.with_new_ids(rows, "source_id", 500).select("doc_id", "filename", "datetime"))
+    """Appends the even documents to a new store, then the odd ones, and reads the store."""
+    texts = frame(spark, sf, "texts").select(F.col("id_doc").alias("doc_id"), "text", "language",
+                                             F.col("confidence").alias("text_confidence"))
+    docs = frame(spark, sf, "docs").drop("confidence", "language", "text").join(texts, "doc_id", "left")
+    rows = docs.withColumnsRenamed({"doc_id": "source_id", "text_confidence": "confidence"})
+    store = f"{shared_folder(spark)}/sheafwork-{uuid.uuid4().hex}"
+    for parity in (0, 1):
+        sinks.append_documents(spark, rows.filter(F.col("source_id") % 2 == parity), store, "source_id")
+    stored = spark.read.parquet(f"{store}/texts").select(F.col("id_doc").alias("doc_id"),
+                                                         F.length("text").cast("bigint").alias("n_chars"))
+    kept = spark.read.parquet(f"{store}/documents").join(stored, "doc_id", "left")
+    return stamped(kept.select("doc_id", "filename", "datetime", "n_chars"))
 
 
 @query("export_documents_csv", ctes("docs", "texts") + f"""
@@ -164,7 +175,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 def _(spark: SparkSession, sf: str) -> DataFrame:
     docs = frame(spark, sf, "documents").select("doc_id", F.col("lang").alias("type"))
     texts = frame(spark, sf, "texts").select("id_doc", "text")
-    model = learning.train_text_classifier(learning.training_rows(docs, texts))
+    model = learning.train_text_classifier(learning.training_rows(docs, texts))  # stores its rows once
     return learning.predict_type(texts, model).select("id_doc", "type", "tag")
 
 
@@ -216,11 +227,13 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("stream_dedup", """
-    select doc_id, md5(text) as md5_hash from documents where md5(text) not in (select md5(text) from documents
-      where doc_id % 3 = 0) and doc_id % 3 <> 0
-    qualify row_number() over (partition by md5(text) order by doc_id) = 1""")
+    with hashed as (select doc_id, case when doc_id % 17 > 0 then md5(text) end as md5_hash from documents)
+    select doc_id, md5_hash from hashed where doc_id % 3 <> 0 and (md5_hash is null or not exists (select 1 from hashed h
+      where h.doc_id % 3 = 0 and h.md5_hash = hashed.md5_hash))
+    qualify md5_hash is null or row_number() over (partition by md5_hash order by doc_id) = 1""")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    hashed = frame(spark, sf, "documents").select("doc_id", F.md5("text").alias("md5_hash"))
+    hashed = frame(spark, sf, "documents").select(
+        "doc_id", F.when(F.col("doc_id") % 17 > 0, F.md5("text")).alias("md5_hash"))
     return jobs.new_to_store(hashed.filter("doc_id % 3 <> 0"), hashed.filter("doc_id % 3 = 0")).select(
         "doc_id", "md5_hash")
 
@@ -229,8 +242,7 @@ SQL_OLD_TERMS = SQL_POSTINGS.replace("from texts", "from texts where id_doc % 4
 
 
 @query("stream_index_upkeep", ctes("texts") + SQL_OLD_TERMS + f"""
-    , edited as (select id_doc as doc_id, unnest(regexp_extract_all(translate(lower(concat('edited ', substr(text, 1,
-        400))), '{MARKED}', '{PLAIN}'), '[\\p{{L}}\\p{{N}}]+')) as term from texts where id_doc % 4 = 3)
+    , edited as (select id_doc as doc_id, unnest(regexp_extract_all(translate(lower(concat('edited ', text)), '{MARKED}', '{PLAIN}'), '[\\p{{L}}\\p{{N}}]+')) as term from texts where id_doc % 4 = 3)
     select * from (select term, doc_id, 'text' as field, tf from postings
       union all select term, doc_id, 'text', count(*) from edited group by all
       union all select unnest(['f', cast(id_doc as string)]), id_doc, 'filename', 1 from texts where id_doc % 4 = 3)""")
@@ -240,7 +252,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     stored = jobs.build_text_index(texts, stemmed=False)
     changed = texts.filter("doc_id % 4 = 3").select(
         "doc_id", F.concat(F.lit("f "), "doc_id").alias("filename"),
-        F.concat(F.lit("edited "), F.substring("text", 1, 400)).alias("text"))
+        F.concat(F.lit("edited "), "text").alias("text"))
     return jobs.updated_postings(stored, changed, texts.filter("doc_id % 4 <> 3 and doc_id % 7 = 2"), stemmed=False)
 
 

@@ -22,21 +22,24 @@ SQL_POSTINGS = f""", tokens as (select id_doc as doc_id, unnest(regexp_extract_a
 
 
 def chunkable(spark: SparkSession, sf: str) -> DataFrame:
-    """Texts with paragraphs: every line of an even document is one."""
-    text = F.when(F.col("id_doc") % 2 == 0, F.replace("text", F.lit("\n"), F.lit("\n\n"))).otherwise(F.col("text"))
+    """Texts with paragraphs: every line of an even document is one, and every word of each seventh."""
+    text = F.when(F.col("id_doc") % 7 == 0, F.replace("text", F.lit(" "), F.lit("\n\n"))).when(
+        F.col("id_doc") % 2 == 0, F.replace("text", F.lit("\n"), F.lit("\n\n"))).otherwise(F.col("text"))
     return frame(spark, sf, "texts").select("id_doc", text.alias("text"))
 
 
 @query("chunk_text", ctes("texts") + """
-    , source as (select id_doc, case when id_doc % 2 = 0 then replace(text, chr(10), chr(10) || chr(10)) else text end
+    , source as (select id_doc, case when id_doc % 7 = 0 then replace(text, ' ', chr(10) || chr(10))
+        when id_doc % 2 = 0 then replace(text, chr(10), chr(10) || chr(10)) else text end
         as text from texts),
     paragraphs as (select id_doc, pos, trim(p, chr(9) || chr(10) || chr(13) || ' ') as p from (select id_doc,
         unnest(str_split(text, chr(10) || chr(10))) as p,
         generate_subscripts(str_split(text, chr(10) || chr(10)), 1) as pos from source)),
     pieces as (select id_doc, pos, s, substr(p, s, 1500) as piece from (select *, unnest(generate_series(1, length(p),
         1500)) as s from paragraphs where length(p) > 20)),
-    every as (select * from pieces union all select id_doc, 1, 1, substr(text, 1, 1500) from source
-        where text <> '' and id_doc not in (select id_doc from pieces))
+    every as (select * from pieces union all select id_doc, 1, s, substr(text, s, 1500) from (select *,
+        unnest(generate_series(1, length(text), 1500)) as s from source
+        where text <> '' and id_doc not in (select id_doc from pieces)))
     select id_doc, row_number() over (partition by id_doc order by pos, s) - 1 as chunk_no, md5(piece) as chunk_md5
     from every""")
 def _(spark: SparkSession, sf: str) -> DataFrame:

@@ -76,7 +76,7 @@ def amount_anomalies(
 
     ``order`` is a unique number per row that follows time. At least five earlier amounts are needed; then more than
     three sample deviations from their mean is unusual, more than ten times the mean very large, and a multiple of 100
-    from 1000 on suspiciously round. The history is kept in running moments, so no key is gathered in one task. ``amounts`` is read
+    from 1000 on suspiciously round. A null amount is invalid, whatever its history; rows without a key share one history. The history is kept in running moments, so no key is gathered in one task. ``amounts`` is read
     twice: store amounts that were extracted from text before they come here.
     """
     value = F.col(amount)
@@ -87,6 +87,7 @@ def amount_anomalies(
         F.when(value > mean * LARGE_FACTOR, "very_large_amount"),
         F.when((value % ROUND_STEP == 0) & (value >= ROUND_FROM), "suspicious_round_number"),
     ))
+    none = F.array().cast("array<string>")
     return history.withColumn(
-        "anomalies", F.when(F.col("_n") >= MIN_HISTORY, codes).otherwise(F.array().cast("array<string>"))
-    ).drop("_n", "_mean", "_deviation")
+        "anomalies", F.when(value.isNull(), F.array(F.lit("invalid_amount"))).when(F.col("_n") >= MIN_HISTORY, codes)
+        .otherwise(none)).drop("_n", "_mean", "_deviation")

@@ -121,7 +121,10 @@ def bounded_ratio(a: Column, b: Column, minimum: float) -> Column:
     """
     total = F.length(a) + F.length(b)
     by_length = 2 * F.least(F.length(a), F.length(b)) / total >= minimum
-    reachable = (a != b) & F.when(by_length, 1 - F.levenshtein(a, b) / total >= minimum).otherwise(False)
+    # the distance is only followed as far as it leaves the minimum within reach; beyond that it is -1
+    farthest = F.floor(total * (1 - minimum) + 1e-9).cast("int")
+    near = F.call_function("levenshtein", a, b, farthest) >= 0
+    reachable = (a != b) & F.when(by_length, near).otherwise(False)
     return F.when(a == b, 1.0).otherwise(similarity_ratio(F.when(reachable, a), F.when(reachable, b)))
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sheafwork.operators.classify import UNKNOWN, classify_keywords
+from sheafwork.session import cut_lineage
 
 MIN_TEXT = 20
 MIN_ROWS = 5
@@ -23,7 +24,7 @@ ITERATIONS = 10
 TYPES_AT_ONCE = 4
 PALETTE = 5
 SEED = 42
-CELL_BITS = 6
+CELL_BITS = 8
 STARTS = 10
 TOLERANCE = 1e-4
 
@@ -35,8 +36,16 @@ def training_rows(docs: DataFrame, texts: DataFrame) -> DataFrame:
     return known.join(usable, "doc_id").select("text", "type")
 
 
-def train_text_classifier(rows: DataFrame) -> PipelineModel:
-    """TF-IDF over at most 5000 words and a linear hinge classifier per type; needs five rows."""
+def train_text_classifier(rows: DataFrame, vocabulary: int = VOCABULARY, iterations: int = ITERATIONS,
+                          most_rows: int | None = None) -> PipelineModel:
+    """TF-IDF over the ``vocabulary`` commonest words and a linear hinge classifier per type; needs five rows.
+
+    The rows are stored once, because every step of the fit reads them. ``most_rows`` bounds how many labelled rows are
+    fitted, those with the smallest hash of their text.
+    """
+    if most_rows is not None:
+        rows = rows.orderBy(F.xxhash64("text", "type")).limit(most_rows)
+    rows = cut_lineage(rows)
     found = rows.limit(MIN_ROWS).count()
     if found < MIN_ROWS:
         raise ValueError(f"not enough data to train: {found} rows, {MIN_ROWS} needed")
@@ -44,10 +53,10 @@ def train_text_classifier(rows: DataFrame) -> PipelineModel:
     steps = [
         indexer,
         RegexTokenizer(inputCol="text", outputCol="words", pattern=r"[\p{L}\p{N}_]{2,}", gaps=False, toLowercase=True),
-        CountVectorizer(inputCol="words", outputCol="counts", vocabSize=VOCABULARY),
+        CountVectorizer(inputCol="words", outputCol="counts", vocabSize=vocabulary),
         IDF(inputCol="counts", outputCol="weights"),
         Normalizer(inputCol="weights", outputCol="features"),
-        OneVsRest(classifier=LinearSVC(regParam=REGULARISATION, maxIter=ITERATIONS), featuresCol="features",
+        OneVsRest(classifier=LinearSVC(regParam=REGULARISATION, maxIter=iterations), featuresCol="features",
                   labelCol="label", predictionCol="prediction", parallelism=TYPES_AT_ONCE),
     ]
     trained = Pipeline(stages=steps).fit(rows)
@@ -114,7 +123,8 @@ def color_cells(pixels: DataFrame, bits: int = CELL_BITS) -> DataFrame:
 def color_palette(pixels: DataFrame, k: int = PALETTE, bits: int = CELL_BITS) -> DataFrame:
     """(image_id, rank, hex, share): k-means centres of every image's colours, largest cluster first.
 
-    Clusters the exact means of colour cells instead of single pixels; ``bits=8`` gives every colour its own cell.
+    By default every colour is a cell of its own, which gives the clusters of the pixels; fewer ``bits`` cluster the means
+    of coarser cells, for images of very many colours.
     """
     def palette(key: tuple, cells: pd.DataFrame) -> pd.DataFrame:
         points, weights = cells[["r", "g", "b"]].to_numpy("float64"), cells["n"].to_numpy("float64")

@@ -122,6 +122,12 @@ def zero_shot_labels(vector: Column, labels: Mapping[str, Sequence[float]], mini
     return F.transform(kept, lambda x: F.struct(x["label"].alias("label"), (-x["rank"]).alias("score")))
 
 
+def _vectors(frame: DataFrame) -> DataFrame:
+    """(id, vec) of the rows that have both: a missing vector is near nothing."""
+    return frame.select(F.col(frame.columns[0]).alias("id"), F.col(frame.columns[1]).alias("vec")).filter(
+        "id is not null and vec is not null")
+
+
 def _representatives(vectors: DataFrame) -> DataFrame:
     """One row per distinct vector: the smallest id that has it. Combines on the map side whatever the copy count."""
     return vectors.groupBy("vec").agg(F.min("id").alias("id")).select("id", "vec")
@@ -139,7 +145,7 @@ def near_duplicate_pairs(vectors: DataFrame, threshold: float = NEAR) -> DataFra
     Identical vectors are folded into one before anything is compared, and the comparison returns one partner per row,
     so a group of copies costs rows and not pairs.
     """
-    vectors = vectors.select(F.col(vectors.columns[0]).alias("id"), F.col(vectors.columns[1]).alias("vec"))
+    vectors = _vectors(vectors)
     distinct = cut_lineage(_representatives(vectors))
     near = first_near(distinct, distinct, threshold).select(F.col("id").alias("rep"), "first_id")
     placed = _with_representative(vectors, distinct).join(near, "rep", "left")
@@ -155,7 +161,7 @@ def near_duplicate_groups(vectors: DataFrame, threshold: float = NEAR) -> DataFr
     neighbour are primaries, and what is near a new primary is a duplicate. The smallest unsettled item settles in
     every round, so the rounds end; each is checkpointed in the shared folder.
     """
-    vectors = vectors.select(F.col(vectors.columns[0]).alias("id"), F.col(vectors.columns[1]).alias("vec"))
+    vectors = _vectors(vectors)
     distinct = cut_lineage(_representatives(vectors))
     paired = first_near(distinct, distinct, threshold).select("id")
     active = cut_lineage(distinct.join(paired, "id", "left_semi"))

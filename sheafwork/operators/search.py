@@ -107,9 +107,14 @@ def snippet(text: Column, query: str, stemmed: bool = False, size: int = SNIPPET
         at = F.filter(F.transform(words, lambda w, i: F.when(is_hit(w), i)), lambda i: i.isNotNull())
 
         def choose(hits: Column) -> Column:
-            starts = F.transform(hits, lambda s: F.greatest(F.lit(0), F.least(s, n - size)))
-            scored = F.transform(starts, lambda s: F.struct(
-                (-F.size(F.filter(hits, lambda h: (h >= s) & (h < s + size)))).alias("rank"), s.alias("start")))
+            # hits ascend, so those of a window lie within ``size`` places of the hit it starts at
+            def score(hit: Column, i: Column) -> Column:
+                start = F.greatest(F.lit(0), F.least(hit, n - size))
+                near = F.slice(hits, F.greatest(F.lit(1), i + 2 - size), F.lit(2 * size))
+                inside = F.size(F.filter(near, lambda h: (h >= start) & (h < start + size)))
+                return F.struct((-inside).alias("rank"), start.alias("start"))
+
+            scored = F.transform(hits, score)
             return F.coalesce(F.array_min(scored)["start"], F.lit(0))
 
         def render(start: Column) -> Column:
@@ -123,19 +128,19 @@ def snippet(text: Column, query: str, stemmed: bool = False, size: int = SNIPPET
     return bind(F.split(strip(text), r"(?U)\s+"), window)
 
 
-def chunks_of(text: Column, size: int = CHUNK_CHARACTERS) -> Column:
-    """Paragraphs longer than 20 characters, cut at ``size``; a text with none gives its first ``size`` characters."""
+def chunks_of(text: Column, size: int = CHUNK_CHARACTERS, minimum: int = CHUNK_MINIMUM) -> Column:
+    """Paragraphs longer than ``minimum`` characters, cut at ``size``; a text without any is cut as it stands."""
     def cut(paragraph: Column) -> Column:
         starts = F.sequence(F.lit(1), F.length(paragraph), F.lit(size))
         return F.transform(starts, lambda s: paragraph.substr(s, F.lit(size)))
 
-    paragraphs = F.filter(F.transform(F.split(text, "\n\n"), strip), lambda p: F.length(p) > CHUNK_MINIMUM)
+    paragraphs = F.filter(F.transform(F.split(text, "\n\n"), strip), lambda p: F.length(p) > minimum)
     pieces = F.flatten(F.transform(paragraphs, cut))
-    first = F.when(F.length(text) > 0, F.array(F.substring(text, 1, size))).otherwise(F.array().cast("array<string>"))
-    return bind(pieces, lambda p: F.when(F.size(p) > 0, p).otherwise(first))
+    whole = F.when(F.length(text) > 0, cut(text)).otherwise(F.array().cast("array<string>"))
+    return bind(pieces, lambda p: F.when(F.size(p) > 0, p).otherwise(whole))
 
 
-def chunk_text(texts: DataFrame, size: int = CHUNK_CHARACTERS) -> DataFrame:
+def chunk_text(texts: DataFrame, size: int = CHUNK_CHARACTERS, minimum: int = CHUNK_MINIMUM) -> DataFrame:
     """One row per chunk: the columns of ``texts`` without the text, chunk number and chunk."""
     kept = [c for c in texts.columns if c != "text"]
-    return texts.select(*kept, F.posexplode(chunks_of(F.col("text"), size)).alias("chunk_no", "chunk"))
+    return texts.select(*kept, F.posexplode(chunks_of(F.col("text"), size, minimum)).alias("chunk_no", "chunk"))

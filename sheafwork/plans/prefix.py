@@ -8,6 +8,8 @@ their own bucket for the rest. A key that owns a third of the table is spread ov
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
@@ -20,6 +22,8 @@ def order_buckets(df: DataFrame, order: str, name: str, buckets: int | None = No
                   ) -> DataFrame:
     """Add the bucket of the numeric column ``order``, cut at quantiles taken from ``source`` (default ``df``).
 
+    Rows whose order is null have the first bucket to themselves, NaN the last.
+
     One pass over that column alone finds the cut points; only they reach the driver. By default there are as many
     buckets as shuffle partitions, and never fewer than 64.
     """
@@ -28,10 +32,16 @@ def order_buckets(df: DataFrame, order: str, name: str, buckets: int | None = No
     fractions = [i / buckets for i in range(1, buckets)]
     cuts = (source if source is not None else df).approxQuantile(order, fractions, 0.25 / buckets)
     splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
-    if len(splits) == 2:
-        return df.withColumn(name, F.lit(0.0))
     numbered = df.withColumn("_order", F.col(order).cast("double"))
-    return Bucketizer(splits=splits, inputCol="_order", outputCol=name).transform(numbered).drop("_order")
+    cut = Bucketizer(splits=splits, inputCol="_order", outputCol="_cut", handleInvalid="keep").transform(numbered)
+    return cut.withColumn(name, F.when(F.col("_order").isNull(), -1.0).otherwise(F.col("_cut"))).drop("_order", "_cut")
+
+
+def _with_offsets(rows: DataFrame, offsets: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Every row beside the sums of its (keys, bucket); a null key is a key like others."""
+    named = offsets.withColumnsRenamed({c: f"_of_{i}" for i, c in enumerate(keys)})
+    same = [rows[c].eqNullSafe(named[f"_of_{i}"]) for i, c in enumerate(keys)]
+    return rows.join(named, reduce(and_, same)).drop(*[f"_of_{i}" for i in range(len(keys))])
 
 
 def running_sums(
@@ -64,9 +74,9 @@ def running_sums(
     local = bucketed
     for name in sums:
         local = local.withColumn(f"_l_{name}", F.coalesce(F.sum(f"_x_{name}").over(inside), F.lit(0)))
-    joined = local.join(offsets, [*keys, "_bucket"])
+    joined = _with_offsets(local, offsets, [*keys, "_bucket"])
     return joined.select(
-        *[joined[c] for c in df.columns], *[(F.col(f"_l_{n}") + F.col(f"_o_{n}")).alias(n) for n in sums]
+        *df.columns, *[(F.col(f"_l_{n}") + F.col(f"_o_{n}")).alias(n) for n in sums]
     )
 
 
@@ -90,7 +100,8 @@ def running_moments(
     """Add ``_n``, ``_mean`` and ``_deviation`` (sample) of the earlier values of the key, in ``order``.
 
     Moments of the earlier buckets and of the earlier rows in the bucket are merged about nearby means, so large amounts
-    that differ by cents keep their deviation, and equal amounts have exactly none.
+    that differ by cents keep their deviation, and equal amounts have exactly none. A null key is a key like others, and
+    rows with a null order come before all others of their key, by value.
     """
     bucketed = order_buckets(df, order, "_bucket", buckets, source)
     v = F.col(value)
@@ -105,11 +116,11 @@ def running_moments(
         F.sum(F.col("n") * (F.col("d") * F.col("d") + F.col("s"))).over(earlier).alias("q0"),
         F.min("lo").over(earlier).alias("lo0"), F.max("hi").over(earlier).alias("hi0"))
 
-    inside = Window.partitionBy(key, "_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(key, "_bucket").orderBy(order, value).rowsBetween(Window.unboundedPreceding, -1)
     local = bucketed.withColumns({
         "n1": F.count(v).over(inside), "m1": F.avg(v).over(inside), "s1": F.var_pop(v).over(inside),
         "lo1": F.min(v).over(inside), "hi1": F.max(v).over(inside)})
-    both = local.join(before, [key, "_bucket"])
+    both = _with_offsets(local, before, [key, "_bucket"])
     n0, n1 = F.col("n0"), F.col("n1")
     n = n0 + n1
     mean0 = F.when(n0 > 0, F.col("g") + F.col("d0") / F.nullif(n0, F.lit(0))).otherwise(F.col("m1"))
@@ -121,5 +132,5 @@ def running_moments(
     squares = F.greatest(spread0 + spread1 + between / some, F.lit(0.0))
     equal = F.least("lo0", "lo1") == F.greatest("hi0", "hi1")
     return both.select(
-        *[both[c] for c in df.columns], n.alias("_n"), ((mean0 * n0 + mean1 * n1) / some).alias("_mean"),
+        *df.columns, n.alias("_n"), ((mean0 * n0 + mean1 * n1) / some).alias("_mean"),
         F.when(equal, 0.0).otherwise(F.sqrt(squares / F.nullif(n - 1, F.lit(0)))).alias("_deviation"))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from sheafwork.functions.text import basename, extension
 
@@ -16,18 +20,38 @@ TEXT_TYPES = (".txt", ".csv", ".json", ".md", ".log")
 KNOWN_CONFIDENCE, UNKNOWN_CONFIDENCE = 1.0, 0.2
 
 
-def allowed(path: Column, extensions: Iterable[str] = FILE_TYPES) -> Column:
-    """Whether a path has an allowed extension and no hidden file or folder in it."""
-    return extension(path).isin(*[e.lower() for e in extensions]) & ~path.rlike(r"/\.[^/]")
+def allowed(path: Column, extensions: Iterable[str] = FILE_TYPES, root: str = "") -> Column:
+    """Whether a path has an allowed extension and no hidden file or folder below ``root``."""
+    bare = re.sub(r"^\w+:(//[^/]*)?(?=/)", "", root).rstrip("/")
+    at = F.locate(bare, path) if bare else F.lit(0)
+    below = F.when(at > 0, path.substr(at + len(bare), F.length(path))).otherwise(path)
+    return extension(path).isin(*[e.lower() for e in extensions]) & ~below.rlike(r"(^|/)\.[^/]")
 
 
-def scan_corpus(spark: SparkSession, folder: str, extensions: Iterable[str] = FILE_TYPES) -> DataFrame:
+def scan_corpus(spark: SparkSession, folder: str, extensions: Iterable[str] = FILE_TYPES,
+                listing: DataFrame | None = None) -> DataFrame:
     """Files below the folder (path, modificationTime, length, content), hidden ones and other extensions left out.
 
-    Content is only read when a later step asks for it. Names that start with an underscore are skipped as well.
+    Content is only read when a later step asks for it. Spark's own listing passes over names that start with an
+    underscore; where such files are wanted, give a ``listing`` (path, modificationTime, length), for instance a store's
+    inventory, and the files it names are read in the tasks.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    return files.filter(allowed(F.col("path"), extensions))
+    if listing is None:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+        return files.filter(allowed(F.col("path"), extensions, folder))
+    wanted = listing.select("path", "modificationTime", "length").filter(allowed(F.col("path"), extensions, folder))
+    return wanted.withColumn("content", content_of("path"))
+
+
+@F.pandas_udf(BinaryType())
+def content_of(paths: pd.Series) -> pd.Series:
+    """The bytes of the files at these paths or addresses."""
+    def read(path: str) -> bytes:
+        system, name = fs.FileSystem.from_uri(path if re.match(r"\w+://", path) else f"file://{path.removeprefix('file:')}")
+        with system.open_input_stream(name) as stream:
+            return stream.read()
+
+    return paths.map(read, na_action="ignore")
 
 
 def hash_files(files: DataFrame, algorithm: str = "md5") -> DataFrame:

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import os
+import re
+from collections.abc import Iterator
+
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheafwork.functions.text import stem_of
 from sheafwork.plans.prefix import row_numbers
+from sheafwork.session import cut_lineage
 
 # Columns of the document export and of the batch report, in order.
 EXPORT_COLUMNS = ("id", "filename", "type", "status", "workflow_state", "confidence", "datetime", "path")
@@ -23,7 +30,8 @@ def append_documents(spark: SparkSession, rows: DataFrame, folder: str, order: s
     """Append documents and their texts to the store below ``folder``; returns the new ids with ``order``.
 
     ``rows`` holds the document columns and text, language and confidence. Documents are partitioned by status; one
-    text row follows for every document whose text is not empty.
+    text row follows for every document whose text is not empty. There must be one writer at a time: two that read the
+    same highest id would give it out twice.
     """
     store = f"{folder}/documents"
     try:
@@ -32,7 +40,7 @@ def append_documents(spark: SparkSession, rows: DataFrame, folder: str, order: s
         if "PATH_NOT_FOUND" not in str(error):
             raise
         highest = 0
-    numbered = with_new_ids(rows, order, highest)
+    numbered = cut_lineage(with_new_ids(rows, order, highest))  # documents, texts and the answer see the same ids
     texts = numbered.filter(F.length("text") > 0).select(
         F.col("doc_id").alias("id_doc"), "text", "language", "confidence")
     numbered.drop("text", "language", "confidence").write.mode("append").partitionBy("status").parquet(store)
@@ -67,10 +75,24 @@ def side_outputs(summaries: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def export_side_outputs(summaries: DataFrame, folder: str) -> None:
-    """Write a JSON summary and a Markdown text per document, one record each, below ``folder``."""
+    """Write JSON summaries, one record per document, and a file ``<stem>.md`` per Markdown text, below ``folder``.
+
+    A task that runs again writes its files again, with the same content.
+    """
     summary, markdown = side_outputs(summaries)
     summary.write.mode("overwrite").json(f"{folder}/json")
-    markdown.write.mode("overwrite").json(f"{folder}/markdown")
+    target = folder if re.match(r"\w+:", folder) else f"file://{os.path.abspath(folder)}"
+    system, root = fs.FileSystem.from_uri(f"{target}/markdown")
+    system.create_dir(root, recursive=True)
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for stem, text in zip(batch["stem"], batch["markdown"]):
+                with system.open_output_stream(f"{root}/{stem}.md") as file:
+                    file.write(text.encode())
+            yield pd.DataFrame({"written": [len(batch)]})
+
+    markdown.mapInPandas(write, "written bigint").agg(F.sum("written")).collect()
 
 
 def write_postings(postings: DataFrame, path: str, partitions: int | None = None) -> None:

@@ -19,25 +19,33 @@ def stream_hot_folder(spark: SparkSession, folder: str, extensions: Iterable[str
     """New files of the allowed kinds, each once; the query's checkpoint remembers what was taken."""
     files = spark.readStream.format("binaryFile").schema(BINARY).option("recursiveFileLookup", True).option(
         "maxFilesPerTrigger", files_per_trigger).load(folder)
-    return files.filter(allowed(F.col("path"), extensions))
+    return files.filter(allowed(F.col("path"), extensions, folder))
 
 
-def take_into(stream: DataFrame, store: str, checkpoint: str, extensions: Iterable[str] = FILE_TYPES) -> StreamingQuery:
-    """Append what arrives to a Parquet store, exactly once: rows with a ``path`` of an allowed kind."""
-    taken = stream.filter(allowed(F.col("path"), extensions))
+def take_into(stream: DataFrame, store: str, checkpoint: str, extensions: Iterable[str] = FILE_TYPES,
+              root: str = "") -> StreamingQuery:
+    """Append what arrives to a Parquet store, exactly once: rows with a ``path`` of an allowed kind below ``root``."""
+    taken = stream.filter(allowed(F.col("path"), extensions, root))
     return taken.writeStream.format("parquet").option("path", store).option("checkpointLocation", checkpoint).trigger(
         availableNow=True).start()
 
 
 def stream_dedup(rows: DataFrame, time: str = "ts", hash_column: str = "md5_hash", delay: str = "1 day") -> DataFrame:
-    """First row of every content within the watermark; state older than that is forgotten."""
-    return rows.withWatermark(time, delay).dropDuplicatesWithinWatermark([hash_column])
+    """First row of every content within the watermark; state older than that is forgotten.
+
+    Rows without a hash are no copies of each other and all pass.
+    """
+    watched = rows.withWatermark(time, delay)
+    hashed = watched.filter(F.col(hash_column).isNotNull()).dropDuplicatesWithinWatermark([hash_column])
+    return hashed.unionByName(watched.filter(F.col(hash_column).isNull()))
 
 
 def new_to_store(batch: DataFrame, stored: DataFrame, hash_column: str = "md5_hash", order: str = "doc_id") -> DataFrame:
-    """Rows of a micro-batch whose content neither the store nor an earlier row of the batch has."""
-    firsts = batch.groupBy(hash_column).agg(F.min_by(F.struct(*batch.columns), order).alias("_row"))
-    return firsts.join(stored.select(hash_column), hash_column, "left_anti").select("_row.*")
+    """Rows of a micro-batch whose content neither the store nor an earlier row of the batch has; those without a hash pass."""
+    hashed = batch.filter(F.col(hash_column).isNotNull())
+    firsts = hashed.groupBy(hash_column).agg(F.min_by(F.struct(*batch.columns), order).alias("_row"))
+    new = firsts.join(stored.select(hash_column), hash_column, "left_anti").select("_row.*")
+    return new.unionByName(batch.filter(F.col(hash_column).isNull()))
 
 
 def dedup_into(stream: DataFrame, store: str, checkpoint: str, hash_column: str = "md5_hash") -> StreamingQuery:

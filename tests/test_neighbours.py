@@ -96,6 +96,31 @@ def test_incremental_embeddings_encode_only_what_is_stale(spark):
         "a": (6, [9.0]), "b": (5, [1.0]), "c": (5, [1.0])}
 
 
+def test_null_keys_and_orders_stay(spark):
+    from sheafwork.operators.fields import amount_anomalies
+
+    rows = [(i if i % 4 else None, None if i % 3 else 1, float(i)) for i in range(40)]
+    df = spark.createDataFrame(rows, "n bigint, k bigint, x double")
+    got = running_sums(df, ["k"], ["n"], {"s": F.col("x")}, bucket_by="n", buckets=8).toPandas()
+    assert len(got) == 40 and got["n"].isna().sum() == 10
+    dated = got[got["n"].notna()].sort_values("n")
+    for missing in (True, False):
+        mine = dated[dated["k"].isna() == missing]
+        before = sum(x for n, k, x in rows if n is None and (k is None) == missing)
+        assert (mine["s"] == before + mine["x"].cumsum() - mine["x"]).all()
+    assert row_numbers(df, ["k"], ["n"], bucket_by="n", name="i").count() == 40
+    amounts = spark.createDataFrame([*rows, (99, None, None)], df.schema)
+    flagged = {(r["n"], r["x"]): r["anomalies"] for r in amount_anomalies(amounts, "k", "n", "x").collect()}
+    assert len(flagged) == 41 and flagged[99, None] == ["invalid_amount"]
+
+
+def test_missing_vectors_are_near_nothing(spark):
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [1.0, 0.0]), (4, None), (5, [0.0, 1.0])],
+                                    "id bigint, v array<double>")
+    assert [tuple(r) for r in neighbours.near_duplicate_pairs(vectors).collect()] == [(3, 1)]
+    assert [tuple(r) for r in neighbours.near_duplicate_groups(vectors).collect()] == [(1, 3)]
+
+
 def test_running_sums_with_a_hot_key(spark):
     rng = np.random.RandomState(0)
     data = pd.DataFrame({"k": np.where(rng.rand(2000) < 0.4, 1, rng.randint(0, 50, 2000)), "n": rng.permutation(2000),

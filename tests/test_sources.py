@@ -29,6 +29,18 @@ def test_scan_hash_decode(spark, tmp_path):
     assert "ReadSchema: struct<path:string,length:bigint>" in plan
 
 
+def test_scan_below_a_hidden_folder_and_of_a_listing(spark, tmp_path):
+    root = tmp_path / ".data/inbox"
+    for name in ("a.txt", "_b.txt", ".c.txt", ".d/e.txt"):
+        write(root / name, name.encode())
+    found = files.scan_corpus(spark, str(root))
+    assert [bytes(r["content"]) for r in found.collect()] == [b"a.txt"]
+    listing = spark.createDataFrame([(f"file:{root}/{n}",) for n in ("a.txt", "_b.txt", ".c.txt", ".d/e.txt")], "path string")
+    listing = listing.selectExpr("path", "timestamp'2024-01-01' as modificationTime", "cast(0 as bigint) as length")
+    found = files.scan_corpus(spark, str(root), listing=listing)
+    assert sorted(bytes(r["content"]) for r in found.collect()) == [b"_b.txt", b"a.txt"]
+
+
 def test_html_text(spark):
     page = "<p>Hola <b>mundo</b></p><script>var t='</p>';</script><p>caf&eacute; &#65;</p><br>"
     got = spark.createDataFrame([(1, page), (2, None)], "id int, html string")
@@ -80,7 +92,7 @@ def test_exports(spark, tmp_path):
                                       "path string, language string, markdown string")
     sinks.export_side_outputs(summaries, str(tmp_path / "side"))
     assert spark.read.json(str(tmp_path / "side/json")).count() == 2
-    assert [r["stem"] for r in spark.read.json(str(tmp_path / "side/markdown")).collect()] == ["a"]
+    assert {p.name: p.read_text() for p in (tmp_path / "side/markdown").iterdir()} == {"a.md": "# A"}
 
 
 def test_postings_are_sorted_for_lookup(spark, tmp_path):

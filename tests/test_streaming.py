@@ -109,3 +109,15 @@ def test_index_upkeep_stream(spark, tmp_path):
         [(3, 1, "a.txt", "runs twice"), (2, 2, "b.txt", "cats")])
     assert send([(4, 2, "b.txt", None), (5, 3, "c.txt", "new dogs")]) == batch(
         [(3, 1, "a.txt", "runs twice"), (5, 3, "c.txt", "new dogs")])
+
+
+def test_rows_without_a_hash_all_pass(spark, tmp_path):
+    rows = spark.createDataFrame([(1, None), (2, None), (3, "a"), (4, "a"), (5, "b")], "doc_id bigint, md5_hash string")
+    stored = spark.createDataFrame([("b",), (None,)], "md5_hash string")
+    assert sorted(r["doc_id"] for r in jobs.new_to_store(rows, stored).collect()) == [1, 2, 3]
+    timed = rows.withColumn("ts", F.lit("2024-01-01").cast("timestamp"))
+    timed.write.parquet(str(tmp_path / "in"))
+    stream = jobs.stream_dedup(spark.readStream.schema(timed.schema).parquet(str(tmp_path / "in")))
+    stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option(
+        "checkpointLocation", str(tmp_path / "checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    assert spark.read.schema(timed.schema).parquet(str(tmp_path / "out")).count() == 4

@@ -117,3 +117,12 @@ def test_search_ranks_and_requires_all_terms(spark):
     assert search.search_fulltext(postings, " ... ").count() == 0
     assert {r["doc_id"]: r["n_terms"] for r in search.text_lengths(docs).collect()} == {
         r["doc_id"]: r["n_terms"] for r in search.document_lengths(postings).collect()}
+
+
+def test_short_paragraphs_are_kept_whole(spark):
+    text = "\n\n".join(f"line {i}" for i in range(700))
+    docs = spark.createDataFrame([(1, text), (2, ""), (3, None)], "id_doc bigint, text string")
+    got = search.chunk_text(docs).orderBy("chunk_no").collect()
+    assert "".join(r["chunk"] for r in got) == text and max(len(r["chunk"]) for r in got) <= 1500
+    mixed = spark.createDataFrame([(1, "short\n\n" + "long " * 10)], "id_doc bigint, text string")
+    assert search.chunk_text(mixed).count() == 1 and search.chunk_text(mixed, minimum=0).count() == 2
