@@ -73,15 +73,16 @@ def rebuild_table_grid(cells: DataFrame, *keys: str) -> DataFrame:
     cols = F.sequence(F.col("col_no"), F.col("col_no") + F.col("col_span") - 1)
     covered = spans.select(*keys, F.explode(rows).alias("r"), cols.alias("cols"), "seq", "col_no", "txt").select(
         *keys, "r", F.explode("cols").alias("c"), "seq", "col_no", "txt")
-    parts = covered.filter("txt <> ''").groupBy(*keys, "r", "c").agg(
-        F.array_sort(F.collect_list(F.struct("seq", "col_no", "txt"))).alias("parts"))
-    text = parts.select(*keys, "r", "c", F.array_join(F.transform("parts", lambda p: p["txt"]), " ").alias("text"))
+    written = covered.filter("txt <> ''").select(*keys, "r", "c", F.struct("seq", "col_no", "txt").alias("part"))
     extent = spans.groupBy(*keys).agg(
         F.max(F.col("row_no") + F.col("row_span")).alias("_rows"), F.max(F.col("col_no") + F.col("col_span"))
         .alias("_cols"))
     grid = extent.select(*keys, F.explode(F.sequence(F.lit(0), F.col("_rows") - 1)).alias("r"), "_cols").select(
         *keys, "r", F.explode(F.sequence(F.lit(0), F.col("_cols") - 1)).alias("c"))
-    return grid.join(text, [*keys, "r", "c"], "left").withColumn("text", F.coalesce("text", F.lit("")))
+    # empty positions and texts meet in one aggregation; a position's missing part is not collected
+    empty = grid.withColumn("part", F.lit(None).cast(written.schema["part"].dataType))
+    texts = written.unionByName(empty).groupBy(*keys, "r", "c").agg(F.array_sort(F.collect_list("part")).alias("parts"))
+    return texts.select(*keys, "r", "c", F.array_join(F.transform("parts", lambda p: p["txt"]), " ").alias("text"))
 
 
 def table_identity(path: Column, page: Column, index: Column) -> Column:
