@@ -34,7 +34,7 @@ from sheafwork.llm.words import mix, words_of
 FOLDS, HELD_OUT = 7, 2
 DISCOUNT = 0.75
 #: Text bytes of a block; a part gets about as many entries as a block sends.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 8 << 20
 _BEGIN, _END = np.uint64(0x1D8E4E27C47D124F), np.uint64(0xB5026F5AA96619E9)
 _PAIR = np.uint64(0x9E3779B97F4A7C15)
 
@@ -47,11 +47,11 @@ def is_held_out(doc_id: Column) -> Column:
 class Tokens(NamedTuple):
     """A block's tokens as places in its sorted node table, and its distinct pairs."""
 
-    nodes: np.ndarray     # sorted hashes of words, end and begin
-    token: np.ndarray     # node of every token, texts one after the other
-    pair: np.ndarray      # place in ``pairs`` of every token with the one before it
-    pairs: np.ndarray     # sorted codes: node before * len(nodes) + node
-    counts: np.ndarray    # tokens of each text
+    nodes: np.ndarray  # sorted hashes of words, end and begin
+    token: np.ndarray  # node of every token, texts one after the other
+    pair: np.ndarray  # place in ``pairs`` of every token with the one before it
+    pairs: np.ndarray  # sorted codes: node before * len(nodes) + node
+    counts: np.ndarray  # tokens of each text
 
 
 def tokens_of(texts: pa.Array) -> Tokens:
@@ -68,7 +68,7 @@ def tokens_of(texts: pa.Array) -> Tokens:
     before[1:] = token[:-1]
     before[ends - counts + 1] = begin
     pairs, pair = np.unique(before * len(nodes) + token, return_inverse=True)
-    return Tokens(nodes, token, pair, pairs, counts)
+    return Tokens(nodes, token.astype(np.int32), pair.astype(np.int32), pairs, counts)
 
 
 def _parts_of(nodes: np.ndarray, parts: int) -> np.ndarray:
@@ -77,13 +77,16 @@ def _parts_of(nodes: np.ndarray, parts: int) -> np.ndarray:
 
 
 def _requests(tokens: Tokens, train: np.ndarray, parts: int) -> Iterator[tuple[int, bytes]]:
-    """(part, payload): nodes, their training counts and followers, and for each pair a 48-bit key and its count."""
+    """(part, payload): nodes, their training counts and followers, and for each pair a 40-bit key and its count.
+
+    A key tells apart the pairs of one first word, which the payload names in full.
+    """
     n = len(tokens.nodes)
     trained = np.repeat(train, tokens.counts)
     of_node = np.bincount(tokens.token[trained], minlength=n).astype("<u4")
     of_pair = np.bincount(tokens.pair[trained], minlength=len(tokens.pairs)).astype("<u4")
     before = tokens.pairs // n
-    key = mix(tokens.nodes[before] * _PAIR + tokens.nodes[tokens.pairs % n]) >> np.uint64(16)
+    key = mix(tokens.nodes[before] * _PAIR + tokens.nodes[tokens.pairs % n]) >> np.uint64(24)
     followers = np.bincount(before, minlength=n).astype("<u4")
     first_pair = np.concatenate(([0], np.cumsum(followers, dtype=np.int64)))
     cut = _parts_of(tokens.nodes, parts)
@@ -93,7 +96,7 @@ def _requests(tokens: Tokens, train: np.ndarray, parts: int) -> Iterator[tuple[i
             yield part, b"".join((
                 np.array([b - a, q - p], dtype="<u4").tobytes(), tokens.nodes[a:b].astype("<u8").tobytes(),
                 of_node[a:b].tobytes(), followers[a:b].tobytes(), (key[p:q] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(),
-                (key[p:q] >> np.uint64(32)).astype("<u2").tobytes(), of_pair[p:q].tobytes()))
+                (key[p:q] >> np.uint64(32)).astype("u1").tobytes(), of_pair[p:q].tobytes()))
 
 
 def _take(payload: bytes, *kinds: tuple[str, int]) -> list[np.ndarray]:
@@ -115,7 +118,7 @@ def _answer(payloads: list[bytes]) -> list[bytes]:
     nodes, of_node, followers, keys, of_pair = [], [], [], [], []
     for payload in payloads:
         n, m = _lengths(payload)
-        a, b, c, low, high, d = _take(payload, ("<u8", n), ("<u4", n), ("<u4", n), ("<u4", m), ("<u2", m), ("<u4", m))
+        a, b, c, low, high, d = _take(payload, ("<u8", n), ("<u4", n), ("<u4", n), ("<u4", m), ("u1", m), ("<u4", m))
         nodes.append(a)
         of_node.append(b)
         followers.append(c)
@@ -123,22 +126,20 @@ def _answer(payloads: list[bytes]) -> list[bytes]:
         of_pair.append(d)
     sizes = [(len(a), len(k)) for a, k in zip(nodes, keys)]
     known, node = np.unique(np.concatenate(nodes), return_inverse=True)
-    count = np.bincount(node, weights=np.concatenate(of_node))
-    first = np.repeat(node, np.concatenate(followers))
-    # a pair is its key and the low bits of its first word's number: 64 bits among the pairs of one part
-    pairs, at, pair = np.unique(np.concatenate(keys) | (first.astype(np.uint64) << np.uint64(48)), return_index=True,
-                                return_inverse=True)
-    times = np.concatenate(of_pair)
-    of_pair_all = np.bincount(pair, weights=times, minlength=len(pairs))
-    context = np.bincount(first, weights=times, minlength=len(known))
-    kinds = np.bincount(first[at], weights=of_pair_all > 0, minlength=len(known))
+    count = np.bincount(node, weights=np.concatenate(of_node)).astype("<u8")
+    code = np.repeat(node, np.concatenate(followers)).astype(np.uint64) << np.uint64(40)
+    code |= np.concatenate(keys)
+    pairs, pair = np.unique(code, return_inverse=True)
+    of_pair_all = np.bincount(pair, weights=np.concatenate(of_pair), minlength=len(pairs)).astype("<u8")
+    followed = (pairs >> np.uint64(40)).astype(np.int64)
+    kinds = np.bincount(followed, weights=of_pair_all > 0, minlength=len(known)).astype("<u8")
+    wide = 8 if max(count.max(initial=0), of_pair_all.max(initial=0)) >= 1 << 32 else 4
+    kind = f"<u{wide}"
     out, i, j = [], 0, 0
     for n, m in sizes:
         mine = node[i:i + n]
-        out.append(b"".join((np.array([n, m], dtype="<u4").tobytes(), count[mine].astype("<u8").tobytes(),
-                             context[mine].astype("<u8").tobytes(), kinds[mine].astype("<u8").tobytes(),
-                             of_pair_all[pair[j:j + m]].astype("<u8" if of_pair_all.max(initial=0) >= 1 << 32 else "<u4")
-                             .tobytes())))
+        out.append(b"".join((np.array([n, m | (wide == 8) << 31], dtype="<u4").tobytes(), count[mine].astype(kind).tobytes(),
+                             kinds[mine].astype(kind).tobytes(), of_pair_all[pair[j:j + m]].astype(kind).tobytes())))
         i, j = i + n, j + m
     return out
 
@@ -154,18 +155,21 @@ class Model(NamedTuple):
 
 def _scores(tokens: Tokens, answers: list[bytes], model: Model) -> dict[str, np.ndarray]:
     """Sums per text over its tokens; ``answers`` in ascending order of parts."""
-    of_node, context, kinds, of_pair = [], [], [], []
+    of_node, kinds, of_pair = [], [], []
     for payload in answers:
         n, m = _lengths(payload)
-        wide = "<u8" if len(payload) == 8 + 24 * n + 8 * m and m else "<u4"
-        for into, part in zip((of_node, context, kinds, of_pair),
-                              _take(payload, ("<u8", n), ("<u8", n), ("<u8", n), (wide, m))):
+        kind = "<u8" if m >> 31 else "<u4"
+        m &= (1 << 31) - 1
+        for into, part in zip((of_node, kinds, of_pair), _take(payload, (kind, n), (kind, n), (kind, m))):
             into.append(part)
-    seen = np.concatenate(of_node)[tokens.token].astype(np.float64)
+    count = np.concatenate(of_node).astype(np.float64)
+    seen = count[tokens.token]
+    # a word is followed as often as it occurs; texts begin as often as they end
+    count[np.searchsorted(tokens.nodes, _BEGIN)] = count[np.searchsorted(tokens.nodes, _END)]
+    count[np.searchsorted(tokens.nodes, _END)] = 0
     before = (tokens.pairs // len(tokens.nodes))[tokens.pair]
-    u = np.concatenate(context)[before].astype(np.float64)
-    t = np.concatenate(kinds)[before].astype(np.float64)
-    both = np.concatenate(of_pair)[tokens.pair].astype(np.float64)
+    u, t = count[before], np.concatenate(kinds).astype(np.float64)[before]
+    both = np.concatenate(of_pair).astype(np.float64)[tokens.pair]
     known = seen > 0
     if model.tokens:
         root = np.where(known, seen - model.discount_root, model.discount_root * model.kinds) / model.tokens
@@ -185,8 +189,7 @@ def root_model(rows: DataFrame) -> Model:
     Words are added up per batch before the shuffle; four sums reach the driver.
     """
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(0)
+        for texts in (b.column(0).slice(at, 1000) for b in batches for at in range(0, b.num_rows, 1000)):
             words = words_of(texts, lower=True)
             kinds, counts = np.unique(np.append(words.hashes, _END), return_counts=True)
             counts[np.searchsorted(kinds, _END)] += len(texts) - 1
