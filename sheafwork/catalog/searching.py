@@ -47,17 +47,27 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return chunks.select("id_doc", F.col("chunk_no").cast("bigint").alias("chunk_no"), F.md5("chunk").alias("chunk_md5"))
 
 
+SQL_NAMES = "concat('doc_', id_doc, case when id_doc % 3 = 0 then ' of the' else '' end, '.txt')"
+SQL_INDEX = f""", named as (select id_doc, text, {SQL_NAMES} as filename from texts),
+    tokens as (select id_doc as doc_id, f.field, unnest(regexp_extract_all(translate(lower(f.body), '{MARKED}', '{PLAIN}'),
+      '[\\p{{L}}\\p{{N}}]+')) as term from (select id_doc, unnest([{{'field': 'text', 'body': text}}, {{'field': 'filename',
+        'body': filename}}]) as f from named)),
+    postings as (select term, doc_id, field, count(*) as tf from tokens group by all)"""
+
+
 def searchable(spark: SparkSession, sf: str) -> DataFrame:
-    return frame(spark, sf, "texts").select(F.col("id_doc").alias("doc_id"), "text")
+    """Texts with file names, some of which hold words of the query."""
+    name = F.concat(F.lit("doc_"), "id_doc", F.when(F.col("id_doc") % 3 == 0, " of the").otherwise(""), F.lit(".txt"))
+    return frame(spark, sf, "texts").select(F.col("id_doc").alias("doc_id"), name.alias("filename"), "text")
 
 
 def indexed(spark: SparkSession, sf: str, stemmed: bool) -> DataFrame:
-    return search.build_text_index(searchable(spark, sf), ("text",), stemmed)
+    return search.build_text_index(searchable(spark, sf), stemmed=stemmed)
 
 
 def searched(spark: SparkSession, sf: str, text: str, stemmed: bool) -> DataFrame:
     """A search of an index that is built and stored first, as it would be for many searches."""
-    lengths = search.text_lengths(searchable(spark, sf), ("text",))
+    lengths = search.text_lengths(searchable(spark, sf))
     postings = cut_lineage(indexed(spark, sf, stemmed))
     return search.search_fulltext(postings, text, stemmed=stemmed, lengths=cut_lineage(lengths))
 
@@ -67,15 +77,15 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return indexed(spark, sf, stemmed=True)
 
 
-@query("build_text_index_unstemmed", ctes("texts") + SQL_POSTINGS + """
-    select term, doc_id, 'text' as field, tf from postings""")
+@query("build_text_index_unstemmed", ctes("texts") + SQL_INDEX + """
+    select term, doc_id, field, tf from postings""")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return indexed(spark, sf, stemmed=False)
 
 
-SQL_BEST = ctes("texts") + SQL_POSTINGS + """
+SQL_BEST = ctes("texts") + SQL_INDEX + """
     , lengths as (select doc_id, sum(tf) as n_terms from postings group by doc_id),
-    hits as (select * from postings where term in ('the', 'tion', 'of')),
+    hits as (select term, doc_id, sum(tf) as tf from postings where term in ('the', 'tion', 'of') group by term, doc_id),
     scored as (select doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n_terms /
         mean))) as score, count(*) as found
       from hits join (select term, count(*) as df from hits group by term) using (term) join lengths using (doc_id),
@@ -102,7 +112,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("id_doc", F.md5("text").alias("text_md5"))
 
 
-@query("snippet", SQL_BEST + f"""
+SQL_SNIPPETS = SQL_BEST + f"""
     , split as (select doc_id, string_split_regex(trim(text, chr(9) || chr(10) || chr(13) || ' '), '\\s+') as w
       from best join texts on doc_id = id_doc),
     words as (select doc_id, len(w) as n, unnest(w) as word, generate_subscripts(w, 1) - 1 as i from split),
@@ -113,11 +123,27 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
       and i between s and s + 19 group by all),
     chosen as (select split.doc_id, coalesce(s, 0) as s from split left join (select * from counted
       qualify row_number() over (partition by doc_id order by c desc, s) = 1) using (doc_id))
-    select doc_id, concat(case when s > 0 then '...' else '' end, string_agg(case when hit then concat('<b>', word, '</b>')
-      else word end, ' ' order by i), case when s + 20 < n then '...' else '' end) as snippet
-    from marked join chosen using (doc_id) where i between s and s + 19 group by doc_id, s, n""")
+, snippets as (select doc_id, concat(case when s > 0 then '...' else '' end, string_agg(case when hit then
+      concat('<b>', word, '</b>') else word end, ' ' order by i), case when s + 20 < n then '...' else '' end) as snippet
+    from marked join chosen using (doc_id) where i between s and s + 19 group by doc_id, s, n)"""
+
+
+@query("snippet", SQL_SNIPPETS + "select doc_id, snippet from snippets")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    best = searched(spark, sf, QUERY, stemmed=False).join(searchable(spark, sf), "doc_id")
+    return best.select("doc_id", search.snippet(F.col("text"), QUERY).alias("snippet"))
+
+
+@query("search_results", SQL_SNIPPETS + f"""
+    select row_number() over (order by score desc, doc_id) as rank, doc_id, {SQL_NAMES} as filename, snippet, score
+    from best join snippets using (doc_id) join texts on id_doc = doc_id""")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return searched(spark, sf, QUERY, stemmed=False).join(searchable(spark, sf), "doc_id").select("doc_id", search.snippet(F.col("text"), QUERY).alias("snippet"))
+    """File name, snippet and rank of the best documents, over an index of names and texts that is stored first."""
+    docs = searchable(spark, sf)
+    lengths = cut_lineage(search.text_lengths(docs))
+    found = search.search_results(cut_lineage(indexed(spark, sf, stemmed=False)), docs, QUERY, stemmed=False,
+                                  lengths=lengths)
+    return found.withColumn("score", F.round("score", 6))
 
 
 def vectors(spark: SparkSession, sf: str) -> DataFrame:

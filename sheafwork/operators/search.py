@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheafwork.functions.text import bind, strip
@@ -79,6 +79,20 @@ def search_fulltext(postings: DataFrame, query: str, limit: int = 50, stemmed: b
     return scored.orderBy(F.desc(F.round("score", 9)), "doc_id").limit(limit)
 
 
+def search_results(postings: DataFrame, docs: DataFrame, query: str, limit: int = 50, stemmed: bool = True,
+                   lengths: DataFrame | None = None) -> DataFrame:
+    """(rank, doc_id, filename, snippet, score) of the best documents, as a reader sees them.
+
+    ``postings`` is an index over filename and text, ``docs`` has doc_id, filename and text. Only the ``limit`` best are
+    ranked and joined with their texts.
+    """
+    best = search_fulltext(postings, query, limit, stemmed, lengths)
+    order = Window.orderBy(F.desc(F.round("score", 9)), "doc_id")
+    ranked = best.withColumn("rank", F.row_number().over(order).cast("bigint"))
+    found = ranked.join(docs.select("doc_id", "filename", "text"), "doc_id")
+    return found.select("rank", "doc_id", "filename", snippet(F.col("text"), query, stemmed).alias("snippet"), "score")
+
+
 def search_substring(texts: DataFrame, query: str, limit: int = 50) -> DataFrame:
     """Texts that contain the query, ignoring case; the smallest ids when there are more than the limit."""
     return texts.filter(F.col("text").ilike(f"%{query}%")).orderBy("id_doc").limit(limit)
