@@ -76,6 +76,13 @@ def _parts_of(nodes: np.ndarray, parts: int) -> np.ndarray:
     return np.searchsorted((nodes >> np.uint64(32)).astype(np.int64) * parts >> 32, np.arange(parts + 1))
 
 
+def _small(values: np.ndarray) -> bytes:
+    """Counts as one byte each, which says 255 where the count follows in full behind them."""
+    large = np.flatnonzero(values >= 255)
+    return b"".join((np.minimum(values, 255).astype("u1").tobytes(), np.array([len(large)], dtype="<u4").tobytes(),
+                     values[large].astype("<u8").tobytes()))
+
+
 def _requests(tokens: Tokens, train: np.ndarray, parts: int) -> Iterator[tuple[int, bytes]]:
     """(part, payload): nodes, their training counts and followers, and for each pair a 40-bit key and its count.
 
@@ -83,11 +90,11 @@ def _requests(tokens: Tokens, train: np.ndarray, parts: int) -> Iterator[tuple[i
     """
     n = len(tokens.nodes)
     trained = np.repeat(train, tokens.counts)
-    of_node = np.bincount(tokens.token[trained], minlength=n).astype("<u4")
-    of_pair = np.bincount(tokens.pair[trained], minlength=len(tokens.pairs)).astype("<u4")
+    of_node = np.bincount(tokens.token[trained], minlength=n)
+    of_pair = np.bincount(tokens.pair[trained], minlength=len(tokens.pairs))
     before = tokens.pairs // n
     key = mix(tokens.nodes[before] * _PAIR + tokens.nodes[tokens.pairs % n]) >> np.uint64(24)
-    followers = np.bincount(before, minlength=n).astype("<u4")
+    followers = np.bincount(before, minlength=n)
     first_pair = np.concatenate(([0], np.cumsum(followers, dtype=np.int64)))
     cut = _parts_of(tokens.nodes, parts)
     for part, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())):
@@ -95,16 +102,27 @@ def _requests(tokens: Tokens, train: np.ndarray, parts: int) -> Iterator[tuple[i
             p, q = int(first_pair[a]), int(first_pair[b])
             yield part, b"".join((
                 np.array([b - a, q - p], dtype="<u4").tobytes(), tokens.nodes[a:b].astype("<u8").tobytes(),
-                of_node[a:b].tobytes(), followers[a:b].tobytes(), (key[p:q] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(),
-                (key[p:q] >> np.uint64(32)).astype("u1").tobytes(), of_pair[p:q].tobytes()))
+                _small(of_node[a:b]), _small(followers[a:b]), (key[p:q] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(),
+                (key[p:q] >> np.uint64(32)).astype("u1").tobytes(), _small(of_pair[p:q])))
 
 
 def _take(payload: bytes, *kinds: tuple[str, int]) -> list[np.ndarray]:
-    """Arrays that stand one after the other behind the two lengths of a payload."""
+    """Arrays that stand one after the other behind the two lengths of a payload; kind ``small`` is what ``_small`` made."""
     at, out = 8, []
+
+    def plain(kind: str, n: int) -> np.ndarray:
+        nonlocal at
+        part = np.frombuffer(payload, kind, n, at)
+        at += part.nbytes
+        return part
+
     for kind, n in kinds:
-        out.append(np.frombuffer(payload, kind, n, at))
-        at += out[-1].nbytes
+        if kind == "small":
+            values = plain("u1", n).astype(np.int64)
+            values[values == 255] = plain("<u8", int(plain("<u4", 1)[0]))
+            out.append(values)
+        else:
+            out.append(plain(kind, n))
     return out
 
 
@@ -118,7 +136,8 @@ def _answer(payloads: list[bytes]) -> list[bytes]:
     nodes, of_node, followers, keys, of_pair = [], [], [], [], []
     for payload in payloads:
         n, m = _lengths(payload)
-        a, b, c, low, high, d = _take(payload, ("<u8", n), ("<u4", n), ("<u4", n), ("<u4", m), ("u1", m), ("<u4", m))
+        a, b, c, low, high, d = _take(payload, ("<u8", n), ("small", n), ("small", n), ("<u4", m), ("u1", m),
+                                          ("small", m))
         nodes.append(a)
         of_node.append(b)
         followers.append(c)
@@ -126,20 +145,18 @@ def _answer(payloads: list[bytes]) -> list[bytes]:
         of_pair.append(d)
     sizes = [(len(a), len(k)) for a, k in zip(nodes, keys)]
     known, node = np.unique(np.concatenate(nodes), return_inverse=True)
-    count = np.bincount(node, weights=np.concatenate(of_node)).astype("<u8")
+    count = np.bincount(node, weights=np.concatenate(of_node)).astype(np.int64)
     code = np.repeat(node, np.concatenate(followers)).astype(np.uint64) << np.uint64(40)
     code |= np.concatenate(keys)
     pairs, pair = np.unique(code, return_inverse=True)
-    of_pair_all = np.bincount(pair, weights=np.concatenate(of_pair), minlength=len(pairs)).astype("<u8")
+    of_pair_all = np.bincount(pair, weights=np.concatenate(of_pair), minlength=len(pairs)).astype(np.int64)
     followed = (pairs >> np.uint64(40)).astype(np.int64)
-    kinds = np.bincount(followed, weights=of_pair_all > 0, minlength=len(known)).astype("<u8")
-    wide = 8 if max(count.max(initial=0), of_pair_all.max(initial=0)) >= 1 << 32 else 4
-    kind = f"<u{wide}"
+    kinds = np.bincount(followed, weights=of_pair_all > 0, minlength=len(known)).astype(np.int64)
     out, i, j = [], 0, 0
     for n, m in sizes:
         mine = node[i:i + n]
-        out.append(b"".join((np.array([n, m | (wide == 8) << 31], dtype="<u4").tobytes(), count[mine].astype(kind).tobytes(),
-                             kinds[mine].astype(kind).tobytes(), of_pair_all[pair[j:j + m]].astype(kind).tobytes())))
+        out.append(b"".join((np.array([n, m], dtype="<u4").tobytes(), _small(count[mine]), _small(kinds[mine]),
+                             _small(of_pair_all[pair[j:j + m]]))))
         i, j = i + n, j + m
     return out
 
@@ -158,9 +175,7 @@ def _scores(tokens: Tokens, answers: list[bytes], model: Model) -> dict[str, np.
     of_node, kinds, of_pair = [], [], []
     for payload in answers:
         n, m = _lengths(payload)
-        kind = "<u8" if m >> 31 else "<u4"
-        m &= (1 << 31) - 1
-        for into, part in zip((of_node, kinds, of_pair), _take(payload, (kind, n), (kind, n), (kind, m))):
+        for into, part in zip((of_node, kinds, of_pair), _take(payload, ("small", n), ("small", n), ("small", m))):
             into.append(part)
     count = np.concatenate(of_node).astype(np.float64)
     seen = count[tokens.token]
