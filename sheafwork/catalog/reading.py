@@ -227,7 +227,10 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return linking.merge_block_results(blocks.select("doc_id", "block_id", "page"), results)
 
 
-@query("match_vendor_fuzzy")
+@query("match_vendor_fuzzy", ctes("names") + """
+    select name_id, name, case when name in ('Amazon', 'amzn', 'Amazon Mkts') or trim(name) = 'AWS' then 'Amazon'
+      when name in ('leroymerlim', 'Leroy  Merlin', 'L Merlin', 'Leroy Merlin', 'leroy merlyn') then 'Leroy Merlin'
+      when name in ('IKEA Iberica', 'Ikea Ibérica') then 'IKEA' else name end as vendor from names""")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     names = frame(spark, sf, "names")
     return names.select("name_id", "name", linking.match_vendor_fuzzy(F.col("name")).alias("vendor"))
