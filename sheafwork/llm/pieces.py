@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sheafwork.llm.common import fresh
-from sheafwork.llm.words import WordIndex, after_space, pieces_of
+from sheafwork.llm.words import Ragged, WordIndex, after_space, pieces_of
 
 MARK = "▁"
 #: Stands for the mark while a text is segmented; in no piece (fixed value).
@@ -73,14 +73,11 @@ class Segmenter:
         for piece, (score, i) in self.vocabulary.scores.items():
             self.automaton.add_word(piece, (len(piece), score, i))
         self.automaton.make_automaton()
-        self.numbers = WordIndex(self._learn, self._forget)
-        self._forget()
-
-    def _forget(self) -> None:
-        self.ids: list[np.ndarray] = []
+        self.known = Ragged()
+        self.numbers = WordIndex(self._learn, self.known.keep)
 
     def _learn(self, stretches: list[bytes]) -> None:
-        self.ids.extend(np.array(self.segment(s.decode()), dtype=np.int32) for s in stretches)
+        self.known.add([self.segment(s.decode()) for s in stretches])
 
     def segment(self, text: str) -> list[int]:
         """The ids of one stretch whose spaces are still spaces: Viterbi over the automaton's matches."""
@@ -119,16 +116,9 @@ class Segmenter:
     def encode(self, texts: pa.Array) -> pa.Array:
         """A list of ids per text, null for a null text."""
         found = pieces_of(after_space(texts))
-        numbers = self.numbers(found)
-        chosen, back = np.unique(numbers, return_inverse=True)
-        parts = [self.ids[i] for i in chosen.tolist()]
-        lengths = np.array(list(map(len, parts)), dtype=np.int64)
-        flat = np.concatenate([np.empty(0, dtype=np.int32), *parts])
-        first, sizes = (np.cumsum(lengths) - lengths)[back], lengths[back]
-        ends = np.cumsum(sizes)
-        source = np.repeat(first - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
-        offsets = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(found.counts)))]
-        return _lists(offsets, flat[source], texts)
+        ids, lengths = self.known.take(self.numbers(found))
+        offsets = np.concatenate(([0], np.cumsum(lengths)))[np.concatenate(([0], np.cumsum(found.counts)))]
+        return _lists(offsets, ids, texts)
 
 
 def _lists(offsets: np.ndarray, values: np.ndarray, texts: pa.Array) -> pa.Array:
@@ -165,8 +155,9 @@ def piece_ids(text: Column, path: str) -> Column:
     def encode(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         segment = segmenter(path)
         for batch in texts:
-            parts = [segment.encode(batch.slice(at, 200)) for at in range(0, len(batch), 200)]
-            yield pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
+            for at in range(0, len(batch), 200):
+                yield segment.encode(batch.slice(at, 200))
+            pa.default_memory_pool().release_unused()  # two workers share what an executor leaves beside its heap
 
     return encode.asNondeterministic()(text)
 

@@ -2,7 +2,8 @@
 
 Documents are range-partitioned by id; a partition writes its documents in order as blocks of bounded size. Within a
 block, frequent pairs of ids are replaced by nonterminals, round after round: pairs are counted, the most frequent ones
-become rules, and their occurrences are replaced from left to right. A pair never holds the end id, so no rule spans
+become rules, and their occurrences are replaced from left to right. Pairs are counted in a table of slots, of which each
+counts one pair exactly; pairs that share its slot have their turn in a later round. A pair never holds the end id, so no rule spans
 two documents. A block stores its rules, the expansion length of each, where every document starts among its symbols,
 and the symbols, so one document, or one position in it, is decoded without the rest.
 
@@ -43,23 +44,7 @@ TERMINALS = 49_408
 ROUNDS, RULES_PER_ROUND, LEAST = 4, 4_000, 16
 #: Ids after which a block is closed, and text bytes of a partition.
 BLOCK_IDS, PARTITION_BYTES = 2_000_000, 16 << 20
-_SPREAD, _SLOTS = np.uint64(0x9E3779B97F4A7C15), 18
-
-
-def _rules(ids: np.ndarray, end: int, least: int, most: int) -> np.ndarray:
-    """The most frequent pairs of neighbours, as codes; equal counts by ascending code."""
-    code = (ids[:-1].astype(np.int64) << 32) | ids[1:]
-    code = np.sort(code[(ids[:-1] != end) & (ids[1:] != end)])
-    if not len(code):
-        return code
-    first = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
-    counts = np.diff(np.append(first, len(code)))
-    often = np.flatnonzero(counts >= least)
-    chosen = often[np.argsort(-counts[often], kind="stable")[:most]]
-    code = code[first[chosen]]
-    # one pair per slot of the lookup, the most frequent first; the others have their turn in a later round
-    _, keep = np.unique((code.view(np.uint64) * _SPREAD) >> np.uint64(64 - _SLOTS), return_index=True)
-    return code[np.sort(keep)]
+_SPREAD, _SLOTS = np.uint64(0x9E3779B97F4A7C15), 16
 
 
 def compress(ids: np.ndarray, starts: np.ndarray, end: int = END, terminals: int = TERMINALS, rounds: int = ROUNDS,
@@ -70,23 +55,32 @@ def compress(ids: np.ndarray, starts: np.ndarray, end: int = END, terminals: int
     for _ in range(rounds):
         if len(symbols) < 2:
             break
-        rules = _rules(symbols, end, least, most)
-        if not len(rules):
-            break
-        table = np.full(1 << _SLOTS, -1, dtype=np.int32)
-        table[(rules.view(np.uint64) * _SPREAD) >> np.uint64(64 - _SLOTS)] = np.arange(len(rules), dtype=np.int32)
         code = (symbols[:-1].astype(np.int64) << 32) | symbols[1:]
-        rule = table[(code.view(np.uint64) * _SPREAD) >> np.uint64(64 - _SLOTS)]
-        at = np.flatnonzero(rule >= 0)
-        at = at[rules[rule[at]] == code[at]]
+        # one pair per slot of a table has its turn in a round: the one seen last, so mostly a frequent one
+        slot = ((code.view(np.uint64) * _SPREAD) >> np.uint64(64 - _SLOTS)).astype(np.int32)
+        pair_of = np.zeros(1 << _SLOTS, dtype=np.int64)
+        pair_of[slot] = code
+        is_pair = (pair_of[slot] == code) & (symbols[:-1] != end) & (symbols[1:] != end)
+        counts = np.bincount(slot[is_pair], minlength=1 << _SLOTS)
+        often = np.flatnonzero(counts >= least)
+        often = often[np.argsort(-counts[often], kind="stable")[:most]]
+        if not len(often):
+            break
+        rule_of = np.full(1 << _SLOTS, -1, dtype=np.int32)
+        rule_of[often] = np.arange(len(often), dtype=np.int32)
+        at = np.flatnonzero(is_pair)
+        rule = rule_of[slot[at]]
+        at, rule = at[rule >= 0], rule[rule >= 0]
         # of overlapping occurrences the first, third, ... of each run are replaced
         run = np.maximum.accumulate(np.where(np.concatenate(([True], np.diff(at) != 1)), np.arange(len(at)), 0))
-        at = at[(np.arange(len(at)) - run) % 2 == 0]
-        symbols[at] = terminals + added + rule[at]
+        odd = (np.arange(len(at)) - run) % 2 == 0
+        at, rule = at[odd], rule[odd]
+        symbols[at] = terminals + added + rule
         keep = np.ones(len(symbols), dtype=bool)
         keep[at + 1] = False
         symbols = symbols[keep]
         starts = starts - np.searchsorted(at + 1, starts, "left")
+        rules = pair_of[often]
         pairs.append(np.stack((rules >> 32, rules & 0xFFFFFFFF), axis=1))
         added += len(rules)
     return symbols, np.concatenate([np.empty((0, 2), dtype=np.int64), *pairs]), starts
@@ -136,21 +130,17 @@ class Block:
         for a, b in self.pairs.tolist():
             spelled.append(np.concatenate([spelled[s - self.terminals] if s >= self.terminals
                                            else np.array([s], dtype=np.int32) for s in (a, b)]))
-        self.spelled = np.concatenate([np.empty(0, dtype=np.int32), *spelled])
-        self.spelled_at = np.cumsum(self.lengths) - self.lengths
+        # every symbol's ids in one array, terminals first
+        self.spelled = np.concatenate([np.arange(self.terminals, dtype=np.int32), *spelled])
+        self.size = np.concatenate((np.ones(self.terminals, dtype=np.int64), self.lengths))
+        self.spelled_at = np.cumsum(self.size) - self.size
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
-        s = symbols.astype(np.int64)
-        rule = s >= self.terminals
-        size = np.ones(len(s), dtype=np.int64)
-        size[rule] = self.lengths[s[rule] - self.terminals]
-        place = np.cumsum(size) - size
-        out = np.empty(int(size.sum()), dtype=np.int32)
-        out[place[~rule]] = s[~rule]
-        which, sizes = s[rule] - self.terminals, size[rule]
-        within = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        out[np.repeat(place[rule], sizes) + within] = self.spelled[np.repeat(self.spelled_at[which], sizes) + within]
-        return out
+        size = self.size[symbols]
+        ends = np.cumsum(size)
+        source = np.repeat(self.spelled_at[symbols] - (ends - size), size)
+        source += np.arange(len(source))
+        return self.spelled[source]
 
     def document(self, i: int) -> np.ndarray:
         """The ids of document ``i`` alone."""
@@ -158,8 +148,8 @@ class Block:
 
     def at(self, i: int, position: int) -> int:
         """The id at one position of document ``i``: its symbol is found by expansion lengths, and that one expanded."""
-        s = self.symbols[self.starts[i]:self.starts[i + 1]].astype(np.int64)
-        size = np.where(s >= self.terminals, self.lengths[np.maximum(s - self.terminals, 0)] if len(self.lengths) else 1, 1)
+        s = self.symbols[self.starts[i]:self.starts[i + 1]]
+        size = self.size[s]
         ends = np.cumsum(size)
         k = int(np.searchsorted(ends, position, "right"))
         return int(self.expand(s[k:k + 1])[position - (ends[k] - size[k])])

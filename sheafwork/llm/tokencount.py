@@ -51,11 +51,11 @@ class TokenCounter:
         self.maybe = np.zeros(1 << SLOTS, dtype=bool)  # most substrings are no pieces: one look says so
         self.maybe[self.keys >> np.uint64(64 - SLOTS)] = True
         self.powers = [pow(_BASE, i, 1 << 64) for i in range(self.vocabulary.longest + 1)]
-        self.numbers = WordIndex(self._learn, self._forget)
-        self._forget()
-
-    def _forget(self) -> None:
         self.counts = np.empty(0, dtype=np.int64)
+        self.numbers = WordIndex(self._learn, self._keep)
+
+    def _keep(self, numbers: np.ndarray) -> None:
+        self.counts = self.counts[numbers]
 
     def _learn(self, stretches: list[bytes]) -> None:
         self.counts = np.concatenate((self.counts, self.count([s.decode() for s in stretches])))

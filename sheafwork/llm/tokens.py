@@ -6,12 +6,27 @@ distinct word is encoded once per worker and remembered, up to a bound.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 
 import numpy as np
 import pyarrow as pa
 
-from sheafwork.llm.words import WordIndex, words_of
+from sheafwork.llm.words import Ragged, WordIndex, words_of
+
+#: Fixed value: the pre-tokenizer pattern of tokenizers for which ``PLAIN`` words may pass the normalizer by.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: One run of Latin-1 letters and perhaps one of ASCII marks: composed already, lower-cased letter by letter, two pre-tokens.
+PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies: itself if printable, else one from U+0100 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
 
 class WordEncoder:
     """Ids of whole texts by the tokenizer file ``path`` (the tokenizers library's JSON format).
@@ -26,49 +41,58 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.numbers = WordIndex(self._learn, self._forget)
-        self._forget()
-
-    def _forget(self) -> None:
-        self.ids = np.empty(1 << 20, dtype=np.int32)
-        self.first = np.empty(1 << 18, dtype=np.int64)
-        self.length = np.empty(1 << 18, dtype=np.int64)
-        self.used = self.known = 0
+        self.known = Ragged()
+        self.numbers = WordIndex(self._learn, self.known.keep, most=400_000)
+        self._prepare(json.loads(self.tokenizer.to_str()))
+
+    def _prepare(self, made: dict) -> None:
+        """Where the normalizer leaves plain words alone but for case, the model reads them without it, many at a time."""
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        steps = [step["type"] for step in (made["normalizer"] or {}).get("normalizers", [])]
+        cuts = (made["pre_tokenizer"] or {}).get("pretokenizers", [])
+        self.plain = (steps == ["NFC", "Replace", "Lowercase"] and [c["type"] for c in cuts] == ["Split", "ByteLevel"]
+                      and cuts[0]["pattern"] == {"Regex": PATTERN} and made["model"]["end_of_word_suffix"] == "</w>")
+        self.letters = _byte_letters()
+        self.marks: dict[str, list[int]] = {"": []}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.bare = Tokenizer(self.tokenizer.model)
+        self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+
+    def _whole(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def _learn(self, words: list[bytes]) -> None:
-        for at in range(0, len(words), 20_000):
-            part = [w.decode() for w in words[at:at + 20_000]]
-            pieces = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
-            lengths = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
-            total, to = int(lengths.sum()), self.known + len(pieces)
-            while self.used + total > len(self.ids):
-                self.ids = np.concatenate((self.ids, np.empty_like(self.ids)))
-            while to > len(self.first):
-                self.first = np.concatenate((self.first, np.empty_like(self.first)))
-                self.length = np.concatenate((self.length, np.empty_like(self.length)))
-            self.ids[self.used:self.used + total] = [i for p in pieces for i in p]
-            self.first[self.known:to] = self.used + np.cumsum(lengths) - lengths
-            self.length[self.known:to] = lengths
-            self.used, self.known = self.used + total, to
+        texts = [w.decode() for w in words]
+        parts = [PLAIN.fullmatch(t) if self.plain else None for t in texts]
+        runs = list({m[1].lower() for m in parts if m})
+        ids_of: dict[str, list[int]] = {}
+        for at in range(0, len(runs), 1000):
+            some = runs[at:at + 1000]
+            text = " ".join(r.encode().decode("latin-1").translate(self.letters) for r in some)
+            ids = np.array(self.bare.encode_batch_fast([text], add_special_tokens=False)[0].ids)
+            ends = (np.flatnonzero(self.ends_word[ids]) + 1).tolist()
+            flat = ids.tolist()
+            ids_of.update((r, flat[a:b]) for r, a, b in zip(some, [0, *ends], ends, strict=False))
+        for mark in {m[2] for m in parts if m} - self.marks.keys():
+            self.marks[mark] = self._whole(mark)
+        self.known.add([ids_of[m[1].lower()] + self.marks[m[2]] if m else self._whole(t) for m, t in zip(parts, texts)])
+        if len(self.marks) > 10_000:
+            self.marks = {"": []}
 
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each closed by ``end``, and how many each has. A null text has only the end."""
         found = words_of(texts)
-        words = self.numbers(found)
-        lengths = self.length[words]
-        ends = np.cumsum(lengths)
+        ids, lengths = self.known.take(self.numbers(found))
         last = np.cumsum(found.counts)
-        total = np.concatenate(([0], ends))
+        total = np.concatenate(([0], np.cumsum(lengths)))
         counts = total[last] - total[last - found.counts] + 1
-        out = np.full(int(counts.sum()), end, dtype=np.int32)
-        size = int(ends[-1]) if len(ends) else 0
-        # ids of a word lie together: a source and a target position per id, from where its word begins in each
-        begin = ends - lengths
-        source = np.repeat(self.first[words] - begin, lengths)
-        source += np.arange(size)
-        target = np.repeat(np.repeat(np.arange(len(last)), found.counts), lengths)
-        target += np.arange(size)
-        out[target] = self.ids[source]
+        out = np.full(len(ids) + len(last), end, dtype=np.int32)
+        is_id = np.ones(len(out), dtype=bool)
+        is_id[np.cumsum(counts) - 1] = False
+        out[is_id] = ids
         return out, counts
 
 

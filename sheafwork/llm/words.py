@@ -7,6 +7,7 @@ Python string is made. A word is a run of bytes other than ASCII white space; UT
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -133,27 +134,39 @@ class WordIndex:
     """Numbers for words by hash, dense from 0; ``learn`` is given the words that are new.
 
     A direct-mapped table answers nearly all lookups with two array reads; the rest go through a dictionary. Beyond
-    ``most`` words everything is forgotten, and ``forget`` is called.
+    ``most`` words those that only one batch had are forgotten, and if need be the rarer half; ``keep`` is given the
+    numbers that stay, in the order of their new ones.
     """
 
-    def __init__(self, learn: Callable[[list[bytes]], None], forget: Callable[[], None], most: int = 600_000,
+    def __init__(self, learn: Callable[[list[bytes]], None], keep: Callable[[np.ndarray], None], most: int = 250_000,
                  bits: int = 20):
-        self.learn, self.on_forget, self.most, self.shift = learn, forget, most, np.uint64(64 - bits)
+        self.learn, self.keep, self.most, self.shift = learn, keep, most, np.uint64(64 - bits)
         self.slot_hash = np.zeros(1 << bits, dtype=np.uint64)
-        self.slot_number = np.full(1 << bits, -1, dtype=np.int64)
+        self.slot_number = np.full(1 << bits, -1, dtype=np.int32)
         self.numbers: dict[int, int] = {}
+        self.batches = np.zeros(1 << 16, dtype=np.int32)  # how many batches had each word
+
+    def _forget(self) -> None:
+        used = self.batches[:len(self.numbers)]
+        stay = np.flatnonzero(used > 1)
+        if len(stay) > self.most // 2:
+            stay = np.sort(stay[np.argsort(-used[stay], kind="stable")[:self.most // 2]])
+        hashes = np.fromiter(self.numbers, dtype=np.uint64, count=len(self.numbers))[stay]
+        self.numbers = dict(zip(hashes.tolist(), range(len(stay))))
+        self.slot_number[:] = -1
+        self.batches[:len(stay)] = 1
+        self.batches[len(stay):] = 0
+        self.keep(stay)
 
     def __call__(self, words: Words) -> np.ndarray:
         if len(self.numbers) > self.most:
-            self.numbers.clear()
-            self.slot_number[:] = -1
-            self.on_forget()
+            self._forget()
         slots = (words.hashes >> self.shift).astype(np.int64)
         out = self.slot_number[slots]
         missing = np.flatnonzero((self.slot_hash[slots] != words.hashes) | (out < 0))
         if len(missing):
             unknown, first, back = np.unique(words.hashes[missing], return_index=True, return_inverse=True)
-            numbers, new = np.empty(len(unknown), dtype=np.int64), []
+            numbers, new = np.empty(len(unknown), dtype=np.int32), []
             get, count = self.numbers.get, len(self.numbers)
             for i, h in enumerate(unknown.tolist()):
                 n = get(h)
@@ -167,4 +180,52 @@ class WordIndex:
             out[missing] = numbers[back]
             into = (unknown >> self.shift).astype(np.int64)
             self.slot_hash[into], self.slot_number[into] = unknown, numbers
+        while len(self.numbers) > len(self.batches):
+            self.batches = np.concatenate((self.batches, np.zeros_like(self.batches)))
+        self.batches[out] += 1  # once per word, however often the batch has it
         return out
+
+
+class Ragged:
+    """Lists of numbers, one per word number, in one growing array."""
+
+    def __init__(self) -> None:
+        self.values = np.empty(1 << 16, dtype=np.int32)
+        self.first = np.empty(1 << 14, dtype=np.int64)
+        self.length = np.empty(1 << 14, dtype=np.int64)
+        self.used = self.known = 0
+
+    def __len__(self) -> int:
+        return self.known
+
+    def add(self, lists: list[list[int]]) -> None:
+        lengths = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
+        self.add_flat(np.fromiter(chain.from_iterable(lists), dtype=np.int32, count=int(lengths.sum())), lengths)
+
+    def add_flat(self, values: np.ndarray, lengths: np.ndarray) -> None:
+        total, to = len(values), self.known + len(lengths)
+        while self.used + total > len(self.values):
+            self.values = np.concatenate((self.values, np.empty_like(self.values)))
+        while to > len(self.first):
+            self.first = np.concatenate((self.first, np.empty_like(self.first)))
+            self.length = np.concatenate((self.length, np.empty_like(self.length)))
+        self.values[self.used:self.used + total] = values
+        self.first[self.known:to] = self.used + np.cumsum(lengths) - lengths
+        self.length[self.known:to] = lengths
+        self.used, self.known = self.used + total, to
+
+    def keep(self, numbers: np.ndarray) -> None:
+        values, self.length = self.take(numbers)
+        self.first = np.cumsum(self.length) - self.length
+        self.values = np.append(values, np.int32(0))
+        self.used, self.known = len(values), len(numbers)
+        if not self.known:
+            self.first, self.length = np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64)
+
+    def take(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The lists of these numbers one after the other, and their lengths."""
+        lengths = self.length[numbers]
+        begin = np.cumsum(lengths) - lengths
+        source = np.repeat(self.first[numbers] - begin, lengths)
+        source += np.arange(len(source))
+        return self.values[source], lengths
