@@ -20,7 +20,8 @@ HEADLINE = (
     "document_detail keyword_documents type_counts_top10 dominant_colors color_palette chunk_text "
     "build_text_index_unstemmed build_text_index search_fulltext knn_l2 knn_inner_product zero_shot_labels "
     "near_duplicate_pairs near_duplicate_groups next_version apply_document_patch pack_context stream_quiet_batches "
-    "match_vendor_fuzzy html_corpus_to_text email_corpus_to_rows predict_type"
+    "match_vendor_fuzzy html_corpus_to_text email_corpus_to_rows predict_type snippet search_results hybrid_results "
+    "rebuild_index stream_dedup stream_hot_folder ingest_documents"
 ).split()
 
 
