@@ -7,8 +7,9 @@ it can be the smaller partner, one 64-bit signature per segment.
 
 An empty segment is equal by chance in a share of all sets, so its signature would gather a group that grows with the
 corpus. Allocation by cost settles it per band: with N sets in the band a set meets about N (1 - 1/m)^size others in an
-empty segment; when that is more than the elements of a segment, empty segments are skipped, and a set that has e of
-them pays for it with the one-deletion neighbourhoods of its first segments, up to e that hold two or more elements.
+empty segment, and each costs reading a set; a one-deletion neighbourhood costs a signature per element of a segment, so
+size / m. When the mates cost more, empty segments are skipped, and a set that has e of them pays for it with the
+one-deletion neighbourhoods of its first segments, up to e that hold two or more elements.
 Two sets without an equal filled segment then have, among their first segments, one that differs in exactly one
 element, which the deletions find. A set with too few such segments keeps its empty signatures.
 
@@ -43,9 +44,11 @@ WORDS = 4
 #: Sizes of a band lie within this ratio.
 RATIO = 0.7
 #: Shingles that one block of a verification holds; two blocks meet in a task.
-BLOCK_SHINGLES = 1_500_000
+BLOCK_SHINGLES = 600_000
+#: Proposed documents are broadcast, to read only their texts, while they are no more than this (8 bytes each).
+BROADCAST_IDS = 4_000_000
 #: Sets a task remembers to have indexed; beyond it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -108,8 +111,8 @@ class Scheme:
         return 2 * self._band(band)[1] * (100 - self.percent) // (100 + self.percent)
 
     def skips_empty(self, band: int, segments: int) -> bool:
-        high = self._band(band)[1]
-        return self.sets_in_band.get(band, 0) * (1 - 1 / segments) ** high > high / segments
+        mates = self.sets_in_band.get(band, 0) * (1 - 1 / segments) ** self._band(band)[1]
+        return mates > 1 / segments
 
     def signatures(self, elements: np.ndarray) -> np.ndarray:
         """The signatures of a set in all its bands; none where only equal sets can link."""
@@ -261,6 +264,9 @@ def _verify(docs: DataFrame, meetings: DataFrame, doc_id: str, text: str, words:
         return pd.DataFrame(links, columns=["u", "v"], dtype="int64")
 
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    proposed = meetings.select("node").distinct()
+    if proposed.count() <= BROADCAST_IDS:  # then only the texts that are compared are shuffled
+        rows = rows.join(F.broadcast(proposed), rows["doc_id"] == proposed["node"], "left_semi")
     met = meetings.join(rows, meetings["node"] == rows["doc_id"]).select("doc_id", "text", "task", "side")
     return met.groupBy("task").applyInPandas(body, "u bigint, v bigint")
 
