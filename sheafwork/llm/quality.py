@@ -15,7 +15,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,10 +49,13 @@ def measure(text: str | None) -> tuple[int, int, int, int, int, int]:
             len(lines) - len(set(lines)), repeated, len(lines))
 
 
-@F.pandas_udf(T.StructType([T.StructField(c, T.LongType()) for c in MEASURES]))
-def measures(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+@F.arrow_udf(T.StructType([T.StructField(c, T.LongType()) for c in MEASURES]))
+def measures(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for batch in texts:
-        yield pd.DataFrame([measure(t) for t in batch], columns=MEASURES, dtype="int64")
+        for at in range(0, len(batch), 200):
+            rows = [measure(t) for t in batch.slice(at, 200).to_pylist()]
+            yield pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=list(MEASURES))
+        pa.default_memory_pool().release_unused()  # two workers share what an executor leaves beside its heap
 
 
 def rules(m: Column) -> dict[str, Column]:
