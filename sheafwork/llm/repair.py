@@ -1,11 +1,11 @@
 """Token ids in grammar-compressed files (Re-Pair) with random access.
 
 Documents are range-partitioned by id; a partition writes its documents in order as blocks of bounded size. Within a
-block, frequent pairs of ids are replaced by nonterminals, round after round: pairs are counted, the most frequent ones
-become rules, and their occurrences are replaced from left to right. Pairs are counted in a table of slots, of which each
-counts one pair exactly; pairs that share its slot have their turn in a later round. A pair never holds the end id, so no rule spans
-two documents. A block stores its rules, the expansion length of each, where every document starts among its symbols,
-and the symbols, so one document, or one position in it, is decoded without the rest.
+block, frequent pairs of ids are replaced by nonterminals, round after round: every pair of neighbours is counted exactly,
+the most frequent ones become rules, and their occurrences are replaced from left to right, until no pair is frequent. A
+pair never holds the end id, so no rule spans two documents. A block stores its rules, the expansion length of each, where
+every document starts among its symbols, and the symbols, so one document, or one position in it, is decoded without the
+rest.
 
 A block is one row (shard, block, doc_ids, n_tokens, payload) of a Parquet table in the shared folder: Spark's writer
 commits whole tasks, so a lost executor leaves no half file. The payload's layout, little-endian, is:
@@ -26,6 +26,7 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -40,36 +41,36 @@ from sheafwork.session import shared_folder
 MAGIC = 0x52503031
 END = 1
 TERMINALS = 49_408
-#: Rounds of replacement, rules a round may add (so that symbols fit two bytes), and how often a pair must occur.
-ROUNDS, RULES_PER_ROUND, LEAST = 4, 4_000, 16
+#: Rules a round may add (the other pairs are counted anew in the next one), and how often a pair must occur.
+RULES_PER_ROUND, LEAST = 4_000, 16
 #: Ids after which a block is closed, and text bytes of a partition.
 BLOCK_IDS, PARTITION_BYTES = 2_000_000, 16 << 20
-_SPREAD, _SLOTS = np.uint64(0x9E3779B97F4A7C15), 16
+_SPREAD, _SLOTS = np.uint64(0x9E3779B97F4A7C15), 20
 
 
-def compress(ids: np.ndarray, starts: np.ndarray, end: int = END, terminals: int = TERMINALS, rounds: int = ROUNDS,
+def compress(ids: np.ndarray, starts: np.ndarray, end: int = END, terminals: int = TERMINALS, rounds: int | None = None,
              most: int = RULES_PER_ROUND, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols, pairs of the rules, first symbol of each document)."""
+    """(symbols, pairs of the rules, first symbol of each document); without ``rounds`` until no pair occurs ``least`` times."""
     symbols, starts, pairs = ids.astype(np.int32), starts.astype(np.int64), []
     added = 0
-    for _ in range(rounds):
+    for _ in count() if rounds is None else range(rounds):
         if len(symbols) < 2:
             break
         code = (symbols[:-1].astype(np.int64) << 32) | symbols[1:]
-        # one pair per slot of a table has its turn in a round: the one seen last, so mostly a frequent one
         slot = ((code.view(np.uint64) * _SPREAD) >> np.uint64(64 - _SLOTS)).astype(np.int32)
-        pair_of = np.zeros(1 << _SLOTS, dtype=np.int64)
-        pair_of[slot] = code
-        is_pair = (pair_of[slot] == code) & (symbols[:-1] != end) & (symbols[1:] != end)
-        counts = np.bincount(slot[is_pair], minlength=1 << _SLOTS)
+        # a slot counts all pairs that share it, so those in a slot below ``least`` are rare; the others are counted exactly
+        is_pair = (symbols[:-1] != end) & (symbols[1:] != end)
+        at = np.flatnonzero(is_pair & (np.bincount(slot[is_pair], minlength=1 << _SLOTS) >= least)[slot])
+        code, slot = code[at], slot[at]
+        ordered = np.sort(code)
+        first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))[:len(ordered)]
+        counts = np.diff(np.append(first, len(ordered)))
         often = np.flatnonzero(counts >= least)
         often = often[np.argsort(-counts[often], kind="stable")[:most]]
         if not len(often):
             break
-        rule_of = np.full(1 << _SLOTS, -1, dtype=np.int32)
-        rule_of[often] = np.arange(len(often), dtype=np.int32)
-        at = np.flatnonzero(is_pair)
-        rule = rule_of[slot[at]]
+        rules = ordered[first[often]]
+        rule = _places(code, slot, rules)
         at, rule = at[rule >= 0], rule[rule >= 0]
         # of overlapping occurrences the first, third, ... of each run are replaced
         run = np.maximum.accumulate(np.where(np.concatenate(([True], np.diff(at) != 1)), np.arange(len(at)), 0))
@@ -80,12 +81,29 @@ def compress(ids: np.ndarray, starts: np.ndarray, end: int = END, terminals: int
         keep[at + 1] = False
         symbols = symbols[keep]
         starts = starts - np.searchsorted(at + 1, starts, "left")
-        rules = pair_of[often]
         pairs.append(np.stack((rules >> 32, rules & 0xFFFFFFFF), axis=1))
         added += len(rules)
     return symbols, np.concatenate([np.empty((0, 2), dtype=np.int64), *pairs]), starts
 
 
+def _places(code: np.ndarray, slot: np.ndarray, rules: np.ndarray) -> np.ndarray:
+    """The place of every code among the rules, or -1: one rule of a slot by a table, the others by a search."""
+    of_rule = ((rules.view(np.uint64) * _SPREAD) >> np.uint64(64 - _SLOTS)).astype(np.int32)
+    table = np.full(1 << _SLOTS, -1, dtype=np.int32)
+    table[of_rule] = np.arange(len(rules), dtype=np.int32)
+    place = table[slot]
+    place[rules[place] != code] = -1
+    rest = np.flatnonzero(table[of_rule] != np.arange(len(rules)))
+    if len(rest):
+        shared = np.zeros(1 << _SLOTS, dtype=bool)
+        shared[of_rule[rest]] = True
+        rest = rest[np.argsort(rules[rest])]
+        open_ = np.flatnonzero(shared[slot] & (place < 0))
+        found = np.minimum(np.searchsorted(rules[rest], code[open_]), len(rest) - 1)
+        place[open_] = np.where(rules[rest][found] == code[open_], rest[found], -1)
+    return place
+
+
 def expansion_lengths(pairs: np.ndarray, terminals: int = TERMINALS) -> np.ndarray:
     """How many ids each rule stands for; a rule's symbols are terminals or earlier rules."""
     lengths = np.ones(len(pairs), dtype=np.int64)

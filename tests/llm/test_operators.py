@@ -245,6 +245,24 @@ def test_block_random_access():
     assert np.array_equal(repair.Block(repair.pack(runs, np.array([51]), least=2)).document(0), runs)
 
 
+def test_no_frequent_pair_is_left(monkeypatch):
+    """Also with slots that many pairs share, where a frequent pair is followed by rare ones, and with few rules a round."""
+    r = np.random.default_rng(3)
+    often = np.concatenate([np.array([a, a + 300, 1]) for a in range(40, 340) for _ in range(20)])
+    rare = np.stack((r.permutation(20_000) + 1_000, r.permutation(20_000) + 1_000, np.ones(20_000)), axis=1).ravel()
+    ids = np.concatenate((often, rare)).astype(np.int32)
+    first = np.array([0, len(ids)])
+    for slots, options in ((20, {}), (4, {}), (20, {"most": 7}), (20, {"most": 20_000, "least": 1})):
+        monkeypatch.setattr(repair, "_SLOTS", slots)
+        symbols, pairs, _ = repair.compress(ids, first, **options)
+        left = Counter((a, b) for a, b in zip(symbols.tolist(), symbols[1:].tolist()) if a != 1 and b != 1)
+        assert max(left.values(), default=0) < options.get("least", repair.LEAST)
+        assert {(a, a + 300) for a in range(40, 340)} <= set(map(tuple, pairs.tolist()))
+        assert np.array_equal(repair.Block(repair.pack(ids, first[1:], **options)).document(0), ids)
+    width = int(np.frombuffer(repair.pack(ids, first[1:], most=20_000, least=1), "<u4", 2)[1])
+    assert width == 4
+
+
 # language model ------------------------------------------------------------------------------------------------------
 
 @pytest.mark.parametrize("block_bytes", [lm.BLOCK_BYTES, 60_000])
