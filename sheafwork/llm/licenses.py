@@ -5,7 +5,8 @@ that is unique in the template votes for the start it implies, and starts are co
 start with enough votes text and template are aligned: words unique on both sides are anchors, the longest increasing
 subsequence of their places is kept, common ends are matched, and the gaps between anchors are aligned again. Coverage
 is the share of the template's words that are aligned; a document's notice is the template with the greatest coverage,
-of equal ones the longer, then the first in the list.
+of equal ones the longer, then the first in the list; that all rights are reserved is the notice of a document without
+another one.
 
 Documents are not shuffled, and templates are a list of fixed size.
 
@@ -56,7 +57,10 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("BSD", """Redistribution and use in source and binary forms, with or without modification, are permitted provided
      that the following conditions are met: Redistributions of source code must retain the above copyright notice, this
      list of conditions and the following disclaimer."""),
+    ("All-Rights-Reserved", "All rights reserved."),
 )
+#: No license but the notice that there is none; license texts say it too, so any license found goes before it.
+RESERVED = "All-Rights-Reserved"
 #: The least coverage that names a license, and the share of a template's unique words that must vote for a start.
 COVERAGE, VOTES = 0.8, 0.4
 
@@ -130,7 +134,7 @@ class Templates:
         """(words, license, coverage, first word, one past the last word) of every text."""
         found = words_of(texts, letters_only=True)
         ends = np.cumsum(found.counts)
-        best: dict[int, tuple[float, int, int, int, int]] = {}
+        best: dict[int, tuple[bool, float, int, int, int, int]] = {}
         at = np.flatnonzero(self.maybe[found.hashes >> np.uint64(48)])
         left = np.searchsorted(self.hash, found.hashes[at], "left")
         times = np.searchsorted(self.hash, found.hashes[at], "right") - left
@@ -143,12 +147,13 @@ class Templates:
             pairs = patience(found.hashes[begin:end].tolist(), self.words[template])
             coverage = len(pairs) / n
             if coverage >= least:
-                entry = (coverage, n, -template, begin - first + pairs[0][0], begin - first + pairs[-1][0] + 1)
-                if entry[:3] > best.get(text, (0.0, 0, 0))[:3]:
+                entry = (self.names[template] != RESERVED, coverage, n, -template, begin - first + pairs[0][0],
+                         begin - first + pairs[-1][0] + 1)
+                if entry[:4] > best.get(text, (False, 0.0, 0, 0))[:4]:
                     best[text] = entry
         out = []
         for text, n in enumerate(found.counts.tolist()):
-            coverage, _, template, first, last = best.get(text, (0.0, 0, 0, 0, 0))
+            _, coverage, _, template, first, last = best.get(text, (False, 0.0, 0, 0, 0, 0))
             out.append((n, self.names[-template] if coverage else None, coverage, first, last))
         return out
 

@@ -404,6 +404,24 @@ def test_licenses(spark, odd):
     assert rows(licenses.license_scan(odd), "license") == [(None,)] * odd.count()
 
 
+def test_final_notice_lines_of_the_documents(spark, documents):
+    """Every last line that says license or rights, as the given table has it, and what a license says besides."""
+    lines = {"Licensed under the Apache License, Version 2.0.": "Apache-2.0", "Released under the MIT License.": "MIT",
+             "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0",
+             "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "All rights reserved.": "All-Rights-Reserved"}
+    last = {r["doc_id"]: r["text"].split("\n")[-1] for r in documents.collect() if r["text"]}
+    notices = {i: line for i, line in last.items() if "licen" in line.lower() or "rights" in line.lower()}
+    assert set(notices.values()) <= set(lines)
+    found = {r["doc_id"]: r for r in licenses.license_scan(documents).collect()}
+    assert {i: found[i]["license"] for i in notices} == {i: lines[line] for i, line in notices.items()}
+    words = ("Copyright 2020 The Authors. All rights reserved. Redistribution and use in source or binary forms, with or "
+             "without modification, are permitted provided that the following conditions are met: Redistributions of source "
+             "code must retain the above copyright notice, this list of conditions and the following disclaimer.")
+    said = [(0, "some words here\nAll rights reserved."), (1, words), (2, "all the rights of way")]
+    found = licenses.license_scan(spark.createDataFrame(said, "doc_id bigint, text string"))
+    assert rows(found, "doc_id", "license") == [(0, "All-Rights-Reserved"), (1, "BSD"), (2, None)]
+
+
 # empty tables --------------------------------------------------------------------------------------------------------
 
 def test_empty_tables(none, spark, sf, paths):
