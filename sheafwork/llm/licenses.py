@@ -4,9 +4,9 @@ Words are runs of letters and digits, A-Z lower-cased. Where a template may lie
 that is unique in the template votes for the start it implies, and starts are counted in overlapping bands. Around a
 start with enough votes text and template are aligned: words unique on both sides are anchors, the longest increasing
 subsequence of their places is kept, common ends are matched, and the gaps between anchors are aligned again. Coverage
-is the share of the template's words that are aligned; a document's notice is the template with the greatest coverage,
-of equal ones the longer, then the first in the list; that all rights are reserved is the notice of a document without
-another one.
+is the share of the template's words that are aligned. ``license_notices`` gives every notice found in a document;
+``license_scan`` derives the best one: that of greatest coverage, of equal ones the longer, then the first in the list; that
+all rights are reserved is the notice of a document without another one.
 
 Documents are not shuffled, and templates are a list of fixed size.
 
@@ -130,11 +130,11 @@ class Templates:
         self.maybe = np.zeros(1 << 16, dtype=bool)
         self.maybe[self.hash >> np.uint64(48)] = True
 
-    def scan(self, texts: pa.Array, least: float = COVERAGE) -> list[tuple[int, str | None, float, int, int]]:
-        """(words, license, coverage, first word, one past the last word) of every text."""
+    def scan(self, texts: pa.Array, least: float = COVERAGE) -> list[tuple[int, list[tuple[str, float, int, int]]]]:
+        """(words, [(license, coverage, first word, one past the last word)], best first) of every text."""
         found = words_of(texts, letters_only=True)
         ends = np.cumsum(found.counts)
-        best: dict[int, tuple[bool, float, int, int, int, int]] = {}
+        notices: dict[int, list[tuple[bool, float, int, int, int, int]]] = {}
         at = np.flatnonzero(self.maybe[found.hashes >> np.uint64(48)])
         left = np.searchsorted(self.hash, found.hashes[at], "left")
         times = np.searchsorted(self.hash, found.hashes[at], "right") - left
@@ -149,13 +149,20 @@ class Templates:
             if coverage >= least:
                 entry = (self.names[template] != RESERVED, coverage, n, -template, begin - first + pairs[0][0],
                          begin - first + pairs[-1][0] + 1)
-                if entry[:4] > best.get(text, (False, 0.0, 0, 0))[:4]:
-                    best[text] = entry
-        out = []
-        for text, n in enumerate(found.counts.tolist()):
-            _, coverage, _, template, first, last = best.get(text, (False, 0.0, 0, 0, 0, 0))
-            out.append((n, self.names[-template] if coverage else None, coverage, first, last))
-        return out
+                notices.setdefault(text, []).append(entry)
+        return [(n, [(self.names[-t], coverage, first, last) for _, coverage, _, t, first, last
+                     in self._apart(notices.get(text, []))]) for text, n in enumerate(found.counts.tolist())]
+
+    @staticmethod
+    def _apart(entries: list[tuple[bool, float, int, int, int, int]]) -> list[tuple[bool, float, int, int, int, int]]:
+        """The entries, best first; of one template's spans that overlap by half, as two bands find them, the best."""
+        kept: list[tuple[bool, float, int, int, int, int]] = []
+        for entry in sorted(entries, key=lambda e: e[:4], reverse=True):
+            template, first, last = entry[3:]
+            if not any(template == t and 2 * (min(last, z) - max(first, a)) > min(last - first, z - a)
+                       for *_, t, a, z in kept):
+                kept.append(entry)
+        return kept
 
     def _starts(self, ends: np.ndarray, at: np.ndarray, template: np.ndarray,
                 place: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
@@ -175,23 +182,39 @@ class Templates:
             yield t, k, b * slack, (b + 2) * slack - 1
 
 
-def license_scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
-                 templates: tuple[tuple[str, str], ...] = TEMPLATES, least: float = COVERAGE) -> DataFrame:
-    """(doc_id, n_words, license, coverage, first_word, last_word), one row per row of ``docs``.
+def license_notices(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
+                    templates: tuple[tuple[str, str], ...] = TEMPLATES, least: float = COVERAGE) -> DataFrame:
+    """(doc_id, n_words, notices), one row per row of ``docs``.
 
-    ``license`` is null and ``coverage`` 0 where no template is covered to ``least``.
+    ``notices`` is an array of (license, coverage, first_word, last_word), one per place where a template is covered to
+    ``least``, the best first.
     """
+    fields = ("license", "coverage", "first_word", "last_word")
+    kind = pa.list_(pa.struct(list(zip(fields, (pa.string(), pa.float64(), pa.int64(), pa.int64())))))
+
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Templates(templates)
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 rows = batch.slice(at, 200)
-                n, names, coverage, first, last = zip(*known.scan(rows.column(1), least))
-                yield pa.RecordBatch.from_arrays(
-                    [rows.column(0), pa.array(n, pa.int64()), pa.array(names, pa.string()),
-                     pa.array(coverage, pa.float64()), pa.array(first, pa.int64()), pa.array(last, pa.int64())],
-                    names=["doc_id", "n_words", "license", "coverage", "first_word", "last_word"])
+                n, notices = zip(*known.scan(rows.column(1), least))
+                notices = pa.array([[dict(zip(fields, notice)) for notice in found] for found in notices], kind)
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(n, pa.int64()), notices],
+                                                 names=["doc_id", "n_words", "notices"])
 
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(body, "doc_id bigint, n_words bigint, license string, coverage double, first_word bigint, "
-                                 "last_word bigint")
+    return rows.mapInArrow(body, "doc_id bigint, n_words bigint, notices array<struct<license:string,coverage:double,"
+                                 "first_word:bigint,last_word:bigint>>")
+
+
+def license_scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
+                 templates: tuple[tuple[str, str], ...] = TEMPLATES, least: float = COVERAGE) -> DataFrame:
+    """(doc_id, n_words, license, coverage, first_word, last_word) of the best notice, one row per row of ``docs``.
+
+    ``license`` is null and ``coverage`` 0 where no template is covered to ``least``.
+    """
+    best = F.get("notices", F.lit(0))
+    return license_notices(docs, doc_id, text, templates, least).select(
+        "doc_id", "n_words", best["license"].alias("license"),
+        F.coalesce(best["coverage"], F.lit(0.0)).alias("coverage"),
+        *[F.coalesce(best[c], F.lit(0).cast("bigint")).alias(c) for c in ("first_word", "last_word")])

@@ -422,6 +422,24 @@ def test_final_notice_lines_of_the_documents(spark, documents):
     assert rows(found, "doc_id", "license") == [(0, "All-Rights-Reserved"), (1, "BSD"), (2, None)]
 
 
+def test_all_notices_of_a_document(spark):
+    mit, filler = "Released under the MIT License.", "words of every kind " * 20
+    isc = next(text for name, text in licenses.TEMPLATES if name == "ISC").replace("/", " ").split()
+    cut = " ".join(w for i, w in enumerate(isc) if i % 20 != 19)  # a long notice that is not quite whole
+    said = [(0, f"{filler}{cut} {filler}{mit}"), (1, f"{mit} {filler}{mit}"), (2, f"{mit} {mit}"), (3, filler), (4, None)]
+    docs = spark.createDataFrame(said, "doc_id bigint, text string")
+    found = {r["doc_id"]: [tuple(n) for n in r["notices"]] for r in licenses.license_notices(docs).collect()}
+    best = {r["doc_id"]: r for r in licenses.license_scan(docs).collect()}
+    assert [n[0] for n in found[0]] == ["MIT", "ISC"] and found[0][0][1] == 1 > found[0][1][1] >= licenses.COVERAGE
+    n, size = len(filler.split()), len(cut.split())
+    assert found[0][0][2:] == (2 * n + size, 2 * n + size + 5) and found[0][1][2] == n
+    assert sorted(n[2:] for n in found[1]) == [(0, 5), (5 + n, 10 + n)]
+    assert sorted(n[2:] for n in found[2]) == [(0, 5), (5, 10)]
+    assert found[3] == found[4] == []
+    assert all(tuple(best[i][c] for c in ("license", "coverage", "first_word", "last_word")) == (found[i] or [
+        (None, 0.0, 0, 0)])[0] for i in found)
+
+
 # empty tables --------------------------------------------------------------------------------------------------------
 
 def test_empty_tables(none, spark, sf, paths):
