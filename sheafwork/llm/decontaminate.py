@@ -7,6 +7,10 @@ within k edits shares at least n - q + 1 - k q of the window's q-grams with it,
 (position in the text less position in the window) that differ by at most k. Shared q-grams are counted in overlapping
 bands of 2(k + 1) diagonals that start every k + 1; bands that reach the bound are verified by banded alignment.
 
+Items longer than ``PART`` are also cut into windows of ``PART`` characters every ``PART_STRIDE``, for documents that hold
+less of an item than such a window: every run of ``PART + PART_STRIDE - 1`` (59) characters of an item holds one of them. They
+count, with their own spans and edits, only for items that no other window finds in the document.
+
 Items travel to the tasks in blocks of at most ``BLOCK_CHARS`` characters, one pass over the documents per block, so what
 a task holds does not grow with the benchmark. Documents are not shuffled.
 
@@ -28,10 +32,11 @@ from pyspark.sql import functions as F
 from sheafwork.llm.common import fresh
 
 WINDOW, STRIDE, LEAST = 96, 48, 24
+PART, PART_STRIDE = 48, 12
 ERRORS_PER = 12
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 1_000_000
 #: Windows of at least so many characters use q-grams of 8, shorter ones of 4; either way the lemma's bound is positive.
-LONG = 60
+LONG = 48
 FIELDS = ("item_id", "first", "last", "edits")
 FOUND = "array<struct<item_id:bigint,first:bigint,last:bigint,edits:bigint>>"
 TABLE_BITS = 20
@@ -67,12 +72,12 @@ def _slot(codes: np.ndarray) -> np.ndarray:
     return ((codes ^ (codes >> np.uint64(31))) * np.uint64(_BASE)) >> np.uint64(64 - TABLE_BITS)
 
 
-def windows_of(length: int) -> list[tuple[int, int]]:
+def windows_of(length: int, window: int = WINDOW, stride: int = STRIDE) -> list[tuple[int, int]]:
     """(start, length) of an item's windows; the last one ends with the item."""
-    if length <= WINDOW:
+    if length <= window:
         return [(0, length)]
-    starts = list(range(0, length - WINDOW, STRIDE)) + [length - WINDOW]
-    return [(s, WINDOW) for s in starts]
+    starts = list(range(0, length - window, stride)) + [length - window]
+    return [(s, window) for s in starts]
 
 
 def align(window: list[int], text: list[int], budget: int, low: int, high: int) -> tuple[int, int, int] | None:
@@ -118,23 +123,25 @@ def nearest(window: np.ndarray, text: np.ndarray, budget: int, low: int, high: i
 
 
 class Windows:
-    """The windows of one block of items, with a table of their q-grams for each q."""
+    """The windows of one block of items, with tables of their q-grams: long ones, short ones, parts."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        self.item, self.points = [], []
+        self.item, self.points, part = [], [], []
         for item_id, text in items:
             points, _ = normalise(text.strip())
             if len(points) >= LEAST:
-                for start, length in windows_of(len(points)):
+                parts = windows_of(len(points), PART, PART_STRIDE) if len(points) > PART else []
+                for k, (start, length) in enumerate((whole := windows_of(len(points))) + parts):
                     self.item.append(item_id)
                     self.points.append(points[start:start + length])
+                    part.append(k >= len(whole))
         lengths = np.array([len(p) for p in self.points], dtype=np.int64)
         self.step = lengths // ERRORS_PER + 1
         q_of = np.where(lengths >= LONG, 8, 4)
         self.bound = lengths - q_of + 1 - q_of * (lengths // ERRORS_PER)
         self.tables = {}
-        for q in (8, 4):
-            chosen = [w for w, p in enumerate(self.points) if (len(p) >= LONG) == (q == 8)]
+        for q, of_parts in ((8, False), (4, False), (8, True)):
+            chosen = [w for w, p in enumerate(self.points) if part[w] == of_parts and (len(p) >= LONG) == (q == 8)]
             if not chosen:
                 continue
             codes = [grams(self.points[w], q) for w in chosen]
@@ -148,7 +155,7 @@ class Windows:
             least = int(self.bound[chosen].min())
             longest = max(len(self.points[w]) for w in chosen)
             code, first, times = np.unique(code, return_index=True, return_counts=True)
-            self.tables[q] = (seen, code, first, times, window, place, least, longest + longest // ERRORS_PER)
+            self.tables[q, of_parts] = (seen, code, first, times, window, place, least, longest + longest // ERRORS_PER)
 
     def search(self, text: str | None) -> list[tuple[int, int, int, int]]:
         """(item_id, first, last, edits) per item found: the span of ``text`` its nearest windows cover."""
@@ -156,18 +163,21 @@ class Windows:
             return []
         points, origin = normalise(text)
         found: dict[int, list[tuple[int, int, int]]] = {}
+        in_parts: dict[int, list[tuple[int, int, int]]] = {}
         for begin in range(0, len(points), STRETCH):
             end = begin + STRETCH + 4 * WINDOW
-            for q in self.tables:
-                self._stretch(points[begin:end].astype(np.uint64), origin[begin:end], q, found)
+            for table in self.tables:
+                self._stretch(points[begin:end].astype(np.uint64), origin[begin:end], table, in_parts if table[1] else found,
+                              found)
         out = []
-        for item, spans in found.items():
+        for item, spans in (in_parts | found).items():
             out.append((item, min(s for s, _, _ in spans), max(e for _, e, _ in spans), min(k for _, _, k in spans)))
         return sorted(out)
 
-    def _stretch(self, points: np.ndarray, origin: np.ndarray, q: int,
-                 found: dict[int, list[tuple[int, int, int]]]) -> None:
-        seen, code, first, repeats, window, place, least, reach = self.tables[q]
+    def _stretch(self, points: np.ndarray, origin: np.ndarray, table: tuple[int, bool],
+                 found: dict[int, list[tuple[int, int, int]]], whole: dict[int, list[tuple[int, int, int]]]) -> None:
+        q = table[0]
+        seen, code, first, repeats, window, place, least, reach = self.tables[table]
         codes = grams(points, q)
         at = np.flatnonzero(seen[_slot(codes)])
         if len(at) < least:
@@ -186,10 +196,11 @@ class Windows:
         at, which = at[known], which[known]
         left, times = first[which], repeats[which]
         hit = np.repeat(left - np.concatenate(([0], np.cumsum(times)[:-1])), times) + np.arange(times.sum())
-        self._bands(points, origin, q, window[hit], np.repeat(at, times) - place[hit], place[hit], found)
+        self._bands(points, origin, window[hit], np.repeat(at, times) - place[hit], place[hit], found,
+                    whole if table[1] else {})
 
-    def _bands(self, points: np.ndarray, origin: np.ndarray, q: int, w: np.ndarray, diagonal: np.ndarray,
-               place: np.ndarray, found: dict[int, list[tuple[int, int, int]]]) -> None:
+    def _bands(self, points: np.ndarray, origin: np.ndarray, w: np.ndarray, diagonal: np.ndarray, place: np.ndarray,
+               found: dict[int, list[tuple[int, int, int]]], settled: dict[int, list[tuple[int, int, int]]]) -> None:
         if not len(w):
             return
         band = np.floor_divide(diagonal, self.step[w])  # bands b and b - 1 hold this diagonal
@@ -207,6 +218,8 @@ class Windows:
             if c == done:  # the band before it shares half its diagonals and has settled the window there
                 continue
             index, b = c // bands, c % bands + least
+            if self.item[index] in settled:
+                continue
             n = len(self.points[index])
             k = n // ERRORS_PER
             low, high = b * (k + 1) - k, (b + 2) * (k + 1) - 1 + k  # an alignment leaves the band by at most k

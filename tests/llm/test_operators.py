@@ -351,6 +351,23 @@ def test_leaks(spark, documents, sf):
     assert sorted(x["doc_id"] for x in kept.collect()) == [900, 901, 902, 903]
 
 
+def test_leaks_of_short_parts(spark):
+    """Every verbatim run of 59 characters, wherever it starts, also in items of less than a window."""
+    r = random.Random(8)
+    items = [(i, "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))) for i, n in enumerate((233, 80, 60, 97))]
+    windows = decontaminate.Windows(items)
+    around = "".join(r.choice("0123456789") for _ in range(200))
+    for i, text in items:
+        for start in range(len(text) - 58):
+            said = around + text[start:start + 59] + around
+            ((item, first, last, edits),) = windows.search(said)
+            assert item == i and 200 - 8 <= first < last <= 259 + 8 and last - first >= 40
+    docs = spark.createDataFrame([(1, around + items[0][1][24:124] + around), (2, around)], "doc_id bigint, text string")
+    benchmark = spark.createDataFrame(items, "item_id bigint, text string")
+    assert rows(decontaminate.leaks(docs, benchmark), "doc_id", "item_id") == [(1, 0)]
+    assert rows(decontaminate.clean(docs, benchmark), "doc_id") == [(2,)]
+
+
 def test_alignment_finds_the_edit_distance():
     r = random.Random(9)
     for _ in range(60):
