@@ -94,3 +94,48 @@ SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(min(r.other), w.doc_id
 FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN reach r ON r.doc_id = w.doc_id
 GROUP BY w.doc_id, n.n
 """
+
+HARD_NEGATIVES = """
+with rows as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+    list_transform(embedding, lambda x: floor(256 * cast(x as double))) as e from embeddings
+  where label is not null and embedding is not null and vec_id is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scored as (select a.vec_id as anchor_id, b.vec_id, a.label = b.label as alike,
+    cast(list_inner_product(a.e, b.e) as bigint) as score
+  from rows a join rows b on a.vec_id % 50 = 0 and a.vec_id <> b.vec_id),
+positives as (select anchor_id, vec_id as positive_id, score as positive_score from scored where alike
+  qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+select anchor_id, positive_id, cast(row_number() over (partition by anchor_id, positive_id order by score desc, vec_id) as int)
+    as rank, vec_id as negative_id, positive_score, score as negative_score
+  from positives join scored using (anchor_id)
+  where not alike and 50 * positive_score <= 100 * score and 100 * score <= 95 * positive_score
+  qualify row_number() over (partition by anchor_id, positive_id order by score desc, vec_id) <= 3
+"""
+
+RESAMPLING = r"""
+with crc_table as (select list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) order by i) as t
+  from (select unnest(range(0, 256)) as i)),
+texts as (select true as ours, row_number() over () as r, doc_id, text from documents
+  union all select false, 0, null, text from benchmark),
+words as (select ours, r, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) as word from texts),
+codes as (select word, hex(word) as h from (select distinct word from words)),
+placed as (select word, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, len(h) // 2),
+    lambda i: cast(concat('0x', h[2 * i + 1:2 * i + 2]) as bigint))),
+    lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)])), 4294967295) % 10000 as bucket from codes, crc_table),
+found as (select ours, r, bucket from words join placed using (word)),
+held as (select bucket, count(*) filter (ours) as s, count(*) filter (not ours) as t from found group by bucket),
+alls as (select count(*) filter (ours) as s_all, count(*) filter (not ours) as t_all from found),
+gains as (select bucket, cast(floor(1000 * ln(cast((t + 1) as double) * (s_all + 10000) /
+  (cast((s + 1) as double) * (t_all + 10000)))) as bigint) as gain from held, alls),
+sums as (select r, count(*) as n, cast(sum(gain) as bigint) as g from found join gains using (bucket) where ours group by r),
+weighed as (select r, doc_id, coalesce(n, 0) as n_features,
+    coalesce((g - ((g % n) + n) % n) // n, 0) as weight,
+    cast(concat('0x', substr(sha256(concat('2024:', coalesce(cast(doc_id as varchar), ''))), 1, 8)) as bigint) as h
+  from texts left join sums using (r) where ours),
+scored as (select *, weight + cast(floor(-1000 * ln(-ln((h + 0.5::double) / 4294967296::double))) as bigint) as score from weighed),
+ordered as (select r, row_number() over (order by score desc, doc_id nulls last, n_features, weight) as rank,
+    count(*) over () as n from scored where n_features >= 20)
+select doc_id, n_features, weight, score, rank from scored left join (select * from ordered where rank <= n * 10 // 100) using (r)
+"""

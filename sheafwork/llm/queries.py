@@ -1,4 +1,4 @@
-"""The ten operators as queries over whole tables, and SQL for those that SQL can express."""
+"""The operators as queries over whole tables, and SQL for those that SQL can express."""
 
 from __future__ import annotations
 
@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheafwork.llm import chat, decontaminate, jaccard, licenses, lm, oracles, pieces, quality, repair, sharding, tokencount
+from sheafwork.llm import (chat, decontaminate, hardnegatives, jaccard, licenses, lm, oracles, pieces, quality, repair, resample,
+                           sharding, tokencount, wrappers)
 from sheafwork.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,12 +72,29 @@ def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose id is divisible by 50 ask all rows; every seventh label is moved on by one first."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardnegatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, label=moved)
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.main_text(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_quality_rules, op2_chat_formatting, op3_token_counts, op4_ngram_jaccard_join, op5_token_ids_repair, op6_lm_scoring,
-    op7_sentencepiece, op8_sharding, op9_benchmark_decontamination, op10_license_scans)}
+    op7_sentencepiece, op8_sharding, op9_benchmark_decontamination, op10_license_scans, op11_hard_negatives,
+    op12_importance_resampling, op13_html_extraction)}
 
 ORACLES: dict[str, str] = {
     "op1_quality_rules": oracles.QUALITY,
     "op2_chat_formatting": oracles.CHAT,
     "op4_ngram_jaccard_join": oracles.JACCARD,
+    "op11_hard_negatives": oracles.HARD_NEGATIVES,
+    "op12_importance_resampling": oracles.RESAMPLING,
 }
