@@ -192,14 +192,26 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return learning.corpus_palette(frame(spark, sf, "pixels"))
 
 
-@query("color_cells", ctes("pixels") + """
+SQL_CELLS = ctes("pixels") + """
     select image_id, round(avg(r), 6) as r, round(avg(g), 6) as g, round(avg(b), 6) as b, count(*) as n from pixels
-    group by image_id, r // 4, g // 4, b // 4""")
-def _(spark: SparkSession, sf: str) -> DataFrame:
-    cells = learning.color_cells(frame(spark, sf, "pixels"))
+    group by image_id, r // {width}, g // {width}, b // {width}"""
+
+
+def cells_of(spark: SparkSession, sf: str, bits: int) -> DataFrame:
+    cells = learning.color_cells(frame(spark, sf, "pixels"), bits)
     return cells.select("image_id", *[F.round(c, 6).alias(c) for c in "rgb"], "n")
 
 
+@query("color_cells", SQL_CELLS.format(width=1))
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return cells_of(spark, sf, 8)
+
+
+@query("color_cells_coarse", SQL_CELLS.format(width=4))
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return cells_of(spark, sf, 6)
+
+
 def moment(column: str) -> Column:
     return F.date_format(column, "yyyy-MM-dd HH:mm:ss.SSSSSS")
 
