@@ -16,7 +16,7 @@ is spread over all blocks.
 Defined results: rows with a null id, a null label, a null vector or a component that is null or not finite (also once
 scaled) take no part. An id names a row: of several rows with one id, that of the least label and vector takes part, so
 repeated rows count once. Vectors of different lengths have no score together. An anchor without positives, or a positive without
-negatives, gives no row; no rows, no result. Scores beyond a long are held at its ends. Other columns are not
+negatives, gives no row; no rows, no result. A score that does not fit a long is none. Other columns are not
 looked at. Memory: a task holds one block of rows and one of anchors, whatever the table's size.
 """
 
@@ -122,15 +122,14 @@ def _meetings(rows: pa.Table, anchors: pa.Table) -> Iterator[tuple[np.ndarray, n
 
 
 def _longs(values: np.ndarray) -> pa.Array:
-    if values.dtype == object:
-        values = np.array([min(max(v, -_LONG), _LONG - 1) for v in values.tolist()], dtype=np.int64)
     return pa.array(values.astype(np.int64), pa.int64())
 
 
 def _keys(scores: np.ndarray, reach: int) -> np.ndarray:
-    """Distinct non-negative keys: the higher score first, then the smaller place."""
+    """Distinct non-negative keys: the higher score first, then the smaller place; -1 where a score does not fit a long."""
     n = scores.shape[1]
-    return (scores + reach) * n + np.arange(n - 1, -1, -1)
+    keys = (scores + reach) * n + np.arange(n - 1, -1, -1)
+    return keys if reach < _LONG else np.where((scores >= -_LONG) & (scores < _LONG), keys, -1)
 
 
 _POSITIVES = "anchor_id bigint, id bigint, score bigint"

@@ -4,7 +4,7 @@ Every page is read once into the expression of its own structure (markup.py). Th
 after the other: equal tokens match, texts become text slots, what some pages lack becomes optional, what repeats becomes a
 repeated group. The result, the host's wrapper, has concatenation, ``?`` and ``+`` but no alternatives. Every page's
 slots are matched to those of its host's wrapper, and the wrapper, with what all pages of the host have in its slots,
-decides which slots are the article: those below article elements, or below main ones, or else below the container
+decides which slots are the article: those below article elements, or below main ones, or else, on pages that have neither, below the container
 that holds most of the running text, where slots that say the same on every page are left out; never those below
 elements whose tokens stand for menus, headers, footers, sidebars, notices, adverts, forms or comments.
 
@@ -125,11 +125,13 @@ def slot_map(wrapper: str, expression: str) -> list[int]:
     return to
 
 
-def article_slots(wrapper: str, chars: dict[int, int], links: dict[int, int], pages: dict[int, int],
-                  same: set[int]) -> list[bool]:
-    """Which slots of a wrapper are the article. ``same``: slots with one text on all pages of the host."""
+def article_slots(wrapper: str, present: set[int], chars: dict[int, int], links: dict[int, int], pages: dict[int, int],
+                  same: set[int]) -> set[int]:
+    """Which slots of a wrapper are the article of a page that has those in ``present``.
+
+    ``same``: slots with one text on all pages of the host.
+    """
     root = read_expression(json.loads(wrapper))
-    total = len(texts_of(root))
 
     def running(node: Node) -> int:
         return sum(max(0, chars.get(t.slots[0], 0) - links.get(t.slots[0], 0)) for t in texts_of(node))
@@ -150,7 +152,7 @@ def article_slots(wrapper: str, chars: dict[int, int], links: dict[int, int], pa
     mark(root)
 
     def clean(node: Node) -> list[int]:
-        return [t.slots[0] for t in texts_of(node) if t.slots[0] not in asides]
+        return [t.slots[0] for t in texts_of(node) if t.slots[0] in present and t.slots[0] not in asides]
 
     def outermost(node: Node, wanted: str) -> list[Node]:
         name = node.label.split(".")[0].split("@")[0]
@@ -160,8 +162,7 @@ def article_slots(wrapper: str, chars: dict[int, int], links: dict[int, int], pa
 
     for wanted in ("article", "articlebody", "main"):
         if found := outermost(root, wanted):
-            kept = {s for node in found for s in clean(node)}
-            return [s in kept for s in range(total)]
+            return {s for node in found for s in clean(node)}
 
     def mass(node: Node) -> int:
         return sum(max(0, chars.get(s, 0) - links.get(s, 0)) for s in clean(node))
@@ -178,8 +179,7 @@ def article_slots(wrapper: str, chars: dict[int, int], links: dict[int, int], pa
     if varied:
         kept = {s for s in kept if s not in same or pages.get(s, 0) < SAME_ON}
     titles = {s for node in outermost(root, "h1") for s in clean(node)}
-    kept |= {s for s in titles if s not in same or pages.get(s, 0) < SAME_ON}
-    return [s in kept for s in range(total)]
+    return kept | {s for s in titles if s not in same or pages.get(s, 0) < SAME_ON}
 
 
 def decisions(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -209,16 +209,17 @@ def decisions(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     def decide(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             kept = []
-            for wrapper, held in zip(frame["wrapper"], frame["held"]):
+            for wrapper, to, held in zip(frame["wrapper"], frame["to"], frame["held"]):
                 rows = [] if held is None else [r if isinstance(r, dict) else r.asDict() for r in held]
-                kept.append(article_slots(wrapper, *({r["slot"]: r[c] for r in rows} for c in ("chars", "links", "n")),
-                                          {r["slot"] for r in rows if r["same"]}))
-            yield pd.DataFrame({"host": frame["host"], "kept": kept})
-
-    roles = wrappers.join(listed, "host", "left").mapInPandas(decide, "host string, kept array<boolean>")
-    keep = matched.join(roles, "host").select(
-        "host", "expression", F.transform("to", lambda t: F.coalesce(F.get("kept", t), F.lit(True))).alias("keep"))
-    return wrappers, keep
+                own = [int(t) for t in to]
+                article = article_slots(wrapper, set(own), *({r["slot"]: r[c] for r in rows} for c in ("chars", "links", "n")),
+                                        {r["slot"] for r in rows if r["same"]})
+                kept.append([t in article or t < 0 for t in own])
+            yield pd.DataFrame({"host": frame["host"], "expression": frame["expression"], "keep": kept})
+
+    ready = matched.join(wrappers, "host").join(listed, "host", "left")
+    return wrappers, ready.select("host", "expression", "wrapper", "to", "held").mapInPandas(
+        decide, "host string, expression string, keep array<boolean>")
 
 
 def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
