@@ -13,10 +13,13 @@ one-deletion neighbourhoods of its first segments, up to e that hold two or more
 Two sets without an equal filled segment then have, among their first segments, one that differs in exactly one
 element, which the deletions find. A set with too few such segments keeps its empty signatures.
 
-Signatures propose, sets decide. Sets that share a signature are joined to the least of them (a star, not all pairs);
-the components of these proposals are cut into blocks of bounded weight, and every pair of blocks of a component meets
-in one task, which verifies exactly the pairs that share a signature and are not yet linked, and returns at most one
-link per document. Equal sets are folded into one before all this.
+Signatures propose, sets decide. Sets that share a signature are joined to the least of them (a star, not all pairs), and the
+components of these proposals are verified in two steps. First every set goes to one task: small components whole, several in a
+task, and large ones cut into blocks, each with the PIVOTS sets of the component that share most signatures. A task
+verifies exactly the pairs that share a signature and are not yet linked and returns at most one link per document, so a group of
+near copies hangs together by its pivots after work in proportion to its size. Then only signatures of large
+components that two unlinked groups still share are open; their holders meet, block by block, as pairs of different groups.
+Equal sets are folded into one before all this.
 
 Defined results: a null or empty text has the empty set and links with nothing; fewer words than a shingle are one
 shingle of their own length; rows with one doc_id are one document with all its sets; a null doc_id links with nothing
@@ -30,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheafwork.llm.common import fresh
@@ -45,8 +48,11 @@ WORDS = 4
 RATIO = 0.7
 #: Shingles that one block of a verification holds; two blocks meet in a task.
 BLOCK_SHINGLES = 600_000
-#: Proposed documents are broadcast, to read only their texts, while they are no more than this (8 bytes each).
-BROADCAST_IDS = 4_000_000
+#: Sets of a large component that go to all its blocks.
+PIVOTS = 16
+#: Rows of two or three numbers that say which texts go where are broadcast while they are no more than this; beyond it they are joined
+#: by a shuffle.
+BROADCAST_IDS = 2_000_000
 #: Sets a task remembers to have indexed; beyond it starts anew.
 REMEMBERED = 100_000
 _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -198,12 +204,16 @@ def _signatures(docs: DataFrame, doc_id: str, text: str, words: int, percent: in
     return rows.filter("doc_id is not null and text is not null").mapInArrow(body, "sig bigint, node bigint")
 
 
-def verified_links(ids: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], scheme: Scheme) -> list[tuple[int, int]]:
+def verified_links(ids: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], scheme: Scheme,
+                   labels: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links (id, id) that connect what linked pairs connect: pairs share a signature and are checked exactly.
 
-    With two sides only pairs across them count. Pairs that are connected already are not looked at.
+    With two sides only pairs across them count. Pairs that are connected already, or have one label, are not looked at.
     """
     root = list(range(len(sets)))
+    if labels is not None and len(sets):
+        _, first, back = np.unique(labels, return_index=True, return_inverse=True)
+        root = first[back].tolist()
 
     def find(i: int) -> int:
         while root[i] != i:
@@ -256,38 +266,59 @@ def verified_links(ids: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], s
 
 def _verify(docs: DataFrame, meetings: DataFrame, doc_id: str, text: str, words: int, percent: int,
             in_band: dict[int, int]) -> DataFrame:
-    """(u, v): links found where blocks meet. ``meetings`` has (node, task, side)."""
+    """(u, v): links found where blocks meet. ``meetings`` has (node, task, side, label)."""
     def body(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("doc_id", ignore_index=True)
         sets = shingles_of(pa.array(group["text"], pa.large_string()), words)
-        links = verified_links(group["doc_id"].to_numpy(), group["side"].to_numpy(), sets, Scheme(percent, in_band))
+        links = verified_links(group["doc_id"].to_numpy(), group["side"].to_numpy(), sets, Scheme(percent, in_band),
+                               group["label"].to_numpy())
         return pd.DataFrame(links, columns=["u", "v"], dtype="int64")
 
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    proposed = meetings.select("node").distinct()
-    if proposed.count() <= BROADCAST_IDS:  # then only the texts that are compared are shuffled
-        rows = rows.join(F.broadcast(proposed), rows["doc_id"] == proposed["node"], "left_semi")
-    met = meetings.join(rows, meetings["node"] == rows["doc_id"]).select("doc_id", "text", "task", "side")
+    if meetings.count() <= BROADCAST_IDS:  # then a text is shuffled once, to its tasks
+        meetings = F.broadcast(meetings)
+    met = rows.join(meetings, rows["doc_id"] == meetings["node"]).select("doc_id", "text", "task", "side", "label")
     return met.groupBy("task").applyInPandas(body, "u bigint, v bigint")
 
 
-def _meetings(proposed: DataFrame, sizes: DataFrame, block: int) -> DataFrame:
-    """(node, task, side): small components share tasks; a heavy one is cut into blocks and all its blocks meet."""
+def _weighed(proposed: DataFrame, sizes: DataFrame, block: int) -> DataFrame:
+    """Proposed nodes with their weight, ``total``, that of their component, and ``bundle``, the task of a small one."""
     weighed = cut_lineage(proposed.join(sizes, "node"))
     per = weighed.groupBy("component").agg(F.sum("weight").alias("total"))
     light = per.filter(F.col("total") <= block).agg(F.sum("total").alias("t")).first()["t"] or 0
     bundles = max(1, -(-int(light) // block))
     cuts = F.ceil(F.col("total") / block)
-    placed = weighed.join(per, "component").withColumns({
-        "cuts": cuts, "own": F.pmod(F.xxhash64("node"), cuts)})
-    shared = placed.filter(F.col("total") <= block).select(
-        "node", F.concat(F.lit("bundle "), F.pmod(F.xxhash64("component"), F.lit(bundles))).alias("task"),
-        F.lit(0).cast("bigint").alias("side"))
-    heavy = placed.filter(F.col("total") > block).select(
-        "node", "component", "own", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("cuts") - 1)).alias("other"))
-    heavy = heavy.select("node", F.concat_ws(" ", "component", F.least("own", "other"), F.greatest("own", "other"))
-                         .alias("task"), F.col("own").alias("side"))
-    return shared.union(heavy)
+    return cut_lineage(weighed.join(per, "component").withColumns({
+        "bundle": F.when(F.col("total") <= block, F.pmod(F.xxhash64("component"), F.lit(bundles))),
+        "cuts": cuts, "own": F.pmod(F.xxhash64("node"), cuts)}))
+
+
+def _task(*parts: object) -> Column:
+    return F.xxhash64(*[F.lit(p) if isinstance(p, int) else p for p in parts])
+
+
+def _first_meetings(placed: DataFrame, degrees: DataFrame) -> DataFrame:
+    """(node, task, side, label): every node in one task, and the pivots of a large component in all of its tasks."""
+    alone = [F.lit(0).alias("side"), F.col("node").alias("label")]
+    light = placed.filter("bundle is not null").select("node", _task(0, "bundle").alias("task"), *alone)
+    heavy = placed.filter("bundle is null")
+    known = heavy.join(degrees, "node").groupBy("component", "cuts", F.pmod(F.xxhash64("node"), F.lit(PIVOTS)).alias("p"))
+    pivots = known.agg(F.max_by("node", F.struct("degree", -F.col("node"))).alias("node"))
+    blocks = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("cuts") - 1))
+    everywhere = pivots.select("node", "component", blocks.alias("own"))
+    once = heavy.select("node", "component", "own").union(everywhere).distinct()
+    return light.union(once.select("node", _task(1, "component", "own").alias("task"), *alone))
+
+
+def _second_meetings(placed: DataFrame, labels: DataFrame) -> DataFrame:
+    """(node, task, side, label): small components share tasks; of a large one every two blocks meet."""
+    placed = placed.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    light = placed.filter("bundle is not null").select(
+        "node", _task(2, "bundle").alias("task"), F.lit(0).alias("side"), "label")
+    heavy = placed.filter("bundle is null").select(
+        "node", "component", "own", "label", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("cuts") - 1)).alias("other"))
+    return light.union(heavy.select("node", _task(3, "component", F.least("own", "other"), F.greatest("own", "other"))
+                                    .alias("task"), F.col("own").cast("int").alias("side"), "label"))
 
 
 def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT,
@@ -309,17 +340,36 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         for band in scheme.roles(row["n_shingles"]):
             in_band[band] = in_band.get(band, 0) + row["count"]
 
-    index = _signatures(docs, doc_id, text, words, percent, in_band)
+    # equal sets are indexed once, by their representative; ids that represent nothing need not be read
+    copies = of.groupBy(F.col("doc_id").alias("copy")).agg(F.max(F.col("doc_id") == F.col("rep")).alias("first")).filter("not first")
+    indexed = docs
+    if copies.count() <= BROADCAST_IDS:
+        indexed = docs.join(F.broadcast(copies.select("copy")), F.col(doc_id).cast("bigint") == F.col("copy"), "left_anti")
+    index = _signatures(indexed, doc_id, text, words, percent, in_band)
     same = Window.partitionBy("sig").orderBy("node")
     grouped = index.withColumns({"least": F.first("node").over(same)}).filter("node <> least")
-    stars = grouped.select("node", "least").distinct()
     # equal sets indexed by several tasks, or under one doc_id, meet at their representative
     a, b = of.select(F.col("doc_id").alias("node"), F.col("rep").alias("u")), of.select(
         F.col("doc_id").alias("least"), F.col("rep").alias("v"))
-    proposals = components(stars.join(a, "node").join(b, "least").select("u", "v"))
+    shared = cut_lineage(grouped.join(a, "node").join(b, "least").select("sig", "u", "v").filter("u <> v").distinct())
+    holders = shared.select("sig", F.col("u").alias("node")).union(shared.select("sig", "v")).distinct()
+    degrees = holders.groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
     weights = filled.groupBy(F.col("doc_id").alias("node")).agg(F.sum("n_shingles").alias("weight"))
-    meetings = cut_lineage(_meetings(proposals, weights, block))
-    links = _verify(docs, meetings, doc_id, text, words, percent, in_band)
+
+    placed = _weighed(components(shared.select("u", "v")), weights, block)
+    meetings = cut_lineage(_first_meetings(placed, degrees))
+    links = cut_lineage(_verify(docs, meetings, doc_id, text, words, percent, in_band))
+    heavy = placed.filter("bundle is null").select("node")
+    if not heavy.isEmpty():
+        labels = components(links).select("node", F.col("component").alias("label"))
+        named = holders.join(heavy, "node", "left_semi").join(labels, "node", "left").select(
+            "sig", "node", F.coalesce("label", "node").alias("label"))
+        named = cut_lineage(named)
+        open_sigs = named.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high"),
+                                             F.min("node").alias("least")).filter("low <> high").select("sig", "least")
+        again = components(named.join(open_sigs, "sig").select(F.col("node").alias("u"), F.col("least").alias("v")).distinct())
+        meetings = cut_lineage(_second_meetings(_weighed(again, weights, block), labels))
+        links = links.union(_verify(docs, meetings, doc_id, text, words, percent, in_band))
     named = cut_lineage(components(links.union(of.filter("doc_id <> rep").select("doc_id", "rep"))))
     named = named.select(F.col("node").alias("doc_id"), "component")
     return sets.join(named, "doc_id", "left").select(
