@@ -2,7 +2,8 @@
 
 Documents are range-partitioned by id; a partition writes its documents in order as blocks of bounded size. Within a
 block, frequent pairs of ids are replaced by nonterminals, round after round: every pair of neighbours is counted exactly,
-the most frequent ones become rules, and their occurrences are replaced from left to right, until no pair is frequent. A
+the most frequent ones become rules, and their occurrences are replaced from left to right, until no pair is frequent.
+Later rounds count only what can have changed, pairs with a new symbol and frequent ones left over. A
 pair never holds the end id, so no rule spans two documents. A block stores its rules, the expansion length of each, where
 every document starts among its symbols, and the symbols, so one document, or one position in it, is decoded without the
 rest.
@@ -53,25 +54,31 @@ def compress(ids: np.ndarray, starts: np.ndarray, end: int = END, terminals: int
     """(symbols, pairs of the rules, first symbol of each document); without ``rounds`` until no pair occurs ``least`` times."""
     symbols, starts, pairs = ids.astype(np.int32), starts.astype(np.int64), []
     added = 0
+    # places whose pair can be frequent: at first all; later those that hold a new symbol, and those left over by the last round
+    open_ = (symbols[:-1] != end) & (symbols[1:] != end)
     for _ in count() if rounds is None else range(rounds):
-        if len(symbols) < 2:
-            break
-        code = (symbols[:-1].astype(np.int64) << 32) | symbols[1:]
-        slot = ((code.view(np.uint64) * _SPREAD) >> np.uint64(64 - _SLOTS)).astype(np.int32)
+        # pairs of 16-bit symbols are 32-bit numbers
+        shift, kind = (16, np.uint32) if terminals + added <= 1 << 16 else (32, np.uint64)
+        whole = symbols.astype(kind)
+        at = np.flatnonzero(open_)
+        code = (whole[:-1] << kind(shift) | whole[1:])[at] if 2 * len(at) > len(whole) else whole[at] << kind(shift) | whole[at + 1]
+        slot = _slot(code)
         # a slot counts all pairs that share it, so those in a slot below ``least`` are rare; the others are counted exactly
-        is_pair = (symbols[:-1] != end) & (symbols[1:] != end)
-        at = np.flatnonzero(is_pair & (np.bincount(slot[is_pair], minlength=1 << _SLOTS) >= least)[slot])
-        code, slot = code[at], slot[at]
+        often = (np.bincount(slot, minlength=1 << _SLOTS) >= least)[slot]
+        at, code, slot = at[often], code[often], slot[often]
         ordered = np.sort(code)
         first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))[:len(ordered)]
         counts = np.diff(np.append(first, len(ordered)))
         often = np.flatnonzero(counts >= least)
-        often = often[np.argsort(-counts[often], kind="stable")[:most]]
+        often = often[np.argsort(-counts[often], kind="stable")]
         if not len(often):
             break
-        rules = ordered[first[often]]
-        rule = _places(code, slot, rules)
-        at, rule = at[rule >= 0], rule[rule >= 0]
+        found = ordered[first[often]]
+        rules = found[:most]
+        rule = _places(code, slot, found)
+        left_over = at[rule >= len(rules)]
+        chosen = (rule >= 0) & (rule < len(rules))
+        at, rule = at[chosen], rule[chosen]
         # of overlapping occurrences the first, third, ... of each run are replaced
         run = np.maximum.accumulate(np.where(np.concatenate(([True], np.diff(at) != 1)), np.arange(len(at)), 0))
         odd = (np.arange(len(at)) - run) % 2 == 0
@@ -79,16 +86,26 @@ def compress(ids: np.ndarray, starts: np.ndarray, end: int = END, terminals: int
         symbols[at] = terminals + added + rule
         keep = np.ones(len(symbols), dtype=bool)
         keep[at + 1] = False
-        symbols = symbols[keep]
+        touched = np.zeros(len(symbols), dtype=bool)
+        touched[left_over] = True
+        symbols, touched = symbols[keep], touched[keep]
+        new = symbols >= terminals + added
+        # a pair of older symbols never gains occurrences, so one that was rare stays rare
+        open_ = (touched[:-1] | new[:-1] | new[1:]) & (symbols[:-1] != end) & (symbols[1:] != end)
         starts = starts - np.searchsorted(at + 1, starts, "left")
-        pairs.append(np.stack((rules >> 32, rules & 0xFFFFFFFF), axis=1))
+        pairs.append(np.stack((rules >> kind(shift), rules & kind((1 << shift) - 1)), axis=1).astype(np.int64))
         added += len(rules)
     return symbols, np.concatenate([np.empty((0, 2), dtype=np.int64), *pairs]), starts
 
 
+def _slot(code: np.ndarray) -> np.ndarray:
+    bits = 8 * code.itemsize
+    return ((code * code.dtype.type(_SPREAD >> np.uint64(64 - bits))) >> code.dtype.type(bits - _SLOTS)).astype(np.int32)
+
+
 def _places(code: np.ndarray, slot: np.ndarray, rules: np.ndarray) -> np.ndarray:
     """The place of every code among the rules, or -1: one rule of a slot by a table, the others by a search."""
-    of_rule = ((rules.view(np.uint64) * _SPREAD) >> np.uint64(64 - _SLOTS)).astype(np.int32)
+    of_rule = _slot(rules)
     table = np.full(1 << _SLOTS, -1, dtype=np.int32)
     table[of_rule] = np.arange(len(rules), dtype=np.int32)
     place = table[slot]

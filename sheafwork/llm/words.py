@@ -131,16 +131,17 @@ def hashes_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
 
 
 class WordIndex:
-    """Numbers for words by hash, dense from 0; ``learn`` is given the words that are new.
+    """Numbers for words by hash, dense from 0; ``learn`` is given the words that are new, or, with ``places``, the batch and
+    where they are in it.
 
     A direct-mapped table answers nearly all lookups with two array reads; the rest go through a dictionary. Beyond
     ``most`` words those that only one batch had are forgotten, and if need be the rarer half; ``keep`` is given the
     numbers that stay, in the order of their new ones.
     """
 
-    def __init__(self, learn: Callable[[list[bytes]], None], keep: Callable[[np.ndarray], None], most: int = 250_000,
-                 bits: int = 20):
-        self.learn, self.keep, self.most, self.shift = learn, keep, most, np.uint64(64 - bits)
+    def __init__(self, learn: Callable[..., None], keep: Callable[[np.ndarray], None], most: int = 250_000,
+                 bits: int = 20, places: bool = False):
+        self.learn, self.keep, self.most, self.shift, self.places = learn, keep, most, np.uint64(64 - bits), places
         self.slot_hash = np.zeros(1 << bits, dtype=np.uint64)
         self.slot_number = np.full(1 << bits, -1, dtype=np.int32)
         self.numbers: dict[int, int] = {}
@@ -172,11 +173,15 @@ class WordIndex:
                 n = get(h)
                 if n is None:
                     n = count + len(new)
-                    new.append(words.word(missing[first[i]]))
+                    new.append(i)
                     self.numbers[h] = n
                 numbers[i] = n
             if new:
-                self.learn(new)
+                at = missing[first[new]]
+                if self.places:
+                    self.learn(words, at)
+                else:
+                    self.learn([words.word(i) for i in at])
             out[missing] = numbers[back]
             into = (unknown >> self.shift).astype(np.int64)
             self.slot_hash[into], self.slot_number[into] = unknown, numbers
