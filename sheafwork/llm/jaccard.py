@@ -13,13 +13,14 @@ one-deletion neighbourhoods of its first segments, up to e that hold two or more
 Two sets without an equal filled segment then have, among their first segments, one that differs in exactly one
 element, which the deletions find. A set with too few such segments keeps its empty signatures.
 
-Signatures propose, sets decide. Sets that share a signature are joined to the least of them (a star, not all pairs), and the
-components of these proposals are verified in two steps. First every set goes to one task: small components whole, several in a
-task, and large ones cut into blocks, each with the PIVOTS sets of the component that share most signatures. A task
-verifies exactly the pairs that share a signature and are not yet linked and returns at most one link per document, so a group of
-near copies hangs together by its pivots after work in proportion to its size. Then only signatures of large
-components that two unlinked groups still share are open; their holders meet, block by block, as pairs of different groups.
-Equal sets are folded into one before all this.
+Signatures propose, sets decide, in two steps. First every proposed set goes to one task with the others whose least fellow
+holder of a signature is the same (a star, not all pairs); a large star is cut into blocks, each with the PIVOTS sets that share most
+signatures. A task verifies exactly the pairs that share a signature and are not yet linked and returns at most one link per
+document, so a group of near copies hangs together after work in proportion to its size. Then only the signatures that two
+unlinked groups still share are open. Their holders meet without their texts, as sketches: how many elements fall into each of
+SKETCH parts of the universe. The sum of the differences is no more than the number of elements in which two sets differ, so
+pairs beyond the threshold are dismissed exactly and hardly any of them reads a text; the others are verified, for a set and a
+group at most FIRST at a time, until no signature is open that could link. Equal sets are folded into one before all this.
 
 Defined results: a null or empty text has the empty set and links with nothing; fewer words than a shingle are one
 shingle of their own length; rows with one doc_id are one document with all its sets; a null doc_id links with nothing
@@ -53,6 +54,9 @@ PIVOTS = 16
 #: Rows of two or three numbers that say which texts go where are broadcast while they are no more than this; beyond it they are joined
 #: by a shuffle.
 BROADCAST_IDS = 2_000_000
+#: Parts of the universe a sketch counts, holders of a signature that meet in one block, pairs filtered at a time, pairs of a set and a
+#: group first verified, and partners of a set in one task.
+SKETCH, HOLDERS, PAIRS_AT_ONCE, FIRST, PARTNERS = 64, 2048, 200_000, 4, 1000
 #: Sets a task remembers to have indexed; beyond it starts anew.
 REMEMBERED = 100_000
 _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -158,6 +162,12 @@ def _digest(elements: np.ndarray) -> tuple[int, int]:
     return int(a.sum(dtype=np.uint64).view(np.int64)), int(b.sum(dtype=np.uint64).view(np.int64))
 
 
+def _sketch(elements: np.ndarray) -> bytes:
+    """How many elements lie in each of SKETCH parts of the universe, 255 at most."""
+    part = (mix(elements + _M3) % np.uint64(SKETCH)).astype(np.int64)
+    return np.minimum(np.bincount(part, minlength=SKETCH), 255).astype(np.uint8).tobytes()
+
+
 def _slices(batches: Iterator[pa.RecordBatch], rows: int = 200) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
@@ -165,18 +175,19 @@ def _slices(batches: Iterator[pa.RecordBatch], rows: int = 200) -> Iterator[pa.R
 
 
 def shingle_sets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
-    """(doc_id, n_shingles, d1, d2): size and digest of every row's set."""
+    """(doc_id, n_shingles, d1, d2, sketch): size, digest and sketch of every row's set."""
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
             sets = shingles_of(batch.column(1), words)
             digests = [_digest(s) for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(list(map(len, sets)), pa.int64()),
-                 pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64())],
-                names=["doc_id", "n_shingles", "d1", "d2"])
+                 pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()),
+                 pa.array([_sketch(s) for s in sets], pa.binary())],
+                names=["doc_id", "n_shingles", "d1", "d2", "sketch"])
 
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(body, "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint")
+    return rows.mapInArrow(body, "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, sketch binary")
 
 
 def _signatures(docs: DataFrame, doc_id: str, text: str, words: int, percent: int, in_band: dict[int, int]) -> DataFrame:
@@ -310,15 +321,105 @@ def _first_meetings(placed: DataFrame, degrees: DataFrame) -> DataFrame:
     return light.union(once.select("node", _task(1, "component", "own").alias("task"), *alone))
 
 
-def _second_meetings(placed: DataFrame, labels: DataFrame) -> DataFrame:
-    """(node, task, side, label): small components share tasks; of a large one every two blocks meet."""
-    placed = placed.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    light = placed.filter("bundle is not null").select(
-        "node", _task(2, "bundle").alias("task"), F.lit(0).alias("side"), "label")
-    heavy = placed.filter("bundle is null").select(
-        "node", "component", "own", "label", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("cuts") - 1)).alias("other"))
-    return light.union(heavy.select("node", _task(3, "component", F.least("own", "other"), F.greatest("own", "other"))
-                                    .alias("task"), F.col("own").cast("int").alias("side"), "label"))
+def possible_pairs(sig: np.ndarray, node: np.ndarray, label: np.ndarray, side: np.ndarray, size: np.ndarray, sketch: np.ndarray,
+                   percent: int) -> np.ndarray:
+    """Codes i * n + j of the rows i < j that share a signature, have different labels and may link. Rows are sorted by ``sig``.
+
+    Rows of one side do not pair when their signature has two. A size of -1 dismisses nothing.
+    """
+    n = len(sig)
+    if not n:
+        return np.empty(0, dtype=np.int64)
+    begins = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
+    lengths = np.diff(np.append(begins, n))
+    ends = np.repeat(begins + lengths, lengths)
+    mixed = np.repeat(np.maximum.reduceat(side, begins) > np.minimum.reduceat(side, begins), lengths)
+    open_, found, shift = np.arange(n), [], 0
+    while len(open_):
+        shift += 1
+        open_ = open_[open_ + shift < ends[open_]]
+        for first in range(0, len(open_), PAIRS_AT_ONCE):
+            i = open_[first:first + PAIRS_AT_ONCE]
+            j = i + shift
+            keep = (label[i] != label[j]) & (node[i] != node[j]) & ~(mixed[i] & (side[i] == side[j]))
+            i, j = i[keep], j[keep]
+            both = size[i] + size[j]
+            known = (size[i] >= 0) & (size[j] >= 0)
+            close = ~known | (100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j]))
+            i, j, both, known = i[close], j[close], both[close], known[close]
+            apart = np.abs(sketch[i].astype(np.int16) - sketch[j]).sum(axis=1)
+            near = ~known | ((100 + percent) * apart <= (100 - percent) * both)
+            found.append(i[near] * n + j[near])
+    return np.concatenate(found or [np.empty(0, dtype=np.int64)])
+
+
+def _candidates(holders: DataFrame, percent: int, first: int) -> DataFrame:
+    """(x, y, more): unlinked pairs that share an open signature and may link, up to ``first`` of an x and a group and batch.
+
+    ``holders`` has (sig, node, label, size, sketch, n), n holders of a signature; more than HOLDERS of them meet block by block.
+    """
+    cuts = F.ceil(F.col("n") / F.lit(float(HOLDERS)))
+    rows = holders.withColumns({"cuts": cuts, "own": F.pmod(F.xxhash64("node"), cuts)})
+    small = rows.filter("cuts = 1").withColumns({"task": F.col("sig"), "side": F.lit(0)})
+    large = rows.filter("cuts > 1").withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("cuts") - 1)))
+    large = large.withColumns({"task": F.xxhash64("sig", F.least("own", "other"), F.greatest("own", "other")),
+                               "side": F.col("own").cast("int")})
+    columns = ["task", "node", "label", "side", "size", "sketch"]
+
+    def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def pairs(table: pa.Table) -> pa.RecordBatch:
+            task, node, label, side, size = (table[c].to_numpy() for c in columns[:5])
+            sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), dtype=np.uint8).reshape(len(task), SKETCH)
+            code = possible_pairs(task, node, label, side, size, sketch, percent)
+            i, j = code // max(1, len(task)), code % max(1, len(task))
+            x, y = np.maximum(node[i], node[j]), np.minimum(node[i], node[j])
+            group = np.where(node[i] > node[j], label[j], label[i])
+            order = np.lexsort((y, group, x))
+            x, y, group = x[order], y[order], group[order]
+            new = np.concatenate(([True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])))[:len(x)]
+            x, y, group = x[new], y[new], group[new]
+            begins = np.concatenate(([True], (x[1:] != x[:-1]) | (group[1:] != group[:-1])))[:len(x)]
+            start = np.flatnonzero(begins)
+            turn = np.arange(len(x)) - np.repeat(start, np.diff(np.append(start, len(x))))
+            last = np.append(begins[1:], True)[:len(x)]
+            more = (turn == first - 1) & ~last
+            kept = turn < first
+            return pa.RecordBatch.from_arrays([pa.array(x[kept]), pa.array(y[kept]), pa.array(more[kept])], names=["x", "y", "more"])
+
+        for batch in batches:  # sorted by task: a task's rows may go on in the next batch
+            table = pa.Table.from_batches([*held, batch])
+            task = table["task"].to_numpy()
+            cut = int(np.searchsorted(task, task[-1], "left")) if len(task) else 0
+            if cut:
+                yield pairs(table.slice(0, cut))
+            held = table.slice(cut).combine_chunks().to_batches()
+        if held:
+            yield pairs(pa.Table.from_batches(held))
+
+    dealt = small.select(*columns).union(large.select(*columns)).repartition("task").sortWithinPartitions("task")
+    return dealt.mapInArrow(body, "x bigint, y bigint, more boolean")
+
+
+def _pair_meetings(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(node, task, side, label): every y meets its x's, PARTNERS of them in a task."""
+    parts = pairs.groupBy("y").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(PARTNERS))).alias("parts"))
+    dealt = pairs.join(parts, "y").select("x", "y", _task(4, "y", F.pmod(F.xxhash64("x"), F.col("parts"))).alias("task"))
+    nodes = dealt.select(F.col("x").alias("node"), "task").union(dealt.select("y", "task")).distinct()
+    return nodes.join(labels, "node", "left").select("node", "task", F.lit(0).alias("side"), F.coalesce("label", "node").alias("label"))
+
+
+def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, label) after further links: groups are joined, not their members."""
+    def label_of(end: str) -> DataFrame:
+        return labels.select(F.col("node").alias(end), F.col("label").alias(f"{end}_label"))
+
+    ends = links.join(label_of("u"), "u", "left").join(label_of("v"), "v", "left").select(
+        F.coalesce("u_label", "u").alias("u"), F.coalesce("v_label", "v").alias("v"))
+    roots = components(ends).select(F.col("node").alias("label"), F.col("component").alias("root"))
+    known = labels.union(links.select("u", "u")).union(links.select("v", "v")).groupBy("node").agg(F.min("label").alias("label"))
+    return cut_lineage(known.join(roots, "label", "left").select("node", F.coalesce("root", "label").alias("label")))
 
 
 def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT,
@@ -356,22 +457,38 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     degrees = holders.groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
     weights = filled.groupBy(F.col("doc_id").alias("node")).agg(F.sum("n_shingles").alias("weight"))
 
-    placed = _weighed(components(shared.select("u", "v")), weights, block)
-    meetings = cut_lineage(_first_meetings(placed, degrees))
-    links = cut_lineage(_verify(docs, meetings, doc_id, text, words, percent, in_band))
-    heavy = placed.filter("bundle is null").select("node")
-    if not heavy.isEmpty():
-        labels = components(links).select("node", F.col("component").alias("label"))
-        named = holders.join(heavy, "node", "left_semi").join(labels, "node", "left").select(
-            "sig", "node", F.coalesce("label", "node").alias("label"))
-        named = cut_lineage(named)
-        open_sigs = named.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high"),
-                                             F.min("node").alias("least")).filter("low <> high").select("sig", "least")
-        again = components(named.join(open_sigs, "sig").select(F.col("node").alias("u"), F.col("least").alias("v")).distinct())
-        meetings = cut_lineage(_second_meetings(_weighed(again, weights, block), labels))
-        links = links.union(_verify(docs, meetings, doc_id, text, words, percent, in_band))
-    named = cut_lineage(components(links.union(of.filter("doc_id <> rep").select("doc_id", "rep"))))
-    named = named.select(F.col("node").alias("doc_id"), "component")
+    center = shared.select(F.col("u").alias("node"), "v").union(shared.select("v", "v")).groupBy("node").agg(
+        F.min("v").alias("component"))
+    meetings = cut_lineage(_first_meetings(_weighed(center, weights, block), degrees))
+    links = _verify(docs, meetings, doc_id, text, words, percent, in_band)
+    # a document with several sets links their representatives
+    several = of.groupBy("doc_id").agg(F.min("rep").alias("v"), F.max("rep").alias("high")).filter("v <> high").select("doc_id", "v")
+    links = links.union(of.join(several, "doc_id").select(F.col("rep").alias("u"), "v"))
+    labels = cut_lineage(components(links).select("node", F.col("component").alias("label")))
+
+    # a representative of several sets has no one sketch, and no size then
+    info = first.join(filled.select(F.col("doc_id").alias("rep"), "n_shingles", "d1", "d2", "sketch"), ["rep", "n_shingles", "d1", "d2"])
+    info = info.groupBy(F.col("rep").alias("node")).agg(F.min("d1").alias("low"), F.max("d1").alias("high"), F.min("n_shingles").alias("n1"),
+                                                        F.max("n_shingles").alias("n2"), F.min("sketch").alias("sketch"))
+    info = info.select("node", F.when((F.col("low") == F.col("high")) & (F.col("n1") == F.col("n2")), F.col("n1")).otherwise(-1)
+                       .alias("size"), "sketch")
+    info = cut_lineage(holders.select("node").distinct().join(info, "node"))
+    at_once = FIRST
+    while True:
+        named = cut_lineage(holders.join(labels, "node", "left").select("sig", "node", F.coalesce("label", "node").alias("label")))
+        still = named.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n"))
+        still = still.filter("low <> high").select("sig", "n")
+        found = cut_lineage(_candidates(named.join(still, "sig").join(info, "node"), percent, at_once))
+        pairs = found.select("x", "y").distinct()
+        if found.isEmpty():
+            break
+        meetings = cut_lineage(_pair_meetings(pairs, labels))
+        labels = _relabelled(labels, cut_lineage(_verify(docs, meetings, doc_id, text, words, percent, in_band)))
+        if found.filter("more").isEmpty():
+            break
+        at_once *= 16
+    own = of.groupBy("doc_id").agg(F.min("rep").alias("node")).join(labels, "node", "left")
+    named = own.select("doc_id", F.coalesce("label", "node").alias("component"))
     return sets.join(named, "doc_id", "left").select(
         "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id"))
         .otherwise(F.col("doc_id")).alias("component_id"))
