@@ -11,7 +11,7 @@ from sheafwork.catalog.derived import ctes, frame
 from sheafwork.functions.tables import register_functions
 from sheafwork.functions.tokens import MARKED, PLAIN
 from sheafwork.functions.vectors import l2_normalise
-from sheafwork.operators import nearcopies, neighbours, search
+from sheafwork.operators import blockmax, nearcopies, neighbours, search
 from sheafwork.plans.sizing import rows_if_small
 from sheafwork.session import cut_lineage
 
@@ -146,6 +146,38 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return found.withColumn("score", F.round("score", 6))
 
 
+def questions(spark: SparkSession, sf: str) -> DataFrame:
+    """Words three to five of every fiftieth text, asked as a question."""
+    asked = frame(spark, sf, "texts").filter("id_doc % 50 = 0")
+    return asked.select(F.col("id_doc").alias("question_id"), F.array_join(F.slice(F.split("text", " "), 3, 3), " ").alias("q"))
+
+
+SQL_MANY = ctes("texts") + SQL_INDEX + f"""
+    , asked as (select id_doc as question_id, array_to_string(string_split(text, ' ')[3:5], ' ') as q from texts where id_doc % 50 = 0),
+    wanted as (select distinct question_id, unnest(regexp_extract_all(translate(lower(q), '{MARKED}', '{PLAIN}'), '[\\p{{L}}\\p{{N}}]+'))
+      as term from asked),
+    lengths as (select doc_id, sum(tf) as n_terms from postings group by doc_id),
+    held as (select term, doc_id, sum(tf) as tf from postings where term in (select term from wanted) group by term, doc_id),
+    rarity as (select term, count(*) as df from held group by term),
+    scored as (select question_id, doc_id, count(*) as found, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 /
+        (tf + 1.2 * (0.25 + 0.75 * n_terms / mean))) as score
+      from wanted join held using (term) join rarity using (term) join lengths using (doc_id),
+        (select count(*) as n, avg(n_terms) as mean from lengths) group by question_id, doc_id)
+    select question_id, row_number() over (partition by question_id order by round(score, 9) desc, doc_id) as rank, doc_id,
+      round(score, 6) as score
+    from scored join (select question_id, count(*) as n_wanted from wanted group by question_id) using (question_id) where found = n_wanted
+    qualify rank <= 10"""
+
+
+@query("search_many", SQL_MANY)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """Every fiftieth text's words asked of all texts and file names, by a stored block index."""
+    lengths = cut_lineage(search.text_lengths(searchable(spark, sf)))
+    blocks = cut_lineage(blockmax.build_blocks(indexed(spark, sf, stemmed=False), lengths))
+    best = blockmax.search_many(blocks, questions(spark, sf), blockmax.corpus_numbers(lengths), k=10, stemmed=False)
+    return best.withColumn("score", F.round("score", 6))
+
+
 def vectors(spark: SparkSession, sf: str) -> DataFrame:
     return frame(spark, sf, "vectors").select("id", "e")
 
