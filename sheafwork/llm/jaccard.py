@@ -54,9 +54,11 @@ PIVOTS = 16
 #: Rows of two or three numbers that say which texts go where are broadcast while they are no more than this; beyond it they are joined
 #: by a shuffle.
 BROADCAST_IDS = 2_000_000
-#: Parts of the universe a sketch counts, holders of a signature that meet in one block, pairs filtered at a time, pairs of a set and a
+#: Parts of the universe a sketch counts, and parts it is folded to for a first look; holders of a signature that meet in one block, pairs filtered at a time, pairs of a set and a
 #: group first verified, and partners of a set in one task.
-SKETCH, HOLDERS, PAIRS_AT_ONCE, FIRST, PARTNERS = 64, 2048, 200_000, 4, 1000
+SKETCH, COARSE, HOLDERS, PAIRS_AT_ONCE, FIRST, PARTNERS = 256, 64, 2048, 60_000, 16, 1000
+#: Holders of a signature beyond which it is common: the holders of common signatures meet once, not once per signature.
+COMMON = 48
 #: Sets a task remembers to have indexed; beyond it starts anew.
 REMEMBERED = 100_000
 _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -323,9 +325,10 @@ def _first_meetings(placed: DataFrame, degrees: DataFrame) -> DataFrame:
 
 def possible_pairs(sig: np.ndarray, node: np.ndarray, label: np.ndarray, side: np.ndarray, size: np.ndarray, sketch: np.ndarray,
                    percent: int) -> np.ndarray:
-    """Codes i * n + j of the rows i < j that share a signature, have different labels and may link. Rows are sorted by ``sig``.
+    """Codes i * n + j of the rows i < j that share a signature, have different labels and may link.
 
-    Rows of one side do not pair when their signature has two. A size of -1 dismisses nothing.
+    Rows are sorted by ``sig`` and ``size``, so a row is done at the first row that is too large for it. Rows of one side do not pair when
+    their signature has two. A size of -1 dismisses nothing.
     """
     n = len(sig)
     if not n:
@@ -334,22 +337,22 @@ def possible_pairs(sig: np.ndarray, node: np.ndarray, label: np.ndarray, side: n
     lengths = np.diff(np.append(begins, n))
     ends = np.repeat(begins + lengths, lengths)
     mixed = np.repeat(np.maximum.reduceat(side, begins) > np.minimum.reduceat(side, begins), lengths)
+    coarse = sketch.reshape(n, COARSE, -1).sum(axis=2, dtype=np.int16)
     open_, found, shift = np.arange(n), [], 0
     while len(open_):
         shift += 1
         open_ = open_[open_ + shift < ends[open_]]
+        open_ = open_[(size[open_] < 0) | (100 * size[open_] >= percent * size[open_ + shift])]
         for first in range(0, len(open_), PAIRS_AT_ONCE):
             i = open_[first:first + PAIRS_AT_ONCE]
             j = i + shift
             keep = (label[i] != label[j]) & (node[i] != node[j]) & ~(mixed[i] & (side[i] == side[j]))
             i, j = i[keep], j[keep]
-            both = size[i] + size[j]
-            known = (size[i] >= 0) & (size[j] >= 0)
-            close = ~known | (100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j]))
-            i, j, both, known = i[close], j[close], both[close], known[close]
-            apart = np.abs(sketch[i].astype(np.int16) - sketch[j]).sum(axis=1)
-            near = ~known | ((100 + percent) * apart <= (100 - percent) * both)
-            found.append(i[near] * n + j[near])
+            for counts in (coarse, sketch):
+                apart = np.abs(counts[i].astype(np.int16) - counts[j]).sum(axis=1)
+                near = (size[i] < 0) | ((100 + percent) * apart <= (100 - percent) * (size[i] + size[j]))
+                i, j = i[near], j[near]
+            found.append(i * n + j)
     return np.concatenate(found or [np.empty(0, dtype=np.int64)])
 
 
@@ -398,10 +401,24 @@ def _candidates(holders: DataFrame, percent: int, first: int) -> DataFrame:
         if held:
             yield pairs(pa.Table.from_batches(held))
 
-    dealt = small.select(*columns).union(large.select(*columns)).repartition("task").sortWithinPartitions("task")
+    dealt = small.select(*columns).union(large.select(*columns)).repartition("task").sortWithinPartitions("task", "size")
     return dealt.mapInArrow(body, "x bigint, y bigint, more boolean")
 
 
+def _gathered(rows: DataFrame) -> DataFrame:
+    """(sig, node, label, n): common signatures that have holders in common become one group, so two sets meet in it once."""
+    common = rows.filter(F.col("n") > COMMON)
+    if common.isEmpty():
+        return rows
+    common = cut_lineage(common)
+    lead = common.groupBy("node").agg(F.min("sig").alias("lead"))
+    edges = common.join(lead, "node").select(F.col("sig").alias("u"), F.col("lead").alias("v")).distinct()
+    groups = components(edges).select(F.col("node").alias("sig"), F.col("component").alias("group"))
+    once = common.join(groups, "sig", "left").select(F.coalesce("group", "sig").alias("sig"), "node", "label").distinct()
+    sizes = once.groupBy("sig").agg(F.count(F.lit(1)).alias("n"))
+    return rows.filter(F.col("n") <= COMMON).unionByName(once.join(sizes, "sig"))
+
+
 def _pair_meetings(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """(node, task, side, label): every y meets its x's, PARTNERS of them in a task."""
     parts = pairs.groupBy("y").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(PARTNERS))).alias("parts"))
@@ -478,7 +495,7 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         named = cut_lineage(holders.join(labels, "node", "left").select("sig", "node", F.coalesce("label", "node").alias("label")))
         still = named.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n"))
         still = still.filter("low <> high").select("sig", "n")
-        found = cut_lineage(_candidates(named.join(still, "sig").join(info, "node"), percent, at_once))
+        found = cut_lineage(_candidates(_gathered(named.join(still, "sig")).join(info, "node"), percent, at_once))
         pairs = found.select("x", "y").distinct()
         if found.isEmpty():
             break
