@@ -156,12 +156,16 @@ class Templates:
     @staticmethod
     def _apart(entries: list[tuple[bool, float, int, int, int, int]]) -> list[tuple[bool, float, int, int, int, int]]:
         """The entries, best first; of one template's spans that overlap by half, as two bands find them, the best."""
+        # a span can only overlap those that begin within the longest span of it; few kept ones share a stretch of that length
+        width = max((z - a for *_, a, z in entries), default=1)
         kept: list[tuple[bool, float, int, int, int, int]] = []
+        near: dict[tuple[int, int], list[tuple[int, int]]] = {}
         for entry in sorted(entries, key=lambda e: e[:4], reverse=True):
             template, first, last = entry[3:]
-            if not any(template == t and 2 * (min(last, z) - max(first, a)) > min(last - first, z - a)
-                       for *_, t, a, z in kept):
+            around = (span for k in (-1, 0, 1) for span in near.get((template, first // width + k), ()))
+            if not any(2 * (min(last, z) - max(first, a)) > min(last - first, z - a) for a, z in around):
                 kept.append(entry)
+                near.setdefault((template, first // width), []).append((first, last))
         return kept
 
     def _starts(self, ends: np.ndarray, at: np.ndarray, template: np.ndarray,
