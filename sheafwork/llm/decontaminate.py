@@ -43,6 +43,8 @@ TABLE_BITS = 20
 _BASE = 0x9E3779B97F4A7C15
 #: A text is searched in stretches of so many characters that overlap by more than a region, so memory is bounded.
 STRETCH = 1 << 20
+#: Shared q-grams counted at a time; a stretch with more is taken in halves.
+MOST_HITS = 2_000_000
 
 
 def normalise(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -194,6 +196,13 @@ class Windows:
         which = np.minimum(np.searchsorted(code, wanted), len(code) - 1)
         known = code[which] == wanted
         at, which = at[known], which[known]
+        if int(repeats[which].sum()) > MOST_HITS and at[-1] - at[0] > 4 * reach:
+            # a repetitive stretch in halves; what lies across the cut lies whole in one of them
+            middle = int(at[0] + at[-1]) // 2
+            low, high = max(0, middle - reach), min(len(points), middle + reach + q)
+            self._stretch(points[:high], origin[:high], table, found, whole)
+            self._stretch(points[low:], origin[low:], table, found, whole)
+            return
         left, times = first[which], repeats[which]
         hit = np.repeat(left - np.concatenate(([0], np.cumsum(times)[:-1])), times) + np.arange(times.sum())
         self._bands(points, origin, window[hit], np.repeat(at, times) - place[hit], place[hit], found,
