@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from sheafwork.functions.tokens import MARKED, PLAIN
 from sheafwork.operators import learning
 from sheafwork.sources import files, mail, sinks
 from sheafwork.session import cut_lineage, shared_folder
-from sheafwork.streaming import jobs
+from sheafwork.streaming import history, jobs
 
 
 def file_rows(documents: DataFrame) -> DataFrame:
@@ -228,6 +229,49 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return batches.select("user_id", moment("first").alias("first"), moment("last").alias("last"), "n")
 
 
+def streamed(spark: SparkSession, rows: DataFrame, transform: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What a stream over the stored rows has put out once it has taken all of them."""
+    folder = f"{shared_folder(spark)}/sheafwork-{uuid.uuid4().hex}"
+    rows.write.parquet(f"{folder}/in")
+    out = transform(spark.readStream.schema(rows.schema).parquet(f"{folder}/in"))
+    out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(
+        availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{folder}/out")
+
+
+@query("stream_quiet_batches_closed", """
+    with gaps as (select user_id, ts, case when ts - lag(ts) over w <= interval 2 hour then 0 else 1 end as s from events
+        window w as (partition by user_id order by ts)),
+    numbered as (select user_id, ts, sum(s) over (partition by user_id order by ts rows unbounded preceding) as b
+      from gaps)
+    select user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') as first, strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') as last,
+      count(*) as n from numbered group by user_id, b having max(ts) + interval 2 hour <= (select max(ts) from events)""")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """The stream itself: the batches that its watermark has closed."""
+    rows = frame(spark, sf, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    closed = streamed(spark, rows, lambda s: jobs.stream_quiet_batches(s, "user_id", "ts", "2 hours", "0 seconds"))
+    return closed.select("user_id", moment("first").alias("first"), moment("last").alias("last"), "n")
+
+
+@query("stream_dedup_history", """
+    with hashed as (select doc_id, case when doc_id % 17 > 0 then md5(text) end as md5_hash from documents)
+    select doc_id, md5_hash from hashed where md5_hash is null
+    union all select min(doc_id), md5_hash from hashed where md5_hash is not null and md5_hash in (select md5_hash from hashed
+      where doc_id % 3 = 0 and md5_hash is not null) and doc_id % 3 = 0 group by md5_hash
+    union all select min(doc_id), md5_hash from hashed where md5_hash is not null and md5_hash not in (select md5_hash from hashed
+      where doc_id % 3 = 0 and md5_hash is not null) group by md5_hash""")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """Every third document is in the store first; a stream of the others adds what is new."""
+    hashed = frame(spark, sf, "documents").select("doc_id", F.when(F.col("doc_id") % 17 > 0, F.md5("text")).alias("md5_hash"))
+    folder = f"{shared_folder(spark)}/sheafwork-{uuid.uuid4().hex}"
+    schema = "doc_id bigint, md5_hash string"
+    for part, name in ((hashed.filter("doc_id % 3 = 0"), "first"), (hashed.filter("doc_id % 3 <> 0"), "others")):
+        part.write.parquet(f"{folder}/{name}")
+        history.dedup_history(spark.readStream.schema(schema).parquet(f"{folder}/{name}"), f"{folder}/store",
+                              f"{folder}/checkpoint-{name}").awaitTermination()
+    return history.history(spark, f"{folder}/store", schema)
+
+
 @query("stream_batch_metrics", ctes("records") + """
     select strftime(batch, '%Y-%m-%d 00:00:00') as start, ok_docs, failed_docs,
       round(case when ok_docs + failed_docs = 0 then 0 else spent / (ok_docs + failed_docs) end, 6) as avg_time,

@@ -11,7 +11,7 @@ from sheafwork.catalog.derived import ctes, frame
 from sheafwork.functions.tables import register_functions
 from sheafwork.functions.tokens import MARKED, PLAIN
 from sheafwork.functions.vectors import l2_normalise
-from sheafwork.operators import blockmax, nearcopies, neighbours, search
+from sheafwork.operators import blockmax, cells, nearcopies, neighbours, search
 from sheafwork.plans.sizing import rows_if_small
 from sheafwork.session import cut_lineage
 
@@ -202,6 +202,13 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(neighbours.knn_l2(asked(spark, sf), vectors(spark, sf), 5))
 
 
+@query("knn_cells", ctes("vectors") + SQL_KNN.format(
+    order="score", k=5, score="round(list_distance(cast(q as double[]), cast(e as double[])), 9)"))
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """The same neighbours by pivots."""
+    return rounded(cells.knn_cells(asked(spark, sf), cells.build_cells(vectors(spark, sf)), 5))
+
+
 @query("knn_inner_product", ctes("vectors") + SQL_KNN.format(
     order="score desc", k=10, score="round(list_inner_product(cast(q as double[]), cast(e as double[])), 9)"))
 def _(spark: SparkSession, sf: str) -> DataFrame:
