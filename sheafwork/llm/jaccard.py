@@ -410,11 +410,12 @@ def _gathered(rows: DataFrame) -> DataFrame:
     common = rows.filter(F.col("n") > COMMON)
     if common.isEmpty():
         return rows
-    common = cut_lineage(common)
-    lead = common.groupBy("node").agg(F.min("sig").alias("lead"))
-    edges = common.join(lead, "node").select(F.col("sig").alias("u"), F.col("lead").alias("v")).distinct()
-    groups = components(edges).select(F.col("node").alias("sig"), F.col("component").alias("group"))
-    once = common.join(groups, "sig", "left").select(F.coalesce("group", "sig").alias("sig"), "node", "label").distinct()
+    # all common signatures of a node are of one group, so its least one leads to it
+    common = cut_lineage(common.withColumn("lead", F.min("sig").over(Window.partitionBy("node"))))
+    edges = common.select(F.col("sig").alias("u"), F.col("lead").alias("v")).distinct()
+    groups = components(edges).select(F.col("node").alias("lead"), F.col("component").alias("group"))
+    once = common.select("lead", "node", "label").distinct().join(groups, "lead", "left").select(
+        F.coalesce("group", "lead").alias("sig"), "node", "label")
     sizes = once.groupBy("sig").agg(F.count(F.lit(1)).alias("n"))
     return rows.filter(F.col("n") <= COMMON).unionByName(once.join(sizes, "sig"))
 
