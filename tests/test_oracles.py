@@ -44,7 +44,8 @@ def test_entry(spark):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - {
     "predict_type", "train_text_classifier", "corpus_palette", "near_duplicate_pairs", "near_duplicate_groups",
-    "stream_hot_folder"}))
+    "near_duplicate_pairs_fast", "near_duplicate_groups_fast", "stream_hot_folder", "stream_dedup_history",
+    "stream_quiet_batches_closed"}))
 def test_plan_has_no_cross_product(spark, sf, name):
     """Even when nothing may be broadcast, no query falls back to a product of its inputs."""
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
