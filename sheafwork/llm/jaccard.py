@@ -47,8 +47,8 @@ PERCENT = 85
 WORDS = 4
 #: Sizes of a band lie within this ratio.
 RATIO = 0.7
-#: Shingles that one block of a verification holds; two blocks meet in a task.
-BLOCK_SHINGLES = 600_000
+#: Shingles that one task of a verification holds.
+BLOCK_SHINGLES = 250_000
 #: Sets of a large component that go to all its blocks.
 PIVOTS = 16
 #: Rows of two or three numbers that say which texts go where are broadcast while they are no more than this; beyond it they are joined
@@ -56,7 +56,7 @@ PIVOTS = 16
 BROADCAST_IDS = 2_000_000
 #: Parts of the universe a sketch counts, and parts it is folded to for a first look; holders of a signature that meet in one block, pairs filtered at a time, pairs of a set and a
 #: group first verified, and partners of a set in one task.
-SKETCH, COARSE, HOLDERS, PAIRS_AT_ONCE, FIRST, PARTNERS = 256, 64, 2048, 60_000, 16, 1000
+SKETCH, COARSE, HOLDERS, PAIRS_AT_ONCE, FIRST, PARTNERS = 256, 64, 2048, 60_000, 16, 500
 #: Holders of a signature beyond which it is common: the holders of common signatures meet once, not once per signature.
 COMMON = 48
 #: Sets a task remembers to have indexed; beyond it starts anew.
