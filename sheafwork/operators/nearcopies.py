@@ -6,12 +6,11 @@ import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheafwork.plans.blockwise import blocks_for, matrix, meet, unit
+from sheafwork.plans.blockwise import blocks_for, dense, earliest_near, meet, unit
 from sheafwork.plans.graph import scan_groups
 from sheafwork.session import cut_lineage
 
@@ -143,25 +142,18 @@ def near_lists(left: DataFrame, right: DataFrame, threshold: float = NEAR, k: in
 
     ``left`` has (id, vec, after); only ids above ``after`` count.
     """
-    def body(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({"id": pd.array([], "int64"), "near": pd.array([], "int64")})]
+    def body(a: pa.Table, b: pa.Table) -> pa.Table:
+        a, b = a.sort_by("id"), b.sort_by("id")
+        ids, right_ids = a["id"].to_numpy(), b["id"].to_numpy()
+        out = [(np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64))]
         if len(a) and len(b):
-            b = b.sort_values("id", ignore_index=True)
-            right_ids, right_rows = b["id"].to_numpy(), unit(matrix(b["vec"]))
-            after = np.array([v[0] for v in a["vec"]])
-            for start in range(0, len(a), SLICE):
-                part = slice(start, start + SLICE)
-                ids = a["id"].to_numpy()[part]
-                rows = unit(np.stack([v[1:] for v in a["vec"].to_numpy()[part]]))
-                near = np.round(rows @ right_rows.T, 9) >= threshold
-                near &= (right_ids[None, :] < ids[:, None]) & (right_ids[None, :] > after[part, None])
-                i, j = np.nonzero(near & (np.cumsum(near, axis=1) <= k))
-                out.append(pd.DataFrame({"id": ids[i], "near": right_ids[j]}))
-        return pd.concat(out)
-
-    # the bound travels in front of the vector
-    bound = left.select("id", F.concat(F.array(F.col("after").cast("double")), F.col("vec").cast("array<double>")).alias("vec"))
-    met = meet(bound, right.select("id", "vec"), blocks_for(left), blocks_for(right), body, "id bigint, near bigint")
+            near = earliest_near(ids, dense(a["vec"]), right_ids, dense(b["vec"]), threshold, k, True, a["after"].to_numpy())
+            out += [(ids[i], right_ids[j]) for i, j, _ in near]
+        return pa.table([pa.array(np.concatenate(x)) for x in zip(*out)], names=["id", "near"])
+
+    asked = left.select(F.col("id").cast("bigint").alias("id"), "vec", F.col("after").cast("double").alias("after"))
+    stored = right.select(F.col("id").cast("bigint").alias("id"), "vec")
+    met = meet(asked, stored, blocks_for(left), blocks_for(right), body, "id bigint, near bigint")
     return met.groupBy("id").agg(F.slice(F.array_sort(F.collect_list("near")), 1, k).alias("near"))
 
 
