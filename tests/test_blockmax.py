@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from sheafwork.operators import blockmax, search
+from sheafwork.session import cut_lineage
 
 
 @pytest.fixture(scope="module")
@@ -74,3 +75,28 @@ def test_no_index_and_no_questions(spark, library):
     empty = library.filter("false")
     none = blockmax.build_blocks(search.build_text_index(empty), search.text_lengths(empty))
     assert blockmax.search_many(none, asked(spark, "w0"), blockmax.corpus_numbers(search.text_lengths(empty))).count() == 0
+
+
+def test_blocks_are_read_once_for_all_questions(spark, library, monkeypatch):
+    """Many parts, bundles and blocks of questions give what one gives, and no block travels once per question and slice."""
+    postings, lengths = search.build_text_index(library, stemmed=False), search.text_lengths(library)
+    blocks, corpus = blockmax.build_blocks(postings, lengths, slice_ids=16), blockmax.corpus_numbers(lengths)
+    questions = asked(spark, *[f"w{i % 7} w{i % 11}" for i in range(60)])
+
+    def rows():
+        return sorted((r["question_id"], r["rank"], r["doc_id"], round(r["score"], 9)) for r in blockmax.search_many(
+            blocks, questions, corpus, k=5, stemmed=False).collect())
+
+    whole = rows()
+    assert len(whole) > 250
+    for name, value in (("LEAST_POSTINGS", 1500), ("BUNDLE_POSTINGS", 200), ("QUESTIONS_IN_BLOCK", 25), ("QUESTIONS_AT_ONCE", 3), ("MOST_SLOTS", 2),
+                        ("MOST_DENSE", 3)):
+        monkeypatch.setattr(blockmax, name, value)
+    assert rows() == whole
+    # what is dealt out is a row of the index for each block of questions, and the questions for each part
+    dealt = []
+    rated = blockmax.rated_terms(blocks, blockmax.question_terms(questions, False), corpus[0])
+    stored = cut_lineage(blocks)
+    monkeypatch.setattr(type(blocks), "mapInArrow", lambda df, *a, **b: dealt.append(df.count()) or df)
+    blockmax.scored(stored, rated, corpus[1], 5, 4)
+    assert 0 < dealt[-1] <= 3 * stored.count() + rated.count() * 3 * spark.sparkContext.defaultParallelism
