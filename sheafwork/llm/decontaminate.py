@@ -168,20 +168,24 @@ class Windows:
         in_parts: dict[int, list[tuple[int, int, int]]] = {}
         for begin in range(0, len(points), STRETCH):
             end = begin + STRETCH + 4 * WINDOW
+            wide = points[begin:end].astype(np.uint64)
+            coded: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # two tables have q-grams of 8
             for table in self.tables:
-                self._stretch(points[begin:end].astype(np.uint64), origin[begin:end], table, in_parts if table[1] else found,
-                              found)
+                if table[0] not in coded:
+                    codes = grams(wide, table[0])
+                    coded[table[0]] = codes, _slot(codes)
+                self._stretch(wide, origin[begin:end], table, in_parts if table[1] else found, found, *coded[table[0]])
         out = []
         for item, spans in (in_parts | found).items():
             out.append((item, min(s for s, _, _ in spans), max(e for _, e, _ in spans), min(k for _, _, k in spans)))
         return sorted(out)
 
     def _stretch(self, points: np.ndarray, origin: np.ndarray, table: tuple[int, bool],
-                 found: dict[int, list[tuple[int, int, int]]], whole: dict[int, list[tuple[int, int, int]]]) -> None:
+                 found: dict[int, list[tuple[int, int, int]]], whole: dict[int, list[tuple[int, int, int]]],
+                 codes: np.ndarray, slots: np.ndarray) -> None:
         q = table[0]
         seen, code, first, repeats, window, place, least, reach = self.tables[table]
-        codes = grams(points, q)
-        at = np.flatnonzero(seen[_slot(codes)])
+        at = np.flatnonzero(seen[slots])
         if len(at) < least:
             return
         # a region within budget has ``least`` shared q-grams inside its length: drop positions without such a run
@@ -200,8 +204,9 @@ class Windows:
             # a repetitive stretch in halves; what lies across the cut lies whole in one of them
             middle = int(at[0] + at[-1]) // 2
             low, high = max(0, middle - reach), min(len(points), middle + reach + q)
-            self._stretch(points[:high], origin[:high], table, found, whole)
-            self._stretch(points[low:], origin[low:], table, found, whole)
+            for part in (slice(0, high), slice(low, len(points))):
+                own = slice(part.start, max(part.start, part.stop - q + 1))
+                self._stretch(points[part], origin[part], table, found, whole, codes[own], slots[own])
             return
         left, times = first[which], repeats[which]
         hit = np.repeat(left - np.concatenate(([0], np.cumsum(times)[:-1])), times) + np.arange(times.sum())
@@ -210,8 +215,11 @@ class Windows:
 
     def _bands(self, points: np.ndarray, origin: np.ndarray, w: np.ndarray, diagonal: np.ndarray, place: np.ndarray,
                found: dict[int, list[tuple[int, int, int]]], settled: dict[int, list[tuple[int, int, int]]]) -> None:
-        if not len(w):
+        # a window with fewer shared q-grams in all has too few in every band
+        enough = np.bincount(w, minlength=len(self.bound))[w] >= self.bound[w]
+        if not enough.any():
             return
+        w, diagonal, place = w[enough], diagonal[enough], place[enough]
         band = np.floor_divide(diagonal, self.step[w])  # bands b and b - 1 hold this diagonal
         least = int(band.min()) - 1
         bands = int(band.max()) - least + 1
