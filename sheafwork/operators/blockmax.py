@@ -34,9 +34,11 @@ SLACK = 1e-8
 
 def corpus_numbers(lengths: DataFrame) -> tuple[int, float]:
     """(documents with terms, their mean length): two numbers that scores need."""
-    row = lengths.agg(F.count(F.when(F.col("n_terms") > 0, 1)).alias("n"),
-                      F.avg(F.when(F.col("n_terms") > 0, F.col("n_terms"))).alias("mean")).first()
-    return row["n"], row["mean"] or 1.0
+    counted = F.col("n_terms") > 0  # rows of one document are one document with all their terms
+    row = lengths.agg(F.count_distinct(F.when(counted, F.col("doc_id"))).alias("named"), F.count_if(counted & F.col("doc_id").isNull()).alias("unnamed"),
+                      F.sum(F.when(counted, F.col("n_terms"))).alias("terms")).first()
+    n = row["named"] + row["unnamed"]
+    return n, row["terms"] / n if n else 1.0
 
 
 def _groups(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -84,7 +86,7 @@ def build_blocks(postings: DataFrame, lengths: DataFrame, slice_ids: int = SLICE
     _, mean = corpus_numbers(lengths)
     # dealt by document once, for the sums and for the lengths
     summed = postings.repartition("doc_id").groupBy("term", "doc_id").agg(F.sum("tf").alias("tf"))
-    sized = summed.join(lengths.select("doc_id", "n_terms"), "doc_id")
+    sized = summed.join(lengths.groupBy("doc_id").agg(F.sum("n_terms").alias("n_terms")), "doc_id")
     cut = sized.select("term", F.floor(F.col("doc_id") / slice_ids).alias("slice"), "doc_id", "tf", "n_terms")
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,13 +121,12 @@ def build_blocks(postings: DataFrame, lengths: DataFrame, slice_ids: int = SLICE
 
 
 def question_terms(questions: DataFrame, stemmed: bool) -> DataFrame:
-    """(question_id, term, place, wanted): the distinct terms of every question in order, and how many there are."""
+    """(question_id, term): the distinct terms of every question; rows of one id are one question."""
     found = terms(F.col(questions.columns[1]))
-    said = questions.select(F.col(questions.columns[0]).alias("question_id"), F.posexplode(F.array_distinct(found)).alias("place", "term"))
+    said = questions.select(F.col(questions.columns[0]).alias("question_id"), F.explode(F.array_distinct(found)).alias("term"))
     if stemmed:
-        said = said.withColumn("term", stem("term")).groupBy("question_id", "term").agg(F.min("place").alias("place"))
-    count = said.groupBy("question_id").agg(F.count(F.lit(1)).alias("wanted"))
-    return said.join(count, "question_id")
+        said = said.withColumn("term", stem("term"))
+    return said.filter("question_id is not null").distinct()
 
 
 def rated_terms(blocks: DataFrame, asked: DataFrame, documents: int) -> DataFrame:
@@ -136,10 +137,9 @@ def rated_terms(blocks: DataFrame, asked: DataFrame, documents: int) -> DataFram
     own = asked.select("term").distinct()
     held = cut_lineage(blocks.select("term", "n").join(own, "term", "left_semi").groupBy("term").agg(F.sum("n").alias("df")))
     idf = F.log(1 + (F.lit(documents) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    found = asked.join(held, "term").groupBy("question_id", "term").agg(F.sum(idf).alias("weight"), F.first("df").alias("df"),
-                                                                       F.first("wanted").alias("wanted"), F.count(F.lit(1)).alias("n"))
-    whole = found.groupBy("question_id").agg(F.sum("n").alias("have"), F.first("wanted").alias("wanted")).filter("have = wanted")
-    return cut_lineage(found.join(whole.select("question_id"), "question_id").select("question_id", "term", "weight", "df"))
+    rated = cut_lineage(asked.join(held, "term", "left").withColumn("weight", idf))
+    unheld = rated.filter("df is null").select("question_id").distinct()
+    return cut_lineage(rated.join(unheld, "question_id", "left_anti").select("question_id", "term", "weight", "df"))
 
 
 class Bundle:

@@ -100,3 +100,18 @@ def test_blocks_are_read_once_for_all_questions(spark, library, monkeypatch):
     monkeypatch.setattr(type(blocks), "mapInArrow", lambda df, *a, **b: dealt.append(df.count()) or df)
     blockmax.scored(stored, rated, corpus[1], 5, 4)
     assert 0 < dealt[-1] <= 3 * stored.count() + rated.count() * 3 * spark.sparkContext.defaultParallelism
+
+
+def test_rows_of_one_document_are_one_document(spark):
+    """Repeated rows of documents and of questions: their terms add up, and nothing is found twice."""
+    docs = spark.createDataFrame([(1, "f", "a b b"), (1, "f", "a c"), (2, "g", "a b"), (2, "g", "a b"), (3, None, "b")], "doc_id bigint, filename string, text string")
+    once = spark.createDataFrame([(1, "f f", "a b b a c"), (2, "g g", "a b a b"), (3, None, "b")], "doc_id bigint, filename string, text string")
+
+    def rows(of, *texts):
+        postings, lengths = search.build_text_index(of, stemmed=False), search.text_lengths(of)
+        questions = spark.createDataFrame([(7, t) for t in texts], "qid int, text string")
+        found = blockmax.search_many(blockmax.build_blocks(postings, lengths), questions, blockmax.corpus_numbers(lengths), k=5, stemmed=False)
+        return sorted((r["rank"], r["doc_id"], round(r["score"], 9)) for r in found.collect())
+
+    assert rows(docs, "a b", "b a", "a b") == rows(once, "a b")
+    assert [r[1] for r in rows(once, "a b")] == [2, 1]
