@@ -41,7 +41,7 @@ def test_stages(spark, sf, documents):
 
 def test_registered():
     names = [n for n in __spark_entry__.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert "pipeline" in __spark_entry__.queries()
 
 
@@ -50,7 +50,7 @@ def test_odd_documents_through_stages(name, odd, spark, sf, tmp_path):
     """Every registered query on tables with nulls, empty and long texts, repeated rows and clashing columns."""
     folder = str(tmp_path)
     odd.write.parquet(f"{folder}/documents.parquet")
-    for other in ("benchmark", "conversations"):
+    for other in ("benchmark", "conversations", "embeddings", "pages"):
         spark.read.parquet(f"{sf}/{other}.parquet").write.parquet(f"{folder}/{other}.parquet")
     result = __spark_entry__.queries()[name](spark, folder)
     assert len(result.collect()) >= (0 if name.startswith("op9") else 1)
