@@ -20,7 +20,8 @@ document, so a group of near copies hangs together after work in proportion to i
 unlinked groups still share are open. Their holders meet without their texts, as sketches: how many elements fall into each of
 SKETCH parts of the universe. The sum of the differences is no more than the number of elements in which two sets differ, so
 pairs beyond the threshold are dismissed exactly and hardly any of them reads a text; the others are verified, for a set and a
-group at most FIRST at a time, until no signature is open that could link. Equal sets are folded into one before all this.
+group at most FIRST at a time, until no signature is open that could link. Of the signatures that the same sets hold only one takes part,
+and those with one least holder meet in one task, so that near sets, which share hundreds of signatures, are proposed about once. Equal sets are folded into one before all this.
 
 Defined results: a null or empty text has the empty set and links with nothing; fewer words than a shingle are one
 shingle of their own length; rows with one doc_id are one document with all its sets; a null doc_id links with nothing
@@ -32,8 +33,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -280,18 +281,18 @@ def verified_links(ids: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], s
 def _verify(docs: DataFrame, meetings: DataFrame, doc_id: str, text: str, words: int, percent: int,
             in_band: dict[int, int]) -> DataFrame:
     """(u, v): links found where blocks meet. ``meetings`` has (node, task, side, label)."""
-    def body(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("doc_id", ignore_index=True)
-        sets = shingles_of(pa.array(group["text"], pa.large_string()), words)
+    def body(group: pa.Table) -> pa.Table:
+        group = group.sort_by("doc_id")
+        sets = [s for batch in _slices(group.select(["text"]).to_batches(), 32) for s in shingles_of(batch.column(0), words)]
         links = verified_links(group["doc_id"].to_numpy(), group["side"].to_numpy(), sets, Scheme(percent, in_band),
                                group["label"].to_numpy())
-        return pd.DataFrame(links, columns=["u", "v"], dtype="int64")
+        return pa.table([pa.array([link[i] for link in links], pa.int64()) for i in (0, 1)], names=["u", "v"])
 
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     if meetings.count() <= BROADCAST_IDS:  # then a text is shuffled once, to its tasks
         meetings = F.broadcast(meetings)
     met = rows.join(meetings, rows["doc_id"] == meetings["node"]).select("doc_id", "text", "task", "side", "label")
-    return met.groupBy("task").applyInPandas(body, "u bigint, v bigint")
+    return met.groupBy("task").applyInArrow(body, "u bigint, v bigint")
 
 
 def _weighed(proposed: DataFrame, sizes: DataFrame, block: int) -> DataFrame:
@@ -323,60 +324,67 @@ def _first_meetings(placed: DataFrame, degrees: DataFrame) -> DataFrame:
     return light.union(once.select("node", _task(1, "component", "own").alias("task"), *alone))
 
 
-def possible_pairs(sig: np.ndarray, node: np.ndarray, label: np.ndarray, side: np.ndarray, size: np.ndarray, sketch: np.ndarray,
-                   percent: int) -> np.ndarray:
-    """Codes i * n + j of the rows i < j that share a signature, have different labels and may link.
+def possible_pairs(sig: np.ndarray, row: np.ndarray, node: np.ndarray, label: np.ndarray, side: np.ndarray, size: np.ndarray,
+                   sketch: np.ndarray, percent: int) -> np.ndarray:
+    """Codes i * n + j of the n rows i < j that share a signature, have different labels and may link, each once.
 
-    Rows are sorted by ``sig`` and ``size``, so a row is done at the first row that is too large for it. Rows of one side do not pair when
-    their signature has two. A size of -1 dismisses nothing.
+    ``sig`` and ``row`` say which row holds which signature and are sorted by ``sig`` and size, so a holder is done at the first one that is
+    too large for it. Rows of one side do not pair when their signature has two. A size of -1 dismisses nothing.
     """
-    n = len(sig)
-    if not n:
+    n, m = len(node), len(sig)
+    if not m:
         return np.empty(0, dtype=np.int64)
     begins = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
-    lengths = np.diff(np.append(begins, n))
+    lengths = np.diff(np.append(begins, m))
     ends = np.repeat(begins + lengths, lengths)
-    mixed = np.repeat(np.maximum.reduceat(side, begins) > np.minimum.reduceat(side, begins), lengths)
+    mixed = np.repeat(np.maximum.reduceat(side[row], begins) > np.minimum.reduceat(side[row], begins), lengths)
+    held = size[row]
     coarse = sketch.reshape(n, COARSE, -1).sum(axis=2, dtype=np.int16)
-    open_, found, shift = np.arange(n), [], 0
+    open_, found, shift = np.arange(m), [], 0
     while len(open_):
         shift += 1
         open_ = open_[open_ + shift < ends[open_]]
-        open_ = open_[(size[open_] < 0) | (100 * size[open_] >= percent * size[open_ + shift])]
+        open_ = open_[(held[open_] < 0) | (100 * held[open_] >= percent * held[open_ + shift])]
         for first in range(0, len(open_), PAIRS_AT_ONCE):
-            i = open_[first:first + PAIRS_AT_ONCE]
-            j = i + shift
-            keep = (label[i] != label[j]) & (node[i] != node[j]) & ~(mixed[i] & (side[i] == side[j]))
+            at = open_[first:first + PAIRS_AT_ONCE]
+            i, j = row[at], row[at + shift]
+            keep = (label[i] != label[j]) & (node[i] != node[j]) & ~(mixed[at] & (side[i] == side[j]))
             i, j = i[keep], j[keep]
+            i, j = np.divmod(np.unique(np.minimum(i, j) * n + np.maximum(i, j)), n)
             for counts in (coarse, sketch):
                 apart = np.abs(counts[i].astype(np.int16) - counts[j]).sum(axis=1)
-                near = (size[i] < 0) | ((100 + percent) * apart <= (100 - percent) * (size[i] + size[j]))
+                near = (np.minimum(size[i], size[j]) < 0) | ((100 + percent) * apart <= (100 - percent) * (size[i] + size[j]))
                 i, j = i[near], j[near]
             found.append(i * n + j)
-    return np.concatenate(found or [np.empty(0, dtype=np.int64)])
+    return np.unique(np.concatenate(found or [np.empty(0, dtype=np.int64)]))
 
 
-def _candidates(holders: DataFrame, percent: int, first: int) -> DataFrame:
+def _candidates(holders: DataFrame, info: DataFrame, percent: int, first: int) -> DataFrame:
     """(x, y, more): unlinked pairs that share an open signature and may link, up to ``first`` of an x and a group and batch.
 
-    ``holders`` has (sig, node, label, size, sketch, n), n holders of a signature; more than HOLDERS of them meet block by block.
+    ``holders`` has (sig, lead, node, label, n), n holders of a signature; more than HOLDERS of them meet block by block. Two near sets share
+    hundreds of signatures, which mostly have one least holder, their lead: the signatures of a lead go to one task, where a set comes once,
+    with its sketch and all of them, and a pair is made once.
     """
     cuts = F.ceil(F.col("n") / F.lit(float(HOLDERS)))
     rows = holders.withColumns({"cuts": cuts, "own": F.pmod(F.xxhash64("node"), cuts)})
-    small = rows.filter("cuts = 1").withColumns({"task": F.col("sig"), "side": F.lit(0)})
+    small = rows.filter("cuts = 1").withColumn("side", F.lit(0))
     large = rows.filter("cuts > 1").withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("cuts") - 1)))
-    large = large.withColumns({"task": F.xxhash64("sig", F.least("own", "other"), F.greatest("own", "other")),
-                               "side": F.col("own").cast("int")})
-    columns = ["task", "node", "label", "side", "size", "sketch"]
+    large = large.withColumns({"sig": F.xxhash64("sig", F.least("own", "other"), F.greatest("own", "other")),
+                               "side": F.col("own").cast("int")}).withColumn("lead", F.col("sig"))
+    key = ["lead", "node", "label", "side"]
 
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def pairs(table: pa.Table) -> pa.RecordBatch:
-            task, node, label, side, size = (table[c].to_numpy() for c in columns[:5])
-            sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), dtype=np.uint8).reshape(len(task), SKETCH)
-            code = possible_pairs(task, node, label, side, size, sketch, percent)
-            i, j = code // max(1, len(task)), code % max(1, len(task))
+            n = len(table)
+            node, label, side, size = (table[c].to_numpy() for c in ("node", "label", "side", "size"))
+            sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), dtype=np.uint8).reshape(n, SKETCH)
+            sig = pc.list_flatten(table["sigs"]).to_numpy()
+            row = np.repeat(np.arange(n), pc.list_value_length(table["sigs"]).to_numpy())
+            order = np.lexsort((size[row], sig))
+            i, j = np.divmod(possible_pairs(sig[order], row[order], node, label, side, size, sketch, percent), max(1, n))
             x, y = np.maximum(node[i], node[j]), np.minimum(node[i], node[j])
             group = np.where(node[i] > node[j], label[j], label[i])
             order = np.lexsort((y, group, x))
@@ -391,31 +399,43 @@ def _candidates(holders: DataFrame, percent: int, first: int) -> DataFrame:
             kept = turn < first
             return pa.RecordBatch.from_arrays([pa.array(x[kept]), pa.array(y[kept]), pa.array(more[kept])], names=["x", "y", "more"])
 
-        for batch in batches:  # sorted by task: a task's rows may go on in the next batch
+        for batch in batches:  # sorted by lead: a lead's rows may go on in the next batch
             table = pa.Table.from_batches([*held, batch])
-            task = table["task"].to_numpy()
-            cut = int(np.searchsorted(task, task[-1], "left")) if len(task) else 0
+            lead = table["lead"].to_numpy()
+            cut = int(np.searchsorted(lead, lead[-1], "left")) if len(lead) else 0
             if cut:
                 yield pairs(table.slice(0, cut))
             held = table.slice(cut).combine_chunks().to_batches()
         if held:
             yield pairs(pa.Table.from_batches(held))
 
-    dealt = small.select(*columns).union(large.select(*columns)).repartition("task").sortWithinPartitions("task", "size")
-    return dealt.mapInArrow(body, "x bigint, y bigint, more boolean")
+    once = small.select("sig", *key).union(large.select("sig", *key)).repartition("node").groupBy(*key).agg(
+        F.collect_list("sig").alias("sigs")).join(info, "node")
+    return once.repartition("lead").sortWithinPartitions("lead").mapInArrow(body, "x bigint, y bigint, more boolean")
+
+
+def _shared(index: DataFrame) -> DataFrame:
+    """(sig, lead, node): holders of shared signatures but the least of them, their ``lead``. Signatures that the same nodes hold are one.
+
+    ``index`` has (sig, node). A signature is named anew by a hash of its holders; holders that one name happens to join only meet more.
+    """
+    same = Window.partitionBy("sig")
+    held = index.withColumns({"lead": F.min("node").over(same), "n": F.count(F.lit(1)).over(same),
+                              "all": F.bit_xor(F.xxhash64("node")).over(same)}).filter("node <> lead")
+    return held.select(F.xxhash64("lead", "n", "all").alias("sig"), "lead", "node").distinct()
 
 
 def _gathered(rows: DataFrame) -> DataFrame:
-    """(sig, node, label, n): common signatures that have holders in common become one group, so two sets meet in it once."""
+    """(sig, lead, node, label, n): common signatures that have holders in common become one group, so two sets meet in it once."""
     common = rows.filter(F.col("n") > COMMON)
     if common.isEmpty():
         return rows
     # all common signatures of a node are of one group, so its least one leads to it
-    common = cut_lineage(common.withColumn("lead", F.min("sig").over(Window.partitionBy("node"))))
-    edges = common.select(F.col("sig").alias("u"), F.col("lead").alias("v")).distinct()
-    groups = components(edges).select(F.col("node").alias("lead"), F.col("component").alias("group"))
-    once = common.select("lead", "node", "label").distinct().join(groups, "lead", "left").select(
-        F.coalesce("group", "lead").alias("sig"), "node", "label")
+    common = cut_lineage(common.drop("lead").withColumn("low", F.min("sig").over(Window.partitionBy("node"))))
+    edges = common.select(F.col("sig").alias("u"), F.col("low").alias("v")).distinct()
+    groups = components(edges).select(F.col("node").alias("low"), F.col("component").alias("group"))
+    once = common.select("low", "node", "label").distinct().join(groups, "low", "left").select(
+        F.coalesce("group", "low").alias("sig"), "node", "label").withColumn("lead", F.col("sig"))
     sizes = once.groupBy("sig").agg(F.count(F.lit(1)).alias("n"))
     return rows.filter(F.col("n") <= COMMON).unionByName(once.join(sizes, "sig"))
 
@@ -465,13 +485,11 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     if copies.count() <= BROADCAST_IDS:
         indexed = docs.join(F.broadcast(copies.select("copy")), F.col(doc_id).cast("bigint") == F.col("copy"), "left_anti")
     index = _signatures(indexed, doc_id, text, words, percent, in_band)
-    same = Window.partitionBy("sig").orderBy("node")
-    grouped = index.withColumns({"least": F.first("node").over(same)}).filter("node <> least")
     # equal sets indexed by several tasks, or under one doc_id, meet at their representative
     a, b = of.select(F.col("doc_id").alias("node"), F.col("rep").alias("u")), of.select(
-        F.col("doc_id").alias("least"), F.col("rep").alias("v"))
-    shared = cut_lineage(grouped.join(a, "node").join(b, "least").select("sig", "u", "v").filter("u <> v").distinct())
-    holders = shared.select("sig", F.col("u").alias("node")).union(shared.select("sig", "v")).distinct()
+        F.col("doc_id").alias("lead"), F.col("rep").alias("v"))
+    shared = cut_lineage(_shared(index).join(a, "node").join(b, "lead").select("sig", "lead", "u", "v").filter("u <> v").distinct())
+    holders = cut_lineage(shared.select("sig", "lead", F.col("u").alias("node")).union(shared.select("sig", "lead", "v")).distinct())
     degrees = holders.groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
     weights = filled.groupBy(F.col("doc_id").alias("node")).agg(F.sum("n_shingles").alias("weight"))
 
@@ -493,17 +511,20 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     info = cut_lineage(holders.select("node").distinct().join(info, "node"))
     at_once = FIRST
     while True:
-        named = cut_lineage(holders.join(labels, "node", "left").select("sig", "node", F.coalesce("label", "node").alias("label")))
+        named = cut_lineage(holders.join(labels, "node", "left").select("sig", "lead", "node", F.coalesce("label", "node").alias("label")))
         still = named.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n"))
         still = still.filter("low <> high").select("sig", "n")
-        found = cut_lineage(_candidates(_gathered(named.join(still, "sig")).join(info, "node"), percent, at_once))
+        found = cut_lineage(_candidates(_gathered(named.join(still, "sig")), info, percent, at_once))
         pairs = found.select("x", "y").distinct()
         if found.isEmpty():
             break
         meetings = cut_lineage(_pair_meetings(pairs, labels))
         labels = _relabelled(labels, cut_lineage(_verify(docs, meetings, doc_id, text, words, percent, in_band)))
-        if found.filter("more").isEmpty():
+        again = found.filter("more").select(F.col("x").alias("node")).distinct()
+        if again.isEmpty():
             break
+        # pairs left over are of these sets: only their signatures are looked at again
+        holders = cut_lineage(holders.join(holders.join(again, "node").select("sig").distinct(), "sig", "left_semi"))
         at_once *= 16
     own = of.groupBy("doc_id").agg(F.min("rep").alias("node")).join(labels, "node", "left")
     named = own.select("doc_id", F.coalesce("label", "node").alias("component"))

@@ -202,6 +202,31 @@ def test_components_of_a_chain(spark):
     assert found == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
 
 
+def test_near_sets_are_proposed_once(spark, monkeypatch):
+    """Sets that share hundreds of signatures without linking: a pair comes once, not once per task that holds a signature of it."""
+    base = [f"w{i}" for i in range(600)]
+    texts = {k: [f"x{k}" if i % 100 == 7 * k + 7 else w for i, w in enumerate(base)] + [f"y{k}_{i}" for i in range(6)] for k in range(6)}
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in texts.items()], "doc_id bigint, text string")
+    made, write = [], jaccard.cut_lineage
+
+    def kept(df):
+        out = write(df)
+        if out.columns == ["x", "y", "more"]:
+            made.append(out)
+        return out
+
+    monkeypatch.setattr(jaccard, "cut_lineage", kept)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    try:
+        found = {a: c for a, c in rows(jaccard.similar_components(docs), "doc_id", "component_id")}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.unset("spark.sql.shuffle.partitions")
+    assert found == {k: k for k in texts}
+    assert made and 0 < made[0].count() <= 3 * made[0].select("x", "y").distinct().count()
+
+
 def test_jaccard_sql(documents, sf):
     duck = duckdb.connect()
     duck.execute(f"create view documents as select * from '{sf}/documents.parquet'")
