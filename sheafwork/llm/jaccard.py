@@ -12,14 +12,17 @@ size / m. When the mates cost more, empty segments are skipped, and a set that h
 one-deletion neighbourhoods of its first segments, up to e that hold two or more elements.
 Two sets without an equal filled segment then have, among their first segments, one that differs in exactly one
 element, which the deletions find. A set with too few such segments keeps its empty signatures.
+A segment that holds nothing but common shingles, of lines that many texts repeat, gathers such a group as well, so it counts as empty:
+above, "empty" reads "without a rare element" and "two or more elements" reads "two or more rare ones", by which no deletion leaves a common
+segment, and the argument holds for any set of common shingles that all tasks agree on. The first pass counts them, see ``_common``.
 
-Signatures propose, sets decide, in two steps. First every proposed set goes to one task with the others whose least fellow
-holder of a signature is the same (a star, not all pairs); a large star is cut into blocks, each with the PIVOTS sets that share most
+Signatures propose, sets decide, in two steps. First a set that shares many signatures with another goes to one task with the others
+that share most with the same set (a star, not all pairs); a large star is cut into blocks, each with the PIVOTS sets that share most
 signatures. A task verifies exactly the pairs that share a signature and are not yet linked and returns at most one link per
 document, so a group of near copies hangs together after work in proportion to its size. Then only the signatures that two
 unlinked groups still share are open. Their holders meet without their texts, as sketches: how many elements fall into each of
 SKETCH parts of the universe. The sum of the differences is no more than the number of elements in which two sets differ, so
-pairs beyond the threshold are dismissed exactly and hardly any of them reads a text; the others are verified, for a set and a
+pairs beyond the threshold are dismissed exactly and hardly any of them reads a text (large sets have a second, finer sketch); the others are verified, for a set and a
 group at most FIRST at a time, until no signature is open that could link. Of the signatures that the same sets hold only one takes part,
 and those with one least holder meet in one task, so that near sets, which share hundreds of signatures, are proposed about once. Equal sets are folded into one before all this.
 
@@ -58,8 +61,17 @@ BROADCAST_IDS = 2_000_000
 #: Parts of the universe a sketch counts, and parts it is folded to for a first look; holders of a signature that meet in one block, pairs filtered at a time, pairs of a set and a
 #: group first verified, and partners of a set in one task.
 SKETCH, COARSE, HOLDERS, PAIRS_AT_ONCE, FIRST, PARTNERS = 256, 64, 2048, 60_000, 16, 500
+#: Parts of the sketch of the largest sets, a power of two. In SKETCH parts alone, two sets of some thousand elements look alike by chance.
+FINEST = 8192
 #: Holders of a signature beyond which it is common: the holders of common signatures meet once, not once per signature.
 COMMON = 48
+#: A shingle is common when more than this many distinct sets hold it, and more than one in so many; no more than so many are, the most frequent
+#: ones. This is a matter of cost: a common shingle that is not known as one makes sets meet for nothing.
+COMMON_HOLDERS, COMMON_SHARE, COMMON_SHINGLES = 64, 2000, 250_000
+#: Shingles a task counts at a time, and the sets among these that must hold one for it to be reported.
+COUNTED, REPORTED = 2_000_000, 3
+#: A set joins a star at first when it shares one signature in so many segments with another one of it; near copies share more than that.
+NEAR = 8
 #: Sets a task remembers to have indexed; beyond it starts anew.
 REMEMBERED = 100_000
 _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -89,9 +101,11 @@ def shingles_of(texts: pa.Array, width: int = WORDS) -> list[np.ndarray]:
 class Scheme:
     """Bands, their segment counts, and the signatures of a set."""
 
-    def __init__(self, percent: int = PERCENT, sets_in_band: dict[int, int] | None = None):
+    def __init__(self, percent: int = PERCENT, sets_in_band: dict[int, int] | None = None, common: np.ndarray | None = None):
         self.percent = percent
         self.sets_in_band = sets_in_band or {}
+        #: sorted hashes of common shingles
+        self.common = np.empty(0, dtype=np.uint64) if common is None else common
         self.bands: list[tuple[int, int]] = []
 
     def _band(self, k: int) -> tuple[int, int]:
@@ -130,13 +144,16 @@ class Scheme:
     def signatures(self, elements: np.ndarray) -> np.ndarray:
         """The signatures of a set in all its bands; none where only equal sets can link."""
         out = []
+        rare = np.ones(len(elements), dtype=bool)
+        if len(self.common):
+            rare = self.common[np.minimum(np.searchsorted(self.common, elements), len(self.common) - 1)] != elements
         for band in self.roles(len(elements)) if len(elements) else []:
             segments = self.differences(band) + 1
             if segments > 1:
-                out.append(self._in_band(elements, band, segments))
+                out.append(self._in_band(elements, rare, band, segments))
         return np.concatenate(out) if out else np.empty(0, dtype=np.uint64)
 
-    def _in_band(self, elements: np.ndarray, band: int, segments: int) -> np.ndarray:
+    def _in_band(self, elements: np.ndarray, rare: np.ndarray, band: int, segments: int) -> np.ndarray:
         salted = mix(elements + _times(band + 1, _M3))
         segment = (salted % np.uint64(segments)).astype(np.int64)
         order = np.argsort(segment, kind="stable")
@@ -146,16 +163,17 @@ class Scheme:
         ends = np.cumsum(sizes)
         sums = running[ends] - running[ends - sizes]
         salt = mix(np.arange(segments, dtype=np.uint64) + _times(band, _M1))
-        filled = sizes > 0
+        rares = np.bincount(segment[rare], minlength=segments)
+        filled = rares > 0
         empties = segments - int(filled.sum())
         if not empties or not self.skips_empty(band, segments):
             return mix(sums + salt)
-        large = np.cumsum(sizes >= 2)
+        large = np.cumsum(rares >= 2)
         if large[-1] < empties:  # too few segments to pay with: the empty ones stay
             first, exact = segments, np.ones(segments, dtype=bool)
         else:
             first, exact = int(np.searchsorted(large, empties)) + 1, filled
-        deleted = [mix(sums[i] - values[ends[i] - sizes[i]:ends[i]] + salt[i]) for i in range(first) if sizes[i] >= 2]
+        deleted = [mix(sums[i] - values[ends[i] - sizes[i]:ends[i]] + salt[i]) for i in range(first) if rares[i] >= 2]
         return np.concatenate([mix(sums[exact] + salt[exact]), *deleted])
 
 
@@ -165,10 +183,15 @@ def _digest(elements: np.ndarray) -> tuple[int, int]:
     return int(a.sum(dtype=np.uint64).view(np.int64)), int(b.sum(dtype=np.uint64).view(np.int64))
 
 
-def _sketch(elements: np.ndarray) -> bytes:
-    """How many elements lie in each of SKETCH parts of the universe, 255 at most."""
-    part = (mix(elements + _M3) % np.uint64(SKETCH)).astype(np.int64)
-    return np.minimum(np.bincount(part, minlength=SKETCH), 255).astype(np.uint8).tobytes()
+def _sketches(elements: np.ndarray) -> tuple[bytes, bytes | None]:
+    """How many elements lie in each of SKETCH parts of the universe, 255 at most; and, of a large set, in each of about half as many as it has."""
+    hashed = mix(elements + _M3)
+
+    def counts(parts: int) -> bytes:
+        return np.minimum(np.bincount((hashed % np.uint64(parts)).astype(np.int64), minlength=parts), 255).astype(np.uint8).tobytes()
+
+    large = len(elements) > 4 * SKETCH
+    return counts(SKETCH), counts(min(FINEST, 1 << (len(elements) // 2).bit_length())) if large else None
 
 
 def _slices(batches: Iterator[pa.RecordBatch], rows: int = 200) -> Iterator[pa.RecordBatch]:
@@ -177,26 +200,62 @@ def _slices(batches: Iterator[pa.RecordBatch], rows: int = 200) -> Iterator[pa.R
             yield batch.slice(at, rows)
 
 
-def shingle_sets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
-    """(doc_id, n_shingles, d1, d2, sketch): size, digest and sketch of every row's set."""
+def _sets_and_counts(docs: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
+    """The rows of ``shingle_sets``, and rows without ``n_shingles``: d2 distinct sets among those that a task counted at a time hold shingle d1."""
+    names = ["doc_id", "n_shingles", "d1", "d2", "sketch", "fine"]
+
+    def counts(held: list[np.ndarray]) -> pa.RecordBatch:
+        shingles, n = np.unique(np.concatenate(held), return_counts=True)
+        often = n >= REPORTED
+        rows = int(often.sum())
+        return pa.RecordBatch.from_arrays(
+            [pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.int64()), pa.array(shingles[often].view(np.int64)),
+             pa.array(n[often].astype(np.int64)), pa.nulls(rows, pa.binary()), pa.nulls(rows, pa.binary())], names=names)
+
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, counted, met = [], 0, set()
         for batch in _slices(batches):
             sets = shingles_of(batch.column(1), words)
             digests = [_digest(s) for s in sets]
+            sketches = [_sketches(s) for s in sets]
+            for elements, digest in zip(sets, digests):
+                if digest not in met and len(elements):
+                    met.add(digest)
+                    held.append(elements)
+                    counted += len(elements)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(list(map(len, sets)), pa.int64()),
                  pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()),
-                 pa.array([_sketch(s) for s in sets], pa.binary())],
-                names=["doc_id", "n_shingles", "d1", "d2", "sketch"])
+                 *[pa.array([s[i] for s in sketches], pa.binary()) for i in (0, 1)]], names=names)
+            if counted > COUNTED:
+                yield counts(held)
+                held, counted, met = [], 0, set()
+        if held:
+            yield counts(held)
 
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(body, "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, sketch binary")
+    return rows.mapInArrow(body, "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, sketch binary, fine binary")
 
 
-def _signatures(docs: DataFrame, doc_id: str, text: str, words: int, percent: int, in_band: dict[int, int]) -> DataFrame:
+def shingle_sets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
+    """(doc_id, n_shingles, d1, d2, sketch): size, digest and sketch of every row's set."""
+    return _sets_and_counts(docs, doc_id, text, words).filter("n_shingles is not null").drop("fine")
+
+
+def _common(counts: DataFrame, sets: int) -> np.ndarray:
+    """Sorted hashes of the common shingles, from (d1, d2) of ``_sets_and_counts`` and the number of distinct sets.
+
+    Their number does not grow with the corpus: a share of all sets can hold no more shingles than the mean size over that share.
+    """
+    holders = counts.groupBy("d1").agg(F.sum("d2").alias("n")).filter(F.col("n") > max(COMMON_HOLDERS, sets // COMMON_SHARE))
+    found = holders.orderBy(F.desc("n"), "d1").limit(COMMON_SHINGLES).select("d1").toArrow()
+    return np.sort(found["d1"].to_numpy().view(np.uint64))
+
+
+def _signatures(docs: DataFrame, doc_id: str, text: str, words: int, scheme: Scheme) -> DataFrame:
     """(sig, node) per signature. A task indexes equal sets once, under the first row it met them in."""
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scheme, indexed = Scheme(percent, in_band), set()
+        indexed = set()
         for batch in _slices(batches):
             found, nodes = [], []
             for node, elements in zip(batch.column(0).to_pylist(), shingles_of(batch.column(1), words)):
@@ -278,14 +337,12 @@ def verified_links(ids: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], s
     return links
 
 
-def _verify(docs: DataFrame, meetings: DataFrame, doc_id: str, text: str, words: int, percent: int,
-            in_band: dict[int, int]) -> DataFrame:
+def _verify(docs: DataFrame, meetings: DataFrame, doc_id: str, text: str, words: int, scheme: Scheme) -> DataFrame:
     """(u, v): links found where blocks meet. ``meetings`` has (node, task, side, label)."""
     def body(group: pa.Table) -> pa.Table:
         group = group.sort_by("doc_id")
         sets = [s for batch in _slices(group.select(["text"]).to_batches(), 32) for s in shingles_of(batch.column(0), words)]
-        links = verified_links(group["doc_id"].to_numpy(), group["side"].to_numpy(), sets, Scheme(percent, in_band),
-                               group["label"].to_numpy())
+        links = verified_links(group["doc_id"].to_numpy(), group["side"].to_numpy(), sets, scheme, group["label"].to_numpy())
         return pa.table([pa.array([link[i] for link in links], pa.int64()) for i in (0, 1)], names=["u", "v"])
 
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
@@ -410,19 +467,61 @@ def _candidates(holders: DataFrame, info: DataFrame, percent: int, first: int) -
             yield pairs(pa.Table.from_batches(held))
 
     once = small.select("sig", *key).union(large.select("sig", *key)).repartition("node").groupBy(*key).agg(
-        F.collect_list("sig").alias("sigs")).join(info, "node")
+        F.collect_list("sig").alias("sigs")).join(info.select("node", "size", "sketch"), "node")
     return once.repartition("lead").sortWithinPartitions("lead").mapInArrow(body, "x bigint, y bigint, more boolean")
 
 
+def _apart(a: bytes, b: bytes) -> int:
+    """A lower bound of the number of elements in which two sets differ, by their fine sketches; the longer one is folded."""
+    long, short = sorted((np.frombuffer(c, dtype=np.uint8).astype(np.int32) for c in (a, b)), key=len, reverse=True)
+    return int(np.abs(long.reshape(-1, len(short)).sum(axis=0) - short).sum())
+
+
+def _not_apart(pairs: DataFrame, info: DataFrame, percent: int) -> DataFrame:
+    """The pairs (x, y) that their fine sketches do not dismiss; sets without one, or without one size, dismiss nothing."""
+    fine = info.filter("fine is not null and size >= 0")
+
+    def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = [i for i, (a, b, n) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist()))
+                  if a is None or b is None or (100 + percent) * _apart(a, b) <= (100 - percent) * n]
+            yield batch.select([0, 1]).take(pa.array(at, pa.int64()))
+
+    def of(end: str) -> DataFrame:
+        return fine.select(F.col("node").alias(end), F.col("fine").alias(f"{end}_fine"), F.col("size").alias(f"{end}_size"))
+
+    both = pairs.join(of("x"), "x", "left").join(of("y"), "y", "left")
+    return both.select("x", "y", "x_fine", "y_fine", (F.col("x_size") + F.col("y_size")).alias("n")).mapInArrow(body, "x bigint, y bigint")
+
+
 def _shared(index: DataFrame) -> DataFrame:
-    """(sig, lead, node): holders of shared signatures but the least of them, their ``lead``. Signatures that the same nodes hold are one.
+    """(sig, lead, node, w): holders of shared signatures but the least of them, their ``lead``. The w signatures that the same nodes hold are one.
 
     ``index`` has (sig, node). A signature is named anew by a hash of its holders; holders that one name happens to join only meet more.
     """
     same = Window.partitionBy("sig")
     held = index.withColumns({"lead": F.min("node").over(same), "n": F.count(F.lit(1)).over(same),
                               "all": F.bit_xor(F.xxhash64("node")).over(same)}).filter("node <> lead")
-    return held.select(F.xxhash64("lead", "n", "all").alias("sig"), "lead", "node").distinct()
+    return held.groupBy(F.xxhash64("lead", "n", "all").alias("sig"), "lead", "node").agg(F.count(F.lit(1)).alias("w"))
+
+
+def _centers(shared: DataFrame, weights: DataFrame, percent: int) -> DataFrame:
+    """(node, component): the star that a proposed set goes to, named by its center.
+
+    ``shared`` has (u, v, w). A set goes to the earlier one it shares most signatures with, or to that one's center, unless more tie it to a
+    later one: the least fellow of a set is, the more sets there are, one that shares a signature by chance.
+    """
+    pull = shared.groupBy(F.greatest("u", "v").alias("node"), F.least("u", "v").alias("lead")).agg(F.sum("w").alias("w"))
+    segments = F.col("weight") * (2 * (100 - percent)) / (100 + percent) + 1
+    pull = cut_lineage(pull.join(weights, "node").filter(F.col("w") * NEAR >= segments).select("node", "lead", "w"))
+    up = pull.groupBy("node").agg(F.max_by("lead", F.struct("w", -F.col("lead"))).alias("lead"), F.max("w").alias("w"))
+    down = pull.groupBy(F.col("lead").alias("node")).agg(F.max("w").alias("held"))
+    centers = cut_lineage(up.join(down, "node", "full").select("node", F.when(
+        F.col("w") >= F.coalesce("held", F.lit(0)), F.col("lead")).otherwise(F.col("node")).alias("component")))
+    for _ in range(2):
+        above = centers.select(F.col("node").alias("component"), F.col("component").alias("next"))
+        centers = centers.join(above, "component").select("node", F.col("next").alias("component"))
+    return centers
 
 
 def _gathered(rows: DataFrame) -> DataFrame:
@@ -467,47 +566,49 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     Documents link when 100 * intersection >= percent * union of their shingle sets; a component is named by its
     smallest doc_id.
     """
-    sets = cut_lineage(shingle_sets(docs, doc_id, text, words))  # four numbers a row
+    read = cut_lineage(_sets_and_counts(docs, doc_id, text, words))  # four numbers a row
+    sets = read.filter("n_shingles is not null")
     filled = sets.filter("n_shingles > 0 and doc_id is not null")
     # one representative per distinct set
     first = filled.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep"))
     of = cut_lineage(filled.join(first, ["n_shingles", "d1", "d2"]).select("doc_id", "rep").distinct())
     scheme = Scheme(percent)
+    distinct = 0
     counts = first.groupBy("n_shingles").count().toLocalIterator()  # a row per size; summed into some tens of bands
     in_band: dict[int, int] = {}
     for row in counts:
+        distinct += row["count"]
         for band in scheme.roles(row["n_shingles"]):
             in_band[band] = in_band.get(band, 0) + row["count"]
+    scheme = Scheme(percent, in_band, _common(read.filter("n_shingles is null"), distinct))
 
     # equal sets are indexed once, by their representative; ids that represent nothing need not be read
     copies = of.groupBy(F.col("doc_id").alias("copy")).agg(F.max(F.col("doc_id") == F.col("rep")).alias("first")).filter("not first")
     indexed = docs
     if copies.count() <= BROADCAST_IDS:
         indexed = docs.join(F.broadcast(copies.select("copy")), F.col(doc_id).cast("bigint") == F.col("copy"), "left_anti")
-    index = _signatures(indexed, doc_id, text, words, percent, in_band)
+    index = _signatures(indexed, doc_id, text, words, scheme)
     # equal sets indexed by several tasks, or under one doc_id, meet at their representative
     a, b = of.select(F.col("doc_id").alias("node"), F.col("rep").alias("u")), of.select(
         F.col("doc_id").alias("lead"), F.col("rep").alias("v"))
-    shared = cut_lineage(_shared(index).join(a, "node").join(b, "lead").select("sig", "lead", "u", "v").filter("u <> v").distinct())
+    shared = cut_lineage(_shared(index).join(a, "node").join(b, "lead").select("sig", "lead", "u", "v", "w").filter("u <> v").distinct())
     holders = cut_lineage(shared.select("sig", "lead", F.col("u").alias("node")).union(shared.select("sig", "lead", "v")).distinct())
     degrees = holders.groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
     weights = filled.groupBy(F.col("doc_id").alias("node")).agg(F.sum("n_shingles").alias("weight"))
 
-    center = shared.select(F.col("u").alias("node"), "v").union(shared.select("v", "v")).groupBy("node").agg(
-        F.min("v").alias("component"))
-    meetings = cut_lineage(_first_meetings(_weighed(center, weights, block), degrees))
-    links = _verify(docs, meetings, doc_id, text, words, percent, in_band)
+    meetings = cut_lineage(_first_meetings(_weighed(_centers(shared, weights, percent), weights, block), degrees))
+    links = _verify(docs, meetings, doc_id, text, words, scheme)
     # a document with several sets links their representatives
     several = of.groupBy("doc_id").agg(F.min("rep").alias("v"), F.max("rep").alias("high")).filter("v <> high").select("doc_id", "v")
     links = links.union(of.join(several, "doc_id").select(F.col("rep").alias("u"), "v"))
     labels = cut_lineage(components(links).select("node", F.col("component").alias("label")))
 
     # a representative of several sets has no one sketch, and no size then
-    info = first.join(filled.select(F.col("doc_id").alias("rep"), "n_shingles", "d1", "d2", "sketch"), ["rep", "n_shingles", "d1", "d2"])
+    info = first.join(filled.select(F.col("doc_id").alias("rep"), "n_shingles", "d1", "d2", "sketch", "fine"), ["rep", "n_shingles", "d1", "d2"])
     info = info.groupBy(F.col("rep").alias("node")).agg(F.min("d1").alias("low"), F.max("d1").alias("high"), F.min("n_shingles").alias("n1"),
-                                                        F.max("n_shingles").alias("n2"), F.min("sketch").alias("sketch"))
+                                                        F.max("n_shingles").alias("n2"), F.min("sketch").alias("sketch"), F.min("fine").alias("fine"))
     info = info.select("node", F.when((F.col("low") == F.col("high")) & (F.col("n1") == F.col("n2")), F.col("n1")).otherwise(-1)
-                       .alias("size"), "sketch")
+                       .alias("size"), "sketch", "fine")
     info = cut_lineage(holders.select("node").distinct().join(info, "node"))
     at_once = FIRST
     while True:
@@ -515,11 +616,11 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         still = named.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n"))
         still = still.filter("low <> high").select("sig", "n")
         found = cut_lineage(_candidates(_gathered(named.join(still, "sig")), info, percent, at_once))
-        pairs = found.select("x", "y").distinct()
         if found.isEmpty():
             break
+        pairs = cut_lineage(_not_apart(found.select("x", "y").distinct(), info, percent))
         meetings = cut_lineage(_pair_meetings(pairs, labels))
-        labels = _relabelled(labels, cut_lineage(_verify(docs, meetings, doc_id, text, words, percent, in_band)))
+        labels = _relabelled(labels, cut_lineage(_verify(docs, meetings, doc_id, text, words, scheme)))
         again = found.filter("more").select(F.col("x").alias("node")).distinct()
         if again.isEmpty():
             break

@@ -165,6 +165,74 @@ def test_signatures_miss_no_link(size, many):
             assert not (100 * a >= 85 * u and a < u) or signatures[i] & signatures[j]
 
 
+@pytest.mark.parametrize("share", [0, .1, .5, .9, 1])
+@pytest.mark.parametrize("size", [6, 14, 40, 150, 700])
+def test_signatures_with_common_shingles_miss_no_link(size, share):
+    r = random.Random(size)
+    base, sets = [r.getrandbits(63) for _ in range(size)], []
+    pool = [r.getrandbits(63) for _ in range(size)]
+    for _ in range(40):
+        s = set(base)
+        for _ in range(r.randint(0, int(size * .22) + 1)):
+            s.discard(r.choice(sorted(s))) if r.random() < .5 and len(s) > 1 else s.add(r.choice(pool))
+        sets.append(np.array(sorted(s), dtype=np.uint64))
+    common = np.array(sorted(x for x in base + pool if r.random() < share), dtype=np.uint64)
+    scheme = jaccard.Scheme(80, {k: 10**9 for k in range(100)}, common)
+    signatures = [set(scheme.signatures(s).tolist()) for s in sets]
+    for i in range(40):
+        for j in range(i):
+            a = len(np.intersect1d(sets[i], sets[j]))
+            u = len(sets[i]) + len(sets[j]) - a
+            assert not (100 * a >= 80 * u and a < u) or signatures[i] & signatures[j]
+
+
+def test_a_common_line_proposes_nothing():
+    """Signatures of sets that have only a line in common, once its shingles are known: none is shared."""
+    r = random.Random(3)
+    line = [r.getrandbits(63) for _ in range(12)]
+    sets = [np.array(sorted({*line, *(r.getrandbits(63) for _ in range(180))}), dtype=np.uint64) for _ in range(60)]
+    common = np.array(sorted(line), dtype=np.uint64)
+    shared = [Counter(s for x in sets for s in set(jaccard.Scheme(80, {k: 10**6 for k in range(60)}, c).signatures(x).tolist()))
+              for c in (None, common)]
+    assert max(shared[0].values()) > 3 and max(shared[1].values()) == 1
+
+
+def test_common_shingles_are_counted(spark):
+    """Each distinct set counts once, however often its text occurs."""
+    docs = spark.createDataFrame([(i, f"the same four words w{i} x{i} y{i} z{i}") for i in range(90)]
+                                 + [(1000 + i, "this text is a copy and a copy only") for i in range(300)], "doc_id bigint, text string")
+    counts = jaccard._sets_and_counts(docs.coalesce(1), "doc_id", "text", 4).filter("n_shingles is null")
+    line = jaccard.shingles_of(pa.array(["the same four words"]), 4)[0]
+    assert jaccard._common(counts, 91).tolist() == line.tolist()
+    assert jaccard._common(counts.filter("false"), 0).tolist() == []
+
+
+def test_stars_follow_most_shared_signatures(spark):
+    """A near copy goes to the set it shares most signatures with, not to an earlier one that it meets by chance."""
+    shared = spark.createDataFrame([(8, 1, 1), (8, 5, 40), (9, 5, 30), (9, 2, 1), (5, 3, 1), (10, 9, 35), (10, 5, 3)],
+                                   "u bigint, v bigint, w bigint")
+    weights = spark.createDataFrame([(i, 200) for i in range(1, 11)], "node bigint, weight bigint")
+    assert dict(rows(jaccard._centers(shared, weights, 80), "node", "component")) == {5: 5, 8: 5, 9: 9, 10: 9}
+
+
+def test_fine_sketches_dismiss_only_pairs_apart(spark):
+    r = random.Random(8)
+    base = [r.getrandbits(63) for _ in range(7000)]
+    sets = [base, base[400:], base[:3000], base[:6300] + [r.getrandbits(63) for _ in range(700)],
+            *[[r.getrandbits(63) for _ in range(n)] for n in (6900, 7000, 1100)], base[:900]]
+    sets = [np.array(sorted(s), dtype=np.uint64) for s in sets]
+    info = spark.createDataFrame([(i, len(s) if i != 3 else -1, bytearray(f) if (f := jaccard._sketches(s)[1]) else None)
+                                  for i, s in enumerate(sets)], "node bigint, size bigint, fine binary")
+    pairs = spark.createDataFrame([(i, j) for i in range(len(sets)) for j in range(i)], "x bigint, y bigint")
+    kept = set(rows(jaccard._not_apart(pairs, info, 80), "x", "y"))
+    for i, j in rows(pairs, "x", "y"):
+        a, both = len(np.intersect1d(sets[i], sets[j])), len(sets[i]) + len(sets[j])
+        assert 180 * a < 80 * both or (i, j) in kept
+        assert jaccard._sketches(sets[i])[1] is None or jaccard._sketches(sets[j])[1] is None or jaccard._apart(
+            jaccard._sketches(sets[i])[1], jaccard._sketches(sets[j])[1]) <= both - 2 * a
+    assert (5, 4) not in kept and (5, 0) not in kept and (3, 0) in kept and (7, 0) in kept
+
+
 @pytest.mark.parametrize("block", [jaccard.BLOCK_SHINGLES, 60])
 def test_components_are_those_of_all_pairs(spark, block, monkeypatch):
     if block == 60:  # the way beyond the broadcast bound
