@@ -69,9 +69,11 @@ COMMON = 48
 #: ones. This is a matter of cost: a common shingle that is not known as one makes sets meet for nothing.
 COMMON_HOLDERS, COMMON_SHARE, COMMON_SHINGLES = 64, 2000, 250_000
 #: Shingles a task counts at a time, and the sets among these that must hold one for it to be reported.
-COUNTED, REPORTED = 2_000_000, 3
+COUNTED, REPORTED = 1_000_000, 3
 #: A set joins a star at first when it shares one signature in so many segments with another one of it; near copies share more than that.
 NEAR = 8
+#: Parts of a batch between two releases of freed memory.
+RELEASED = 10
 #: Sets a task remembers to have indexed; beyond it starts anew.
 REMEMBERED = 100_000
 _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -195,43 +197,50 @@ def _sketches(elements: np.ndarray) -> tuple[bytes, bytes | None]:
 
 
 def _slices(batches: Iterator[pa.RecordBatch], rows: int = 200) -> Iterator[pa.RecordBatch]:
+    """Small parts of the batches. Arrow's pool keeps what is freed, some 100 MB in an idle worker, so it is told to give it back."""
+    pool = pa.default_memory_pool()
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
+        for turn, at in enumerate(range(0, batch.num_rows, rows)):
             yield batch.slice(at, rows)
+            if turn % RELEASED == RELEASED - 1:
+                pool.release_unused()
+    pool.release_unused()
 
 
 def _sets_and_counts(docs: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
     """The rows of ``shingle_sets``, and rows without ``n_shingles``: d2 distinct sets among those that a task counted at a time hold shingle d1."""
     names = ["doc_id", "n_shingles", "d1", "d2", "sketch", "fine"]
 
-    def counts(held: list[np.ndarray]) -> pa.RecordBatch:
-        shingles, n = np.unique(np.concatenate(held), return_counts=True)
-        often = n >= REPORTED
-        rows = int(often.sum())
+    def counts(held: np.ndarray) -> pa.RecordBatch:
+        held.sort()  # in place: a worker keeps the memory it once took
+        others = REPORTED - 1
+        shingles, n = np.unique(held[others:][held[others:] == held[:-others]], return_counts=True)
+        rows = len(shingles)
         return pa.RecordBatch.from_arrays(
-            [pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.int64()), pa.array(shingles[often].view(np.int64)),
-             pa.array(n[often].astype(np.int64)), pa.nulls(rows, pa.binary()), pa.nulls(rows, pa.binary())], names=names)
+            [pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.int64()), pa.array(shingles.view(np.int64)), pa.array(n + others, pa.int64()),
+             pa.nulls(rows, pa.binary()), pa.nulls(rows, pa.binary())], names=names)
 
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, counted, met = [], 0, set()
+        held, counted, met = np.empty(COUNTED, dtype=np.uint64), 0, set()
         for batch in _slices(batches):
             sets = shingles_of(batch.column(1), words)
             digests = [_digest(s) for s in sets]
             sketches = [_sketches(s) for s in sets]
             for elements, digest in zip(sets, digests):
-                if digest not in met and len(elements):
-                    met.add(digest)
-                    held.append(elements)
-                    counted += len(elements)
+                if digest in met:
+                    continue
+                if counted + len(elements) > COUNTED:
+                    yield counts(held[:counted])
+                    counted, met = 0, set()
+                met.add(digest)
+                part = held[counted:counted + len(elements)]
+                part[:] = elements[:len(part)]
+                counted += len(part)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(list(map(len, sets)), pa.int64()),
                  pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()),
                  *[pa.array([s[i] for s in sketches], pa.binary()) for i in (0, 1)]], names=names)
-            if counted > COUNTED:
-                yield counts(held)
-                held, counted, met = [], 0, set()
-        if held:
-            yield counts(held)
+        yield counts(held[:counted])
 
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     return rows.mapInArrow(body, "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, sketch binary, fine binary")
